@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sondera.llm import exact_dedup
+from sondera.llm import exact_dedup, mixing
 
-_MODULES = (exact_dedup,)
+_MODULES = (exact_dedup, mixing)
 
 QUERIES = {m.NAME: m.query for m in _MODULES}
 ORACLE_SQL = {m.NAME: m.ORACLE_SQL for m in _MODULES if m.ORACLE_SQL}
