@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sondera.llm import exact_dedup, mixing, quality, simhash
+from sondera.llm import exact_dedup, mixing, packing, quality, simhash, tokens
 
-_MODULES = (exact_dedup, mixing, quality, simhash)
+_MODULES = (packing, tokens, quality, simhash, exact_dedup, mixing)
 
 QUERIES = {m.NAME: m.query for m in _MODULES}
 ORACLE_SQL = {m.NAME: m.ORACLE_SQL for m in _MODULES if m.ORACLE_SQL}
