@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sondera.llm import exact_dedup
+from sondera.llm import exact_dedup, mixing, packing, quality, simhash
 from sondera.llm.common import cut, documents
 
 STAGES = [
+    ("quality rules", quality.stage),
     ("exact dedup", exact_dedup.stage),
+    ("near dedup", simhash.stage),
+    ("source mixing", mixing.stage),
+    ("packing", packing.stage),
 ]
 
 #: The posterior of the quality rules and the packing have no SQL form; tests hold run() against the stages by brute force.
