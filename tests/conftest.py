@@ -4,7 +4,9 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+HERE = str(Path(__file__).resolve().parents[1])
+sys.path.insert(0, HERE)
+os.environ["PYTHONPATH"] = f"{HERE}:{os.environ.get('PYTHONPATH', '')}"
 
 
 @pytest.fixture(scope="session")
