@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sondera.llm import exact_dedup, mixing, packing, quality, simhash, tokens
+from sondera.llm import exact_dedup, mixing, packing, quality, simhash, substring_dedup, tokens
 
-_MODULES = (packing, tokens, quality, simhash, exact_dedup, mixing)
+_MODULES = (packing, tokens, quality, simhash, exact_dedup, mixing, substring_dedup)
 
 QUERIES = {m.NAME: m.query for m in _MODULES}
 ORACLE_SQL = {m.NAME: m.ORACLE_SQL for m in _MODULES if m.ORACLE_SQL}
