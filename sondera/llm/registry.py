@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sondera.llm import exact_dedup, mixing, packing, quality, scoring, simhash, substring_dedup, tokens
+from sondera.llm import exact_dedup, line_dedup, mixing, packing, quality, scoring, simhash, substring_dedup, tokens
 
-_MODULES = (packing, tokens, quality, simhash, exact_dedup, mixing, scoring, substring_dedup)
+_MODULES = (line_dedup, packing, tokens, quality, simhash, exact_dedup, mixing, scoring, substring_dedup)
 
 QUERIES = {m.NAME: m.query for m in _MODULES}
 ORACLE_SQL = {m.NAME: m.ORACLE_SQL for m in _MODULES if m.ORACLE_SQL}
