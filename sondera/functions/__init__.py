@@ -1 +1 @@
-"""Placeholder filled below."""
+"""Column expressions and scalar helpers; no Python UDFs in here."""

@@ -1 +1 @@
-"""Placeholder filled below."""
+"""DataFrame -> DataFrame operators."""
