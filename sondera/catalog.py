@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -11,3 +12,8 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     >>> table(spark, "/data/sf1", "events")  # doctest: +SKIP
     """
     return spark.read.parquet(f"{root}/{name}.parquet")
+
+
+def epoch(at: str) -> Column:
+    """Seconds since 1970 of a timestamp column, with or without time zone (the session zone is to be UTC)."""
+    return F.unix_micros(F.col(at).cast("timestamp")) / 1e6

@@ -1 +1,5 @@
-"""Placeholder filled below."""
+"""The registered queries over the star tables."""
+
+from sondera.plans import registry
+
+registry.load(*registry.MODULES)

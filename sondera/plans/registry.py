@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,5 +23,10 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def load() -> None:
+def load(*modules: str) -> None:
     """Import the modules that register queries."""
+    for name in modules:
+        import_module(f"sondera.plans.{name}")
+
+
+MODULES = ("signals", "relations", "geo")

@@ -1 +1 @@
-"""Placeholder filled below."""
+"""Readers and writers of detections, beam results, waveforms and exports."""
