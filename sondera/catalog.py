@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,3 +19,11 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def epoch(at: str) -> Column:
     """Seconds since 1970 of a timestamp column, with or without time zone (the session zone is to be UTC)."""
     return F.unix_micros(F.col(at).cast("timestamp")) / 1e6
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder (spark.checkpoint.dir; a new local one where none is set): rounds of an iteration survive lost executors."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
