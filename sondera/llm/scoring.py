@@ -35,7 +35,7 @@ from sondera.llm.common import cut, documents, text_or_empty
 NAME = "op9_lm_scoring"
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
 ALPHA = 0.1  # of the base score
-CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 CONTEXTS, STEP, ROUNDS = 24, 8, 40  # context buckets; histogram bins per factor of ten; EM rounds
 _END, _LEFT, _RIGHT = b" ", np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -44,14 +44,9 @@ class Grams:
     """Tokens of some texts: unigram and bigram keys (sorted, distinct), and each token's place among them."""
 
     def __init__(self, texts: list[bytes]):
-        flat: list[bytes] = []
-        self.n_tokens = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            words = text.lower().split()
-            flat += words
-            flat.append(_END)
-            self.n_tokens[i] = len(words) + 1
-        tokens = word_hashes(flat)
+        found = [word_hashes([*text.lower().split(), _END]) for text in texts]
+        self.n_tokens = np.fromiter(map(len, found), np.int64, len(found))
+        tokens = np.concatenate(found)
         self.doc = np.repeat(np.arange(len(texts)), self.n_tokens)
         before = np.roll(tokens, 1)  # the first token of a text follows the end of the one before
         pairs = mixed(before * _LEFT + tokens * _RIGHT)
@@ -165,9 +160,9 @@ def _histogram(n_kept: int):
             return pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.float64())] * 3, names)
         grams = Grams(docs.column("text").cast(pa.binary()).to_pylist())
         _, h, f2, f1 = _terms(grams, told, "kept", n_kept)
-        cells, at, n = np.unique(np.stack([_context(h), _bin(f2), _bin(f1)]), axis=1, return_inverse=True, return_counts=True)
-        at = at.ravel()
-        cols = [*map(pa.array, cells), pa.array(n.astype(float)), pa.array(np.bincount(at, weights=f2)), pa.array(np.bincount(at, weights=f1))]
+        code = (_context(h) * 2000 + _bin(f2) + 1000) * 2000 + _bin(f1) + 1000
+        cells, at, n = np.unique(code, return_inverse=True, return_counts=True)
+        cols = [pa.array(cells // 4_000_000), pa.array(cells // 2000 % 2000 - 1000), pa.array(cells % 2000 - 1000), pa.array(n.astype(float)), pa.array(np.bincount(at, weights=f2)), pa.array(np.bincount(at, weights=f1))]
         return pa.table(cols, names)
 
     return of_chunk
