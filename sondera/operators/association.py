@@ -30,7 +30,16 @@ def assign_windows(dets: DataFrame, rng_max: float = 2000.0) -> DataFrame:
     return dealt.withColumn("win", F.round((F.col("win_start") - F.col("t0")) / int(p * 0.5)).cast("long")).drop("win_start", "t0")
 
 
-def pair_region(a: Column, b: Column, width: float, rng_max: float, rad_min: float, rad_max: float) -> Column:
+#: Lines of two beams that are crossed, by their place in the vectors of ``with_beams``: 1 centre, 2 and 3 the edges.
+_CROSSINGS = ((1, 1), (1, 2), (1, 3), (2, 1), (3, 1), (2, 2), (3, 3), (2, 3), (3, 2))
+
+
+def with_beams(dets: DataFrame, width: float, rng_max: float) -> DataFrame:
+    """Detections with v: unit vectors of the place and of the ends of its beam's centre and edge lines; once per detection."""
+    return dets.withColumn("v", geodesy.beam_vectors("lat", "lon", "az", rng_max / 6370.0 * 180 / np.pi, (0.0, width, -width)))
+
+
+def pair_region(a: Column, b: Column, width: float, rad_min: float, rad_max: float) -> Column:
     """STRUCT(lat, lon, radius) of where two beams may meet, null if they do not.
 
     Nine arc crossings of the beams' centre and edge lines; the centre is the
@@ -38,11 +47,9 @@ def pair_region(a: Column, b: Column, width: float, rng_max: float, rad_min: flo
     between them, if one is, it reaches to the nearer array, else its radius is
     the mean distance of the edge crossings; within rad_min..rad_max and not over an array.
     """
-    arc = rng_max / 6370.0 * 180 / np.pi
     here = {k: (d["lat"], d["lon"]) for k, d in (("a", a), ("b", b))}
-    ends = {(k, w): geodesy.spherical_fwd(d["lat"], d["lon"], arc, d["az"] + w * width)[:2] for k, d in (("a", a), ("b", b)) for w in (-1, 0, 1)}
-    order = [(0, 0), (0, 1), (0, -1), (1, 0), (-1, 0), (1, 1), (-1, -1), (1, -1), (-1, 1)]
-    meets = F.array(*[geodesy.gcarc_intersect(here["a"], ends["a", i], here["b"], ends["b", j]) for i, j in order])
+    order = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _CROSSINGS])
+    meets = F.transform(order, lambda k: geodesy.arc_crossing(a["v"][0], a["v"][k["i"]], b["v"][0], b["v"][k["j"]]))
 
     def shaped(points: Column) -> Column:
         main = F.filter(F.slice(points, 1, 5), lambda x: x.isNotNull())
@@ -83,11 +90,11 @@ def pair_likelihoods(dets: DataFrame, width: float = 10.0, rng_max: float = 2000
     equal steps in azimuth; pairs of one array over azimuth and range from it.
     """
     rad_max = rng_max / 4 if rad_max is None else rad_max
-    det = F.struct("lat", "lon", "t", "az", "f_stat", "channels")
-    w = assign_windows(dets, rng_max).select("win", "id", det.alias("d"))
+    det = F.struct("lat", "lon", "t", "az", "f_stat", "channels", "v")
+    w = assign_windows(with_beams(dets, width, rng_max), rng_max).select("win", "id", det.alias("d"))
     pairs = w.select("win", F.col("id").alias("id_a"), F.col("d").alias("a")).join(w.select("win", F.col("id").alias("id_b"), F.col("d").alias("b")), "win").where("id_a < id_b").drop("win").dropDuplicates(["id_a", "id_b"])
     near = F.radians(geodesy.haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))) * geodesy.SPHERE_KM < 1.0
-    region = F.when(near, F.struct(F.col("a.lat").alias("lat"), F.col("a.lon").alias("lon"), F.lit(float(rng_max)).alias("radius"))).otherwise(pair_region(F.col("a"), F.col("b"), width, rng_max, rad_min, rad_max))
+    region = F.when(near, F.struct(F.col("a.lat").alias("lat"), F.col("a.lon").alias("lon"), F.lit(float(rng_max)).alias("radius"))).otherwise(pair_region(F.col("a"), F.col("b"), width, rad_min, rad_max))
     apart = F.abs(geodesy.azdiff(F.col("a.az"), F.col("b.az"))) > 2 * width
     pairs = pairs.withColumns({"near": near, "r": F.when(~(near & apart), region), "ka": circular.von_mises_kappa("a.f_stat", "a.channels"), "kb": circular.von_mises_kappa("b.f_stat", "b.channels")})
 

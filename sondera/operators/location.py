@@ -24,11 +24,12 @@ def event_rows(members: DataFrame) -> DataFrame:
 def event_region(events: DataFrame, width: float = 10.0, rad_min: float = 100.0, rad_max: float = 1000.0) -> DataFrame:
     """Adds lat0, lon0, radius: the mean of all crossings of the beams' centre lines, and the mean distance to the edge
     lines' crossings, within rad_min..rad_max and not over a station. Events whose beams never cross are left out."""
-    e = events.select("event_id", F.posexplode("dets").alias("i", "a"), "dets").select("event_id", "i", "a", F.posexplode("dets").alias("j", "b")).where("i < j")
-    end = lambda d, w: geodesy.spherical_fwd(F.col(f"{d}.lat"), F.col(f"{d}.lon"), 90.0, F.col(f"{d}.az") + w)[:2]
-    here = lambda d: (F.col(f"{d}.lat"), F.col(f"{d}.lon"))
-    lines = [(u * width, v * width) for u in (0, 1, -1) for v in (0, 1, -1)]
-    x = F.array(*[F.struct(F.lit(k == 0).alias("main"), geodesy.gcarc_intersect(here("a"), end("a", u), here("b"), end("b", v)).alias("p")) for k, (u, v) in enumerate(lines)])
+    beam = lambda d: F.struct(d["lat"].alias("lat"), geodesy.beam_vectors(d["lat"], d["lon"], d["az"], 90.0, (0.0, width, -width)).alias("v"))
+    e = events.select("event_id", F.transform("dets", beam).alias("beams"))
+    e = e.select("event_id", F.posexplode("beams").alias("i", "a"), "beams").select("event_id", "i", "a", F.posexplode("beams").alias("j", "b")).where("i < j")
+    lines = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (1, 2, 3) for j in (1, 2, 3)])
+    crossing = lambda k: geodesy.arc_crossing(F.col("a.v")[0], F.col("a.v")[k["i"]], F.col("b.v")[0], F.col("b.v")[k["j"]])
+    x = F.transform(lines, lambda k: F.struct(((k["i"] == 1) & (k["j"] == 1)).alias("main"), crossing(k).alias("p")))
     points = e.select("event_id", F.explode(x).alias("x")).where("x.p is not null").select("event_id", "x.main", "x.p.lat", "x.p.lon")
     lat, lon = (F.when(F.col("main"), c) for c in (F.col("lat"), F.col("lon")))
     from sondera.functions.circular import geographic_mean
