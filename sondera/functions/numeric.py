@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from math import exp, lgamma, log, log1p
 
 import numpy as np
@@ -33,6 +34,7 @@ def f_cdf(x: float, d1: float, d2: float) -> float:
     return incomplete_beta(d1 * x / (d1 * x + d2), d1 / 2, d2 / 2) if x > 0 else 0.0
 
 
+@lru_cache(maxsize=256)
 def f_ppf(p: float, d1: float, d2: float) -> float:
     """Quantile of the F distribution, by bisection."""
     lo, hi = 0.0, 1.0
@@ -120,26 +122,33 @@ METHODS = {"bartlett": "bartlett", "bartlett_covar": "bartlett_covar", "gls": "g
 
 
 def beam_power(x: np.ndarray, cov: np.ndarray, f: np.ndarray, delays: np.ndarray, method: str = "bartlett", signals: int = 1, noise_inverse: np.ndarray | None = None) -> np.ndarray:
-    """Mean power over frequencies for each row of delays[K, M]."""
-    method, m = METHODS[method.lower()], x.shape[0]
-    total = np.zeros(len(delays))
+    """Mean power over frequencies, [W, K], of W windows for each row of delays[K, M]; x[W, M, F], cov[W, F, M, M].
+
+    Steering vectors are made once per frequency and serve all windows.
+    """
+    method, m = METHODS[method.lower()], x.shape[1]
+    total = np.zeros((len(x), len(delays)))
     for i, freq in enumerate(f):
-        a = np.exp(2j * np.pi * freq * delays) / np.sqrt(m)
-        s = cov[i]
-        load = 1e-3 * np.trace(s).real / m * np.eye(m)
+        a = np.exp(-2j * np.pi * freq * delays) / np.sqrt(m)  # conjugate steering
+        size = np.maximum((np.abs(x[:, :, i]) ** 2).sum(axis=1), 1e-300)
         if method == "bartlett":
-            p = np.abs(a.conj() @ x[:, i]) ** 2 / max((np.abs(x[:, i]) ** 2).sum(), 1e-300)
-        elif method == "bartlett_covar":
-            p = np.einsum("km,mn,kn->k", a.conj(), s, a).real / max(np.trace(s).real, 1e-300)
-        elif method == "gls":
-            b = noise_inverse[i] if noise_inverse is not None else np.eye(m)
-            p = np.abs(a.conj() @ (b @ x[:, i])) ** 2 / np.einsum("km,mn,kn->k", a.conj(), b, a).real ** 2 / max((np.abs(x[:, i]) ** 2).sum(), 1e-300)
-        elif method == "capon":
-            p = 1 / np.einsum("km,mn,kn->k", a.conj(), np.linalg.inv(s + load), a).real / max(np.linalg.eigvalsh(s)[-1], 1e-300)
-        else:
-            vectors = np.linalg.eigh(s)[1][:, : m - signals]
-            p = 1 / np.maximum((np.abs(a.conj() @ vectors) ** 2).sum(axis=1), 1e-12)
-        total += p
+            total += (np.abs(a @ x[:, :, i].T) ** 2 / size).T
+            continue
+        for w in range(len(x)):
+            s = cov[w, i]
+            form = lambda b: np.einsum("km,mn,kn->k", a, b, a.conj(), optimize=True).real  # noqa: B023, E731
+            if method == "bartlett_covar":
+                p = form(s) / max(np.trace(s).real, 1e-300)
+            elif method == "gls":
+                b = noise_inverse[i] if noise_inverse is not None else np.eye(m)
+                p = np.abs(a @ (b @ x[w, :, i])) ** 2 / form(b) ** 2 / size[w]
+            elif method == "capon":
+                load = 1e-3 * np.trace(s).real / m * np.eye(m)
+                p = 1 / form(np.linalg.inv(s + load)) / max(np.linalg.eigvalsh(s)[-1], 1e-300)
+            else:
+                vectors = np.linalg.eigh(s)[1][:, : m - signals]
+                p = 1 / np.maximum((np.abs(a @ vectors) ** 2).sum(axis=1), 1e-12)
+            total[w] += p
     return total / max(len(f), 1)
 
 
@@ -254,3 +263,47 @@ def butterworth(x: np.ndarray, dt: float, low: float | None, high: float | None,
         gain /= 1 + (f / high) ** (2 * order)
     mirrored = np.concatenate([x, x[..., ::-1]], axis=-1)
     return np.fft.irfft(np.fft.rfft(mirrored) * gain, 2 * n)[..., :n]
+
+
+# ------------------------------------------------------------ pair likelihoods
+
+
+def _azimuth_and_km(lat0, lon0, lat1, lon1, radius: float):
+    a0, a1, d = np.radians(lat0), np.radians(lat1), np.radians(lon1 - lon0)
+    h = np.sin((a1 - a0) / 2) ** 2 + np.cos(a0) * np.cos(a1) * np.sin(d / 2) ** 2
+    az = np.arctan2(np.sin(d) * np.cos(a1), np.cos(a0) * np.sin(a1) - np.sin(a0) * np.cos(a1) * np.cos(d))
+    return az, 2 * radius * np.arctan2(np.sqrt(h), np.sqrt(np.maximum(1 - h, 0)))
+
+
+def disc_integral(a: dict, b: dict, centre: dict, flat: np.ndarray, nodes: int, radius: float, mixture: tuple) -> np.ndarray:
+    """Joint density of many pairs of detections integrated over their discs.
+
+    a, b: lat, lon, az, t, kappa (arrays of n pairs); centre: lat, lon, radius. Gauss-Legendre nodes in range, equal steps in azimuth;
+    where ``flat`` is set, azimuth (in degrees) and range are integrated without the factor r. The time marginal of two
+    mixtures of Gaussians is a sum over all pairs of components.
+    """
+    x, wx = np.polynomial.legendre.leggauss(nodes)
+    u, wu = (x + 1) / 2, wx / 2
+    turn = 2 * np.pi / (2 * nodes)
+    z = np.arange(2 * nodes) * turn
+    col = lambda v: np.asarray(v, float)[:, None, None]
+    km = col(centre["radius"]) * u[None, :, None]
+    la0, arc = np.radians(col(centre["lat"])), km / radius
+    sin1 = np.sin(la0) * np.cos(arc) + np.cos(la0) * np.sin(arc) * np.cos(z)
+    la1 = np.arcsin(np.clip(sin1, -1, 1))
+    lo1 = np.radians(col(centre["lon"])) + np.arctan2(np.sin(z) * np.sin(arc) * np.cos(la0), np.cos(arc) - np.sin(la0) * sin1)
+    lat, lon = np.degrees(la1), np.degrees(lo1)
+    value, far = 1.0, []
+    for d in (a, b):
+        az, r = _azimuth_and_km(col(d["lat"]), col(d["lon"]), lat, lon, radius)
+        k = col(d["kappa"])
+        value = value * np.exp(k * np.cos(az - np.radians(col(d["az"]))) - np.log(2 * np.pi * np.i0(k)))
+        far.append(np.maximum(r, 0.1))
+    total = 0.0
+    gap = col(a["t"]) - col(b["t"])
+    for wi, mi, si in zip(*mixture, strict=True):
+        for wj, mj, sj in zip(*mixture, strict=True):
+            var = (far[0] * si) ** 2 + (far[1] * sj) ** 2
+            total = total + wi * wj * np.exp(-0.5 * (gap - far[0] * mi + far[1] * mj) ** 2 / var) / np.sqrt(2 * np.pi * var)
+    area = np.where(np.asarray(flat)[:, None, None], 180 / np.pi, km)
+    return (value * total * area * wu[None, :, None]).sum(axis=(1, 2)) * turn * np.asarray(centre["radius"], float)

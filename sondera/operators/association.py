@@ -1,21 +1,23 @@
 """Association: pair likelihoods on polar grids, hierarchical clusters per window, events.
 
 Pairs are made once per pair of detections that share a window, not once per
-window; their likelihood is a sum over an exploded polar grid, so the whole of
-the integration is Spark expressions. Only the clustering of one window's
-detections, a few hundred at most, is a grouped pandas function.
+window, and their discs are worked out as columns. Two steps are numpy: the
+integral over a disc, in Arrow batches of pairs, and the clustering of one
+window's detections, a few hundred at most.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondera.catalog import durable
-from sondera.functions import circular, geodesy, numeric
-from sondera.operators import likelihood, windows
+from sondera.functions import circular, geodesy, numeric, physics
+from sondera.operators import windows
 
 SMALLEST = 2.0**-53
 #: Largest number of detections that one association window is clustered for; more means the window is too long.
@@ -86,8 +88,8 @@ def pair_likelihoods(dets: DataFrame, width: float = 10.0, rng_max: float = 2000
     """id_a < id_b, likelihood of every pair of detections that share an association window.
 
     The joint density (two von Mises factors and the closed-form time marginal)
-    is integrated over the pair's disc with Gauss-Legendre nodes in range and
-    equal steps in azimuth; pairs of one array over azimuth and range from it.
+    is integrated over the pair's disc, a batch of pairs at a time; pairs of one
+    array over azimuth and range from it. Beams that do not meet give SMALLEST.
     """
     rad_max = rng_max / 4 if rad_max is None else rad_max
     det = F.struct("lat", "lon", "t", "az", "f_stat", "channels", "v")
@@ -98,18 +100,22 @@ def pair_likelihoods(dets: DataFrame, width: float = 10.0, rng_max: float = 2000
     apart = F.abs(geodesy.azdiff(F.col("a.az"), F.col("b.az"))) > 2 * width
     pairs = pairs.withColumns({"near": near, "r": F.when(~(near & apart), region), "ka": circular.von_mises_kappa("a.f_stat", "a.channels"), "kb": circular.von_mises_kappa("b.f_stat", "b.channels")})
 
-    x, wx = np.polynomial.legendre.leggauss(nodes)
-    grid = F.array(*[F.struct(F.lit(float((xi + 1) / 2)).alias("u"), F.lit(float(wi / 2)).alias("w")) for xi, wi in zip(x, wx, strict=True)])
-    turn = 360.0 / (2 * nodes)
-    cells = pairs.where("r is not null").select("id_a", "id_b", "a", "b", "ka", "kb", "near", "r", F.explode(grid).alias("g")).withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(2 * nodes - 1))))
-    km = F.col("g.u") * F.col("r.radius")
-    lat, lon, _ = geodesy.spherical_fwd(F.col("r.lat"), F.col("r.lon"), F.degrees(km / geodesy.SPHERE_KM), F.col("z") * turn)
-    cells = cells.select("*", km.alias("km"), lat.alias("la"), lon.alias("lo"))
-    at = lambda d: F.greatest(likelihood.range_km(F.col(d), F.col("la"), F.col("lo")), F.lit(0.1))
-    value = likelihood.azimuth_pdf(F.col("a"), F.col("la"), F.col("lo"), F.col("ka")) * likelihood.azimuth_pdf(F.col("b"), F.col("la"), F.col("lo"), F.col("kb")) * likelihood.pair_time_marginal(F.col("a.t"), F.col("b.t"), at("a"), at("b"))
-    area = F.col("g.w") * F.col("r.radius") * float(np.radians(turn)) * F.when(F.col("near"), F.lit(180 / np.pi)).otherwise(F.col("km"))
-    total = cells.groupBy("id_a", "id_b").agg((F.sum(value * area) / (np.pi * rng_max)).alias("likelihood"))
-    return pairs.select("id_a", "id_b").join(total, ["id_a", "id_b"], "left").withColumn("likelihood", F.coalesce("likelihood", F.lit(SMALLEST)))
+    mixture = (physics.RCEL_WEIGHTS, physics.RCEL_MEANS, physics.RCEL_SDS)
+    names = ("lat", "lon", "az", "t")
+    flat = [F.col(f"{d}.{n}").alias(f"{d}_{n}") for d in "ab" for n in names]
+    rows = pairs.select("id_a", "id_b", "near", *flat, F.col("ka").alias("a_kappa"), F.col("kb").alias("b_kappa"), F.col("r.lat").alias("r_lat"), F.col("r.lon").alias("r_lon"), F.col("r.radius").alias("r_radius"))
+
+    def batches(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in found:
+            for lo in range(0, len(pdf), 256):  # a few MB of grid at a time
+                part = pdf.iloc[lo : lo + 256]
+                side = lambda d, ns: {n: part[f"{d}_{n}"].to_numpy(float) for n in ns}  # noqa: B023, E731
+                value = numeric.disc_integral(side("a", (*names, "kappa")), side("b", (*names, "kappa")), side("r", ("lat", "lon", "radius")), part["near"].to_numpy(bool), nodes, geodesy.SPHERE_KM, mixture)
+                value = np.where(np.isfinite(value), value / (np.pi * rng_max), SMALLEST)
+                yield pd.DataFrame({"id_a": part["id_a"], "id_b": part["id_b"], "likelihood": np.maximum(value, SMALLEST)})
+
+    kind = dets.schema["id"].dataType.simpleString()
+    return rows.mapInPandas(batches, f"id_a {kind}, id_b {kind}, likelihood double")
 
 
 def distances(pairs: DataFrame, most: float = 8.0) -> DataFrame:

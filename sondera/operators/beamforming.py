@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from sondera.functions import numeric
 
 
+#: Windows that are beamformed together.
+AT_ONCE = 32
+
+
 @dataclass(frozen=True)
 class Beam:
     """Parameters of a beamforming run; the defaults are those of the literature for regional infrasound."""
@@ -72,24 +76,34 @@ def beam_rows(windows: DataFrame, beam: Beam) -> DataFrame:
     schema = "array_id string, t double, back_az double, trace_vel double, power double, f_stat double, channels int"
     az, vel = beam.axes()
 
+    coherent = numeric.METHODS[beam.method.lower()] in ("bartlett", "bartlett_covar", "gls")
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def of_windows(rows: list[tuple]) -> pd.DataFrame:
+        """Windows that share geometry and rate: one steering matrix per frequency for all of them."""
+        dt, geometry = rows[0][4], rows[0][5]
+        sub = int(beam.sub_length / dt) if beam.sub_length else None
+        made = [numeric.spectra(r[3], dt, sub, taper=beam.taper) for r in rows]
+        f = made[0][2]
+        band = (f >= beam.freq[0]) & (f <= beam.freq[1])
+        power = numeric.beam_power(np.stack([x[:, band] for x, _, _ in made]), np.stack([s[band] for _, s, _ in made]), f[band], delays_of(geometry, az, vel), beam.method, beam.signals)
+        out = []
+        for (array_id, start, m, *_), p in zip(rows, power, strict=True):
+            z, v, top = numeric.refined_peak(p, az, vel)
+            out.append((array_id, float(np.floor(start + beam.length / 2)), z, v, top, top / max(1 - top, 1e-12) * (m - 1) if coherent else np.nan, int(m)))
+        return pd.DataFrame(out, columns=names)
+
     def batches(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, np.ndarray] = {}
         for pdf in found:
-            out = []
+            groups: dict[tuple, list[tuple]] = {}
             for array_id, start, m, c in zip(pdf["array_id"], pdf["start"], pdf["m"], pdf["c"], strict=True):
                 x, dt, geometry = aligned(list(c), beam.length)
-                sub = int(beam.sub_length / dt) if beam.sub_length else None
-                spec, cov, f = numeric.spectra(x, dt, sub, taper=beam.taper)
-                band = (f >= beam.freq[0]) & (f <= beam.freq[1])
-                key = geometry.tobytes()
-                if key not in known:
-                    known.clear()
-                    known[key] = delays_of(geometry, az, vel)
-                power = numeric.beam_power(spec[:, band], cov[band], f[band], known[key], beam.method, beam.signals)
-                z, v, p = numeric.refined_peak(power, az, vel)
-                coherent = numeric.METHODS[beam.method.lower()] in ("bartlett", "bartlett_covar", "gls")
-                out.append((array_id, float(np.floor(start + beam.length / 2)), z, v, p, p / max(1 - p, 1e-12) * (m - 1) if coherent else np.nan, int(m)))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
+                key = (geometry.tobytes(), dt)
+                groups.setdefault(key, []).append((array_id, start, m, x, dt, geometry))
+                if len(groups[key]) >= AT_ONCE:
+                    yield of_windows(groups.pop(key))
+            for rows in groups.values():
+                yield of_windows(rows)
 
     return windows.mapInPandas(batches, schema)
 

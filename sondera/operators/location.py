@@ -7,10 +7,12 @@ summed with Simpson weights.
 
 from __future__ import annotations
 
+from math import radians
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondera.functions import geodesy
+from sondera.functions import geodesy, physics
 from sondera.operators import integrate, likelihood
 
 
@@ -44,7 +46,7 @@ def event_region(events: DataFrame, width: float = 10.0, rad_min: float = 100.0,
 
 
 def posterior(regions: DataFrame, nodes: int = 41, times: int = 41) -> DataFrame:
-    """event_id, i, j, k, lat, lon, t, p, w: density at each grid node and its Simpson weight (radians squared times seconds). Node counts must be odd."""
+    """event_id, i, j, k, lat, lon, t, t0, p, w: density at each grid node and its Simpson weight (radians squared times seconds); t0 is the first time. Node counts must be odd."""
     if nodes % 2 == 0 or times % 2 == 0:
         raise ValueError("odd numbers of nodes only")
     deg = F.degrees(F.col("radius") / geodesy.SPHERE_KM)
@@ -56,32 +58,38 @@ def posterior(regions: DataFrame, nodes: int = 41, times: int = 41) -> DataFrame
     g = g.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nodes - 1))))
     half = (nodes - 1) / 2
     g = g.withColumns({"lat": F.col("lat0") + (F.col("i") - half) * F.col("dlat"), "lon": F.col("lon0") + (F.col("j") - half) * F.col("dlon")})
-    fold = lambda f: F.aggregate("dets", F.lit(1.0), lambda s, d: s * f(d))
-    g = g.withColumn("az_p", fold(lambda d: likelihood.azimuth_pdf(d, F.col("lat"), F.col("lon"))))
+    fold = lambda f: F.aggregate("c", F.lit(1.0), lambda s, d: s * f(d))
+    at_cell = lambda d: F.struct(d["t"].alias("t"), F.greatest(likelihood.range_km(d, F.col("lat"), F.col("lon")), F.lit(1e-3)).alias("km"), likelihood.azimuth_pdf(d, F.col("lat"), F.col("lon")).alias("z"))
+    g = g.withColumn("c", F.transform("dets", at_cell)).drop("dets")  # ranges and azimuths once per cell, not per time
     g = g.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("t", F.col("t_lo") + F.col("k") * F.col("dt"))
-    p = F.col("az_p") * fold(lambda d: likelihood.range_celerity_pdf(d, F.col("lat"), F.col("lon"), F.col("t")))
+    p = fold(lambda d: d["z"] * F.coalesce(physics.rcel_pdf((d["t"] - F.col("t")) / d["km"]) / d["km"], F.lit(1.0)))
     n, m = F.lit(nodes), F.lit(times)
     w = integrate.simpson_weight(F.col("i"), n) * integrate.simpson_weight(F.col("j"), n) * integrate.simpson_weight(F.col("k"), m) / 27
     w = w * F.radians("dlat") * F.radians("dlon") * F.cos(F.radians("lat")) * F.col("dt")
-    return g.select("event_id", "i", "j", "k", "lat", "lon", "t", p.alias("p"), w.alias("w"))
+    return g.select("event_id", "i", "j", "k", "lat", "lon", "t", F.col("t_lo").alias("t0"), p.alias("p"), w.alias("w"))
 
 
 def summary(cells: DataFrame) -> DataFrame:
     """One row per event: means and deviations (km) of the position, covariance, most likely cell and time, mean and deviation of the origin time."""
-    mass = F.sum(F.col("p") * F.col("w"))
-    mean = lambda c: F.sum(F.col("p") * F.col("w") * F.col(c)) / mass
-    one = cells.groupBy("event_id").agg(mass.alias("mass"), mean("lat").alias("lat_mean"), mean("lon").alias("lon_mean"), mean("t").alias("t_mean"))
-    x = cells.join(one, "event_id")
-    km = geodesy.SPHERE_KM
-    dy = F.radians(F.col("lat") - F.col("lat_mean")) * km
-    dx = F.radians(F.col("lon") - F.col("lon_mean")) * km * F.cos(F.radians("lat_mean"))
-    dt = F.col("t") - F.col("t_mean")
     pw = F.col("p") * F.col("w")
-    two = x.groupBy("event_id").agg(F.sqrt(F.sum(pw * dx * dx) / F.sum(pw)).alias("sd_x"), F.sqrt(F.sum(pw * dy * dy) / F.sum(pw)).alias("sd_y"), (F.sum(pw * dx * dy) / F.sum(pw)).alias("cov"), F.sqrt(F.sum(pw * dt * dt) / F.sum(pw)).alias("sd_t"))
-    flat = cells.groupBy("event_id", "i", "j").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.sum(F.col("p") * F.col("w") / F.cos(F.radians("lat"))).alias("q"), F.max_by("t", "p").alias("t"))
-    best = flat.groupBy("event_id").agg(F.max_by(F.struct("lat", "lon", "t"), F.struct("q", -F.col("i"), -F.col("j"))).alias("b"))
-    out = one.join(two, "event_id").join(best, "event_id")
-    return out.select("*", F.col("b.lat").alias("lat_map"), F.col("b.lon").alias("lon_map"), F.col("b.t").alias("t_map")).drop("b")
+    base = F.col("t") - F.col("t0")
+    flat = cells.groupBy("event_id", "i", "j").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.sum(pw).alias("m"), F.sum(pw * F.col("t")).alias("mt"), F.sum(pw * base * base).alias("mb2"), F.sum(pw * base).alias("mb"), F.sum("p").alias("q"), F.max_by("t", "p").alias("t"))
+    total = lambda c: F.sum(F.col("m") * c) / F.sum("m")
+    lat, lon = F.col("lat"), F.col("lon")
+    best = F.max_by(F.struct("lat", "lon", "t"), F.struct("q", -F.col("i"), -F.col("j")))
+    one = flat.groupBy("event_id").agg(
+        F.sum("m").alias("mass"), total(lat).alias("lat_mean"), total(lon).alias("lon_mean"), (F.sum("mt") / F.sum("m")).alias("t_mean"),
+        total(lat * lat).alias("yy"), total(lon * lon).alias("xx"), total(lat * lon).alias("xy"), (F.sum("mb") / F.sum("m")).alias("b1"), (F.sum("mb2") / F.sum("m")).alias("b2"), best.alias("b"),
+    )
+    deg = radians(1.0) * geodesy.SPHERE_KM
+    east = deg * F.cos(F.radians("lat_mean"))
+    root = lambda v: F.sqrt(F.greatest(v, F.lit(0.0)))
+    return one.select(
+        "event_id", "mass", "lat_mean", "lon_mean", "t_mean",
+        (east * root(F.col("xx") - F.col("lon_mean") ** 2)).alias("sd_x"), (deg * root(F.col("yy") - F.col("lat_mean") ** 2)).alias("sd_y"),
+        (east * deg * (F.col("xy") - F.col("lat_mean") * F.col("lon_mean"))).alias("cov"), root(F.col("b2") - F.col("b1") ** 2).alias("sd_t"),
+        F.col("b.lat").alias("lat_map"), F.col("b.lon").alias("lon_map"), F.col("b.t").alias("t_map"),
+    )
 
 
 def time_bounds(cells: DataFrame, level: float = 0.9) -> DataFrame:

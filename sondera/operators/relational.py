@@ -35,9 +35,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, pa
     a = left.withColumns({"__right": F.lit(0), "__p": F.lit(None).cast(right.select(F.struct(at, *payload).alias("x")).schema["x"].dataType)})
     b = right.select(*keys, at, F.lit(1).alias("__right"), F.struct(at, *payload).alias("__p"))
     both = a.unionByName(b, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy(at, F.desc("__right"))
-    before = F.last("__p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__p", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    so_far = lambda order: F.last("__p", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order, F.desc("__right")).rowsBetween(Window.unboundedPreceding, 0))
+    before, after = so_far(F.asc(at)), so_far(F.desc(at))  # growing frames both ways: a shrinking one costs a pass per row
     both = both.withColumns({"__x": before, "__y": after}).where("__right = 0")
     near = F.when(F.col("__y").isNull() | (F.col(at) - F.col("__x")[at] <= F.col("__y")[at] - F.col(at)), F.col("__x")).otherwise(F.col("__y"))
     both = both.withColumn("__n", near)

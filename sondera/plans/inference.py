@@ -165,8 +165,8 @@ def bisl_grid_posterior(spark, d):
 
 @query("spye_posterior")
 def spye_posterior(spark, d):
-    """Yields of orders seen from two stations at five frequencies."""
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), (5.0 + F.col("o_orderkey") % 200).alias("tons"))
+    """Yields of events, one per customer, seen from two stations at five frequencies."""
+    o = table(spark, d, "customer").select(F.col("c_custkey").alias("event_id"), (5.0 + F.col("c_custkey") % 200).alias("tons"))
     x = o.withColumn("s", F.explode(F.array(*[F.struct(F.lit(n).alias("station"), F.lit(km).alias("km")) for n, km in (("a", 200.0), ("b", 400.0))])))
     x = x.withColumn("f", F.explode(F.array(*[F.lit(v) for v in (0.25, 0.35, 0.5, 0.7, 1.0)]))).select("event_id", "tons", "s.station", "s.km", "f")
     level = physics.decibel(physics.blast_spectrum("f", F.col("tons") * 2000, F.lit(1.0))) * 2

@@ -82,10 +82,10 @@ def define_detection(df: DataFrame) -> DataFrame:
 
 
 def write_detections(df: DataFrame, path: str, by: str | None = None) -> None:
-    """Detections as JSON records under the current keys, one folder per value of ``by``; never overwrites."""
+    """Detections as JSON records under the current keys, one folder ``by_<column>=<value>`` for each value of ``by``; never overwrites."""
     known = [F.col(n).cast("string" if n == "time" else k[0]).alias(k[1]) for n, k in FIELDS.items() if n in df.columns]
-    writer = df.select(*known, *[by] if by else []).write.mode("errorifexists")
-    (writer.partitionBy(by) if by else writer).json(path)
+    writer = df.select(*known, *[F.col(by).alias(f"by_{by}")] if by else []).write.mode("errorifexists")
+    (writer.partitionBy(f"by_{by}") if by else writer).json(path)
 
 
 def export_beams(df: DataFrame, path: str) -> None:

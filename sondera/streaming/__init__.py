@@ -1 +1 @@
-"""Placeholder filled below."""
+"""Structured Streaming forms of windows and detection runs."""
