@@ -8,6 +8,9 @@ has and passes straight through, without a shuffle. Only the rest shuffle, as
 SHA-256 digests, and are grouped exactly; false positives come out as groups
 of one. No repeated text is missed, since equal texts share a cell.
 
+The groups' results are written to the shared folder before rows join them, so
+that both sides of the join are plain shuffles and a hot group's rows can be split.
+
 The filter has one word for eight rows. It is broadcast while that bound stays
 within ``broadcast_bytes``; beyond it the same test is an ordinary join.
 
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondera.llm.common import documents, text_or_empty
+from sondera.llm.common import cut, documents, text_or_empty
 
 NAME = "op7_exact_dedup"
 ROWS_PER_WORD = 8
@@ -63,7 +66,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     groups = by_id.groupBy("text_sha256").agg(F.max(F.struct(F.col(id_col).alias("id"), "n", "row")).alias("__keep"), F.sum("n").alias("group_size"))
     stays = F.col(id_col).eqNullSafe(F.col("__keep.id")) & ((F.col("__keep.n") == 1) | (F.col("__row") == F.col("__keep.row")))
     out = [*df.columns, "keep_id", "group_size", "kept", "text_sha256"]
-    members = some.join(groups, "text_sha256").withColumns({"keep_id": F.col("__keep.id"), "kept": stays})
+    members = some.join(cut(groups, "groups"), "text_sha256").withColumns({"keep_id": F.col("__keep.id"), "kept": stays})
     single = alone.withColumns({"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     return single.select(out).unionByName(members.select(out))
 
