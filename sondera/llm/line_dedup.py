@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondera.llm.common import WORD, documents
+from sondera.llm.common import WORD, cut, documents
 
 NAME = "op1_line_dedup"
 MIN_WORDS, MIN_SITES, BAND, LG_K = 3, 5, 2.0, 12
@@ -55,7 +55,7 @@ def boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "text",
 def line_dedup(df: DataFrame, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
     """``df`` with kept_text, n_lines and n_removed."""
     df = df.drop(*[c for c in ("kept_text", "n_lines", "n_removed") if c not in (site_col, text_col)])
-    common = boilerplate(df, site_col, text_col, min_sites)
+    common = cut(boilerplate(df, site_col, text_col, min_sites), "boilerplate")  # a hot line's rows can then be split in the join
     keyed = df.withColumn("__key", F.xxhash64(text_col))
     hashes = F.array_distinct(F.filter(F.transform(_lines(df, text_col), _hash), lambda h: h.isNotNull()))
     found = keyed.select("__key", F.explode(hashes).alias("h")).join(common, "h", "left_semi")
