@@ -222,7 +222,7 @@ def _classes(marked: DataFrame, id_col: str) -> DataFrame:
     smallest = linked.groupBy("root").agg(F.min("__own").alias("__min"))
     ids = linked.join(smallest, "root").select(F.col("node"), "__min")
     ids = own.join(ids, own["__fp"] == F.col("node"), "left").select("__fp", F.coalesce("__min", "__own").alias("component_id"))
-    return marked.join(ids, "__fp")
+    return marked.join(cut(ids, "classes"), "__fp")  # both sides are plain shuffles, so a hot fingerprint's rows can be split
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
