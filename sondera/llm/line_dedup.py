@@ -45,7 +45,7 @@ def boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "text",
     lines = df.select(F.col(site_col).alias("site"), F.explode(_lines(df, text_col)).alias("line"))
     lines = lines.select("site", _hash(F.col("line")).alias("h")).where("h is not null and site is not null")
     spread = lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.col("site").cast("string"), LG_K)).alias("sites"))
-    spread = spread.where(F.col("sites") >= min_sites / BAND)
+    spread = cut(spread.where(F.col("sites") >= min_sites / BAND), "spread")
     clear = spread.where(F.col("sites") > min_sites * BAND).select("h")
     near = spread.where(F.col("sites") <= min_sites * BAND).select("h")
     exact = lines.join(near, "h", "left_semi").groupBy("h").agg(F.countDistinct("site").alias("n")).where(F.col("n") >= min_sites)
