@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sondera.llm import exact_dedup, mixing, packing, quality, simhash
+from sondera.llm import exact_dedup, mixing, near_dedup, packing, quality
 from sondera.llm.common import cut, documents
 
 STAGES = [
     ("quality rules", quality.stage),
     ("exact dedup", exact_dedup.stage),
-    ("near dedup", simhash.stage),
+    ("near dedup", near_dedup.stage),
     ("source mixing", mixing.stage),
     ("packing", packing.stage),
 ]

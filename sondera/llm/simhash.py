@@ -230,10 +230,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest id; rows without an id stay where no other does."""
-    gone = near_duplicates(docs).where("component_id is not null and doc_id is not null and doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-
-
 ORACLE_SQL = None  # XXH64 and the components have no DuckDB form; tests hold the query against brute force
