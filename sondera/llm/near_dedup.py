@@ -10,12 +10,17 @@ Nothing is estimated; every pair at or above the bound is found.
 2. Each prefix shingle is a bucket of rows. Buckets of one are dropped, and of
    buckets with the same rows one stays. A bucket above ``BUCKET`` rows or
    ``BUCKET_BYTES`` is split into chunks, and every pair of chunks is a bucket of
-   its own. The rows meet their whole shingle sets, and exact overlaps decide;
-   of a bucket's links a spanning forest leaves it.
+   its own. A bucket first compares bit sketches: a shingle toggles one bit of
+   about n, so two sketches differ in no more bits than the sets in shingles,
+   and a pair whose sketches differ too much is none. Rows that are left in
+   one group meet their whole shingle sets, and exact overlaps decide; of a
+   group's links a spanning forest leaves it.
 3. Connected components as in op6, on row keys; one row of each stays.
 
 Edge cases: a text of five words or fewer is one shingle; null and blank texts
-are one shingle, too, and near copies of each other. An empty table gives an
+are one shingle, too, and near copies of each other. Of a component the row
+with the smallest id stays, null ids rank last, and ties go to the first row
+written. Rows that share an id are rows of their own. An empty table gives an
 empty result. Texts are read whole.
 """
 
@@ -26,7 +31,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sondera.llm.common import cut
@@ -36,6 +41,7 @@ SHINGLE = 5
 SHARE = (4, 5)  # least similarity, as a fraction of whole numbers
 CELLS = 1 << 18
 BUCKET, BUCKET_BYTES = 1024, 4 << 20
+BROADCAST_ROWS = 1 << 19
 
 
 def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -83,6 +89,32 @@ def forest(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
     return left, right
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the shingles in each of 2**k >= n hash cells, 64 or more, as words; halves XORed give the next smaller sketch."""
+    bits = max(64, 1 << (len(hashes) - 1).bit_length())
+    odd = np.bincount(((hashes >> np.uint64(24)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def sketch_groups(sizes: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
+    """Group labels that hold together all pairs of sets whose sizes and sketches allow the least similarity."""
+    lab, words = np.arange(len(sizes)), np.fromiter(map(len, sketches), np.int64, len(sizes))
+    for width in np.unique(words).tolist():
+        own, twice = np.flatnonzero(words == width), np.flatnonzero(words == 2 * width)
+        at = np.r_[own, twice]
+        made = np.stack([*(sketches[x] for x in own), *(sketches[x][:width] ^ sketches[x][width:] for x in twice)])
+        for x, i in enumerate(own.tolist()):
+            rest = at[x + 1 :]
+            small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
+            open_ = np.flatnonzero((lab[rest] != lab[i]) & (SHARE[1] * small >= SHARE[0] * large))
+            apart = np.bitwise_count(made[x + 1 + open_] ^ made[x]).sum(axis=1, dtype=np.int64)
+            near = (SHARE[1] + SHARE[0]) * apart <= (SHARE[1] - SHARE[0]) * (sizes[i] + sizes[rest[open_]])
+            for j in rest[open_[near]].tolist():
+                if lab[i] != lab[j]:
+                    lab[lab == lab[j]] = lab[i]
+    return lab
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
     return (shingle_set(t.as_py()) for t in texts)
@@ -106,6 +138,55 @@ def _ranks(rows: DataFrame) -> np.ndarray:
     return ranks
 
 
+def _by_key(keys: list[str], values: list[str], of_group, names: list[str]):
+    """A mapInArrow function that hands runs of equal ``keys`` to ``of_group`` and yields the int64 columns it gives."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], [[] for _ in names]
+        for batch in found:
+            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in keys + values]
+            for at, *rest in zip(zip(*cols[: len(keys)], strict=True), *cols[len(keys) :], strict=True):
+                if at != key:
+                    of_group(held, out)
+                    key, held = at, []
+                held.append(rest)
+            if len(out[0]) >= 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names)
+                out = [[] for _ in names]
+        of_group(held, out)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names)
+
+    return run
+
+
+def _group(held: list[list], out: list[list]):
+    """Rows (__row, g) of the sketch groups of two or more; g names the group's rows."""
+    import xxhash
+
+    if len(held) < 2:
+        return
+    rows = np.array([r for r, _, _ in held], np.int64)
+    lab = sketch_groups(np.array([n for _, n, _ in held], np.int64), [np.frombuffer(x, np.uint64) for _, _, x in held])
+    order = np.argsort(lab, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(lab[order])) + 1):
+        if len(part) > 1:
+            own = np.sort(rows[part])
+            out[0].extend(own.tolist())
+            out[1].extend([int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64))] * len(own))
+
+
+def _link(held: list[list], out: list[list]):
+    if len(held) > 1:
+        for to, at in zip(out, forest([np.frombuffer(x, np.uint64) for _, x in held]), strict=True):
+            to.extend(held[x][0] for x in at)
+
+
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written, and broadcast to joins while it has no more than ``BROADCAST_ROWS`` rows."""
+    df = cut(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def links(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (u, v) of row keys that connect all similar pairs of ``rows`` (__row, text), some more than once."""
     ranks = rows.sparkSession.sparkContext.broadcast(_ranks(rows))
@@ -117,55 +198,39 @@ def links(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
             offsets = np.cumsum([0, *map(len, first)]).astype(np.int32)
             flat = np.concatenate(first).view(np.int64) if first else np.zeros(0, np.int64)
             sizes = pa.array(np.fromiter(map(len, sets), np.int64, len(sets)))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("__row")), sizes, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["__row", "size", "ks"])
-
-    first = cut(rows.select("__row", "text").mapInArrow(prefixes, "__row long, size long, ks array<long>"), "prefixes")
-    members = first.select("__row", "size", F.explode("ks").alias("k"))
-    marks = [F.sum(F.xxhash64("__row", F.lit(i)).cast("decimal(20,0)")).alias(f"m{i}") for i in (0, 1)]
-    same = members.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), *marks).where("n > 1")
-    kept = cut(same.groupBy("n", "size", "m0", "m1").agg(F.min("k").alias("k")).select("k", F.ceil(F.greatest(F.col("n") / bucket, F.col("size") * 8 / BUCKET_BYTES)).cast("int").alias("c")), "buckets")
+            bits = pa.array([sketch(s).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("__row")), sizes, bits, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["__row", "size", "bits", "ks"])
+
+    first = cut(rows.select("__row", "text").mapInArrow(prefixes, "__row long, size long, bits binary, ks array<long>"), "prefixes")
+    same = Window.partitionBy("k")
+    members = first.select("__row", F.col("size").cast("int").alias("size"), F.explode("ks").alias("k"))
+    shared = members.select("__row", F.count(F.lit(1)).over(same).alias("n"), F.sum("size").over(same).alias("s"), F.bit_xor(F.xxhash64("__row")).over(same).alias("m")).where("n > 1")
+    places = shared.groupBy("__row").agg(F.collect_set(F.struct("n", "s", "m")).alias("at"))
+    met = first.select("__row", "size", "bits").join(places, "__row").select("__row", "size", "bits", F.explode("at").alias("a")).select("__row", "size", "bits", "a.*")
+    met = met.withColumn("c", F.ceil(F.greatest(F.col("n") / bucket, F.col("s") * 8 / BUCKET_BYTES)).cast("int"))
     own = F.pmod(F.xxhash64("__row"), F.col("c")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: F.least(own, j) * F.col("c") + F.greatest(own, j))
-    places = members.join(kept, "k").groupBy("__row").agg(F.collect_list(F.struct("k", "c")).alias("at"))
+    key = ["m", "n", "s", "p"]
+    met = met.select("m", "n", "s", F.explode(pairs).alias("p"), "__row", "size", "bits").repartition(*key).sortWithinPartitions(*key, "__row")
+    grouped = met.mapInArrow(_by_key(key, ["__row", "size", "bits"], _group, ["__row", "g"]), "__row long, g long")
+    wanted = _small(grouped.groupBy("__row").agg(F.collect_set("g").alias("gs")), "groups")
 
     def sets(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in ("__row", "at")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in _texts(batch)], pa.binary())], ["__row", "at", "set"])
-
-    met = rows.select("__row", "text").join(places, "__row").select("__row", "at", "text").mapInArrow(sets, "__row long, at array<struct<k:long,c:int>>, set binary")
-    met = met.select("__row", "set", F.explode("at").alias("a")).select("__row", "set", "a.k", "a.c").select("k", F.explode(pairs).alias("p"), "__row", "set")
-
-    def compare(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, held = None, [], []
-        u, v = [], []
-
-        def flush():
-            i, j = forest(held) if len(held) > 1 else ([], [])
-            u.extend(ids[x] for x in i)
-            v.extend(ids[x] for x in j)
-            ids.clear()
-            held.clear()
-
-        for batch in found:
-            for k, p, row, raw in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("k", "p", "__row", "set")), strict=True):
-                if (k, p) != key:
-                    flush()
-                    key = (k, p)
-                ids.append(row)
-                held.append(np.frombuffer(raw, np.uint64))
-        flush()
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            cols = [batch.column(batch.schema.get_field_index(c)) for c in ("__row", "gs")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in _texts(batch)], pa.binary())], ["__row", "gs", "set"])
 
-    return met.repartition("k", "p").sortWithinPartitions("k", "p", "__row").mapInArrow(compare, "u long, v long")
+    whole = rows.select("__row", "text").join(wanted, "__row").select("__row", "gs", "text").mapInArrow(sets, "__row long, gs array<long>, set binary")
+    whole = whole.select(F.explode("gs").alias("g"), "__row", "set").repartition("g").sortWithinPartitions("g", "__row")
+    return whole.mapInArrow(_by_key(["g"], ["__row", "set"], _link, ["u", "v"]), "u long, v long")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest id; rows without an id stay where no other does."""
+    """One row of each component stays: that with the smallest id, null ids last, the first row of several."""
     rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     found = components(links(rows))
     found = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
-    named = cut(rows.select("__row", "doc_id").join(found, F.col("__row") == F.col("node")).select("root", "doc_id"), "members")
-    stays = named.groupBy("root").agg(F.min("doc_id").alias("stays"))
-    gone = named.join(stays, "root").where("doc_id is not null and doc_id != stays").select("doc_id").distinct()
-    return rows.join(gone, "doc_id", "left_anti").select(docs.columns)
+    named = cut(rows.select("__row", "doc_id").join(found, F.col("__row") == F.col("node")).select("root", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row").alias("rank")), "members")
+    stays = named.groupBy("root").agg(F.min("rank").alias("stays"))
+    gone = _small(named.join(stays, "root").where("rank.__row != stays.__row").select("rank.__row"), "gone")
+    return rows.join(gone, "__row", "left_anti").select(docs.columns)

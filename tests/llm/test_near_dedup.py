@@ -65,3 +65,15 @@ def test_stage_keeps_the_smallest_id_of_each_class(spark, texts):
     kept = sorted(r["doc_id"] for r in near_dedup.stage(spark, df, "").collect())
     assert kept == [i for i, x in enumerate(want) if want.index(x) == i]
     assert near_dedup.stage(spark, df.limit(0), "").count() == 0
+
+
+def test_stage_keeps_one_row_of_each_class_with_null_and_repeated_ids(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(2000)]
+    bases = [rng.choices(words, k=200) for _ in range(3)]
+    a, b, c = ([" ".join([*base[:at], "x", *base[at + 1 :]]) for at in (50, 100, 150)] for base in bases)
+    alone, other = " ".join(rng.choices(words, k=50)), " ".join(rng.choices(words, k=50))
+    rows = [(3, a[0]), (5, a[1]), (5, alone), (7, b[0]), (7, b[1]), (None, b[2]), (None, c[0]), (None, c[1]), (None, other)]
+    got = [(r["doc_id"], r["text"]) for r in near_dedup.stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()]
+    assert len(got) == 5 and {(3, a[0]), (5, alone), (None, other)} <= set(got)
+    assert sum(i == 7 and t in b for i, t in got) == 1 and sum(i is None and t in c for i, t in got) == 1
