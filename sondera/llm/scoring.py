@@ -92,7 +92,7 @@ def _ask(buckets: int):
     return of_chunk
 
 
-_TOLD = "chunk int, bucket int, grade int, counts binary, kept binary, n long, v long, n_kept long, v_kept long"
+_TOLD = "chunk int, bucket int, grade int, width int, counts binary, kept binary, n long, v long, n_kept long, v_kept long"
 
 
 def _tell(deleted_from: int):
@@ -115,11 +115,13 @@ def _tell(deleted_from: int):
             ends = np.cumsum(sizes)
             for chunk, start, end in zip(chunks, (ends - sizes).tolist(), ends.tolist(), strict=True):
                 own = at[start:end]
-                rows.append((chunk, part.column("bucket")[0].as_py(), order, total[own].astype(np.uint64).tobytes() if total.max() >= 2**32 else total[own].astype(np.uint32).tobytes(), kept[own].astype(np.uint32).tobytes() if chunk >= deleted_from else None, 0, 0, 0, 0))
+                width = np.uint64 if total[own].max() >= 2**32 else np.uint32  # of this message; kept counts are never larger
+                told = kept[own].astype(width).tobytes() if chunk >= deleted_from else None
+                rows.append((chunk, part.column("bucket")[0].as_py(), order, np.dtype(width).itemsize, total[own].astype(width).tobytes(), told, 0, 0, 0, 0))
             if order == 1:
-                rows.append((-1, 0, 1, None, None, int(total.sum()), int((total > 0).sum()), int(kept.sum()), int((kept > 0).sum())))
+                rows.append((-1, 0, 1, 0, None, None, int(total.sum()), int((total > 0).sum()), int(kept.sum()), int((kept > 0).sum())))
         names = [x.split()[0] for x in _TOLD.split(", ")]
-        types = [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.int64()] * 4
+        types = [pa.int32()] * 4 + [pa.binary()] * 2 + [pa.int64()] * 4
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names)
 
     return of_bucket
@@ -127,11 +129,11 @@ def _tell(deleted_from: int):
 
 def _answers(told: pa.Table, column: str, order: int, n: int) -> np.ndarray:
     part = told.filter(pa.compute.equal(told.column("grade"), order)).sort_by("bucket")
-    raw = b"".join(part.column(column).to_pylist())
-    width = len(raw) // n if n else 4
-    if width in (4, 8):
-        return np.frombuffer(raw, np.uint32 if width == 4 else np.uint64).astype(float)
-    raise ValueError(f"{len(raw)} bytes for {n} n-grams")
+    messages = zip(part.column(column).to_pylist(), part.column("width").to_pylist(), strict=True)
+    counts = np.concatenate([np.zeros(0), *(np.frombuffer(raw, np.uint64 if width == 8 else np.uint32) for raw, width in messages)])
+    if len(counts) != n:
+        raise ValueError(f"{len(counts)} counts for {n} n-grams")
+    return counts
 
 
 def _terms(grams: Grams, told: pa.Table, column: str, n: float) -> tuple[np.ndarray, ...]:
