@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sondera.llm.chunks import blocks
 from sondera.llm.common import documents
 
 NAME = "op3_token_counts"
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 512
 FREQUENT, LOCAL = 1 << 15, 1 << 12
-#: Entries of a worker's cache before it starts anew.
-CACHE = 1 << 20
+#: Entries of each of a worker's caches before it starts anew.
+CACHE = 1 << 19
 _PIECE = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 #: White space outside ASCII, and separators that some libraries take for white space, as UTF-8.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
@@ -62,57 +64,101 @@ def place(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _WordIds(dict):
-    """Word -> number of its entry in growing arrays of ids."""
+class _Ids(dict):
+    """Key -> number of its entry in growing arrays of ids; ``find`` gives the ids of new keys, as (sizes, all ids)."""
 
-    def __init__(self, name: str):
-        self.tokenizer = tokenizer(place(name))
+    def __init__(self, find: Callable[[list], tuple[np.ndarray, np.ndarray]]):
+        self.find = find
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
         self.pool, self.at, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def add(self, words: list[bytes]) -> None:
-        for k in range(0, len(words), 4096):
-            part = words[k : k + 4096]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.array([i for ids in found for i in ids], np.uint32)
-            first = len(self)
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.resize(self.pool, 2 * len(self.pool))
-            while first + len(part) > len(self.n):
-                self.at, self.n = np.resize(self.at, 2 * len(self.at)), np.resize(self.n, 2 * len(self.n))
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.at[first : first + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.n[first : first + len(part)] = sizes
-            self.used += len(flat)
-            self.update(zip(part, range(first, first + len(part)), strict=True))
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        which = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def add(self, keys: list) -> None:
+        sizes, flat = self.find(keys)
+        first, last, used = len(self), len(self) + len(keys), self.used + len(flat)
+        while used > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        while last > len(self.n):
+            self.at, self.n = np.resize(self.at, 2 * len(self.at)), np.resize(self.n, 2 * len(self.n))
+        self.pool[self.used : used] = flat
+        self.at[first:last] = self.used + np.cumsum(sizes) - sizes
+        self.n[first:last] = sizes
+        self.used = used
+        self.update(zip(keys, range(first, last), strict=True))
+
+    def ids(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each key, and all ids."""
+        if len(self) > CACHE:
+            self.clear()
+        which = np.fromiter(map(self.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(which < 0).tolist()
+        if missing:
+            new = [keys[i] for i in missing]
+            self.add(list(dict.fromkeys(new)))
+            which[missing] = np.fromiter(map(self.__getitem__, new), np.int64, len(new))
         n = self.n[which]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        return self.pool[np.repeat(self.at[which] - (ends - n), n) + np.arange(total)]
+        return n, self.pool[np.repeat(self.at[which] - (ends - n), n) + np.arange(total)]
 
 
-_caches: dict[str, _WordIds] = {}
+class _Words:
+    """Ids of words by a vocabulary that drops white space: known words at once, new ones by the pieces that the model merges for itself."""
+
+    def __init__(self, name: str):
+        import regex
+
+        self.whole = tokenizer(place(name))
+        self.words, self.pieces = _Ids(self.of_words), _Ids(self.of_pieces)
+        self.split = regex.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.plain = re.compile(r"[\x00-\u02ff]*").fullmatch  # no marks that compose, and lower case is letter by letter
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level vocabularies show other bytes from 256 on
+        self.bytes = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+    def of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        encode, shown = self.whole.model.tokenize, self.bytes
+        found = [[t.id for t in encode(p if p.isascii() else p.encode().decode("latin-1").translate(shown))] if p != " " else () for p in pieces]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+
+    def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        joined = b" ".join(words).decode()
+        if "<|" in joined or not self.plain(joined) or not joined.isprintable():  # may hold a special string, or need the library's own normal form
+            if len(words) > 1:
+                parts = [self.of_words(words[: len(words) // 2]), self.of_words(words[len(words) // 2 :])]
+                return tuple(map(np.concatenate, zip(*parts, strict=True)))
+            found = np.array(self.whole.encode(joined, add_special_tokens=False).ids, np.uint32)
+            return np.array([len(found)]), found
+        pieces = self.split(joined.lower())
+        n, flat = self.pieces.ids(pieces)
+        word = np.cumsum(np.fromiter(map(" ".__eq__, pieces), bool, len(pieces)))
+        return np.bincount(word, weights=n, minlength=len(words)).astype(np.int64), flat
+
+
+_caches: dict[str, _Words] = {}
 
 
 def word_ids(texts: list[bytes], tokenizer: str, end: int | None = None) -> Iterator[np.ndarray]:
     """The ids of each text by a vocabulary that drops white space, each followed by ``end``."""
     known = _caches.get(tokenizer)
-    if known is None or len(known) > CACHE:
-        known = _caches[tokenizer] = _WordIds(tokenizer)
+    if known is None:
+        known = _caches[tokenizer] = _Words(tokenizer)
     tail = np.array([] if end is None else [end], np.uint32)
-    for text in texts:
-        if not text.isascii() and _ODD.search(text.decode()):
-            known_whole = known.tokenizer.encode(text.decode(), add_special_tokens=False).ids
-            yield np.concatenate([np.array(known_whole, np.uint32), tail])
-            continue
-        words = text.split()
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            known.add(new)
-        yield np.concatenate([known.ids(words), tail]).astype(np.uint32, copy=False)
+    for run in blocks(texts, 1 << 19):
+        words, n_words, odd = [], [0], {}
+        for i in run:
+            if not texts[i].isascii() and _ODD.search(text := texts[i].decode()):
+                odd[i] = np.array(known.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+            else:
+                words += texts[i].split()
+            n_words.append(len(words))
+        sizes, flat = known.words.ids(words)
+        ends = np.r_[0, np.cumsum(sizes)][n_words]
+        for i, lo, hi in zip(run, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield np.concatenate([odd.get(i, flat[lo:hi]), tail]).astype(np.uint32, copy=False)
 
 
 # --------------------------------------------------------------------- counts
