@@ -4,10 +4,11 @@ Token counts (op3) use two tiers. Texts fall into pre-tokens that never merge
 across their borders: an optional space with the word behind it, or the white
 space between. Tier one is a broadcast hash table from frequent pre-tokens to
 their number of tokens, bounded by ``FREQUENT``; it comes from a pass over the
-whole table in which every partition sums up its own pre-tokens and passes on
-its ``LOCAL`` most frequent ones, so pre-tokens are never shuffled. Tier two is
-a cache in each Python worker, filled by encoding what tier one misses. Both
-only save work: the counts are the tokenizer's own whatever the tables hold.
+whole table in which every partition sums up its own pre-tokens and makes one
+small table of its ``LOCAL`` most frequent ones. These tables are merged as
+they are, so no pre-token is ever shuffled by its value. Tier two is a cache in
+each Python worker, filled by encoding what tier one misses. Both only save
+work: the counts are the tokenizer's own whatever the tables hold.
 
 Texts that hold a special string of the vocabulary, or white space other than
 the six ASCII characters, are encoded whole.
@@ -20,6 +21,7 @@ column are replaced.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -36,7 +38,7 @@ from sondera.llm.common import documents
 
 NAME = "op3_token_counts"
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 512
-FREQUENT, LOCAL = 1 << 15, 1 << 12
+FREQUENT, LOCAL, FAN = 1 << 15, 1 << 12, 256
 #: Entries of each of a worker's caches before it starts anew.
 CACHE = 1 << 19
 _PIECE = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
@@ -167,15 +169,20 @@ def word_ids(texts: list[bytes], tokenizer: str, end: int | None = None) -> Iter
 class _Lengths(dict):
     """Pre-token -> number of tokens; what is missing is encoded."""
 
-    def __init__(self, name: str, frequent: dict[bytes, int]):
-        super().__init__(frequent)
+    def __init__(self, name: str, frequent: tuple[bytes, bytes, bytes]):
         self.frequent, self.tokenizer = frequent, tokenizer(place(name))
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        self.restart()
+
+    def restart(self) -> None:
+        self.clear()
+        joined, sizes, tokens = self.frequent
+        ends = np.cumsum(np.frombuffer(sizes, np.uint16), dtype=np.int64).tolist()
+        self.update(zip(map(joined.__getitem__, map(slice, [0, *ends], ends)), np.frombuffer(tokens, np.uint16).tolist()))
 
     def count(self, texts: list[bytes]) -> np.ndarray:
-        if len(self) > len(self.frequent) + CACHE:
-            self.clear()
-            self.update(self.frequent)
+        if len(self) > FREQUENT + CACHE:
+            self.restart()
         out = np.zeros(len(texts), np.int64)
         for i, raw in enumerate(texts):
             text = raw.decode()
@@ -196,32 +203,57 @@ class _Lengths(dict):
 _lengths: dict[str, _Lengths] = {}
 
 
-def frequent_pre_tokens(df: DataFrame, text_col: str, name: str = TOKENIZER) -> dict[bytes, int]:
-    """Up to FREQUENT pre-tokens, most frequent first, with their numbers of tokens; from the whole of ``df``."""
+def _table(g: int, seen: Counter, most: int) -> pa.RecordBatch:
+    top = seen.most_common(most)
+    columns = ([g], [[p for p, _ in top]], [[n for _, n in top]])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64())), strict=True)], ["g", "p", "n"])
+
+
+def _sum(ps: list[list[bytes]], ns: list[list[int]]) -> Counter:
+    total: Counter[bytes] = Counter()
+    for p, n in zip(ps, ns, strict=True):
+        total.update(dict(zip(p, n, strict=True)))
+    return total
+
+
+def frequent_pre_tokens(df: DataFrame, text_col: str, name: str = TOKENIZER) -> tuple[bytes, bytes, bytes]:
+    """A table of up to FREQUENT pre-tokens with their numbers of tokens: joined bytes, sizes and counts as unsigned 16-bit numbers.
+
+    Each partition of the whole of ``df`` makes one table of its most frequent pre-tokens. Tables, not pre-tokens, are merged,
+    FAN at a time over two levels, so no task and not the driver holds more than a few hundred tables of fixed size.
+    """
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         seen: Counter[bytes] = Counter()
         for batch in found:
             for text in batch.column(0).cast(pa.binary()):
                 seen.update(_PIECE.findall(text.as_py() or b""))
-            if len(seen) > CACHE:  # as in lossy counting, the rare ones go
-                seen = Counter(dict(seen.most_common(CACHE // 4)))
-        top = seen.most_common(LOCAL)
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["p", "n"])
+                if len(seen) > CACHE:  # as in lossy counting, the rare ones go
+                    seen = Counter(dict(seen.most_common(CACHE // 4)))
+        yield _table(TaskContext.get().partitionId() // FAN, seen, LOCAL)
+
+    def merge(tables: pa.Table) -> pa.Table:
+        total = _sum(tables.column("p").to_pylist(), tables.column("n").to_pylist())
+        return pa.Table.from_batches([_table(tables.column("g")[0].as_py() // FAN, total, FREQUENT)])
 
-    found = df.select(text_col).mapInArrow(batches, "p binary, n long").groupBy("p").agg(F.sum("n").alias("n"))
-    top = [bytes(r["p"]) for r in found.orderBy(F.desc("n"), "p").limit(FREQUENT).collect()]
-    if not top:
-        return {}
-    sizes = map(len, tokenizer(place(name)).encode_batch_fast([p.decode() for p in top], add_special_tokens=False))
-    return dict(zip(top, sizes, strict=True))
+    schema = "g int, p array<binary>, n array<long>"
+    found = df.select(text_col).mapInArrow(batches, schema)
+    for _ in range(2):
+        found = found.groupBy("g").applyInArrow(merge, schema)
+    rows = found.collect()
+    total = _sum([list(map(bytes, r["p"])) for r in rows], [r["n"] for r in rows])
+    top = [p for p in sorted(total, key=lambda p: (-total[p], p))[:FREQUENT] if len(p) < 1 << 16]
+    sizes = list(map(len, tokenizer(place(name)).encode_batch_fast([p.decode() for p in top], add_special_tokens=False)))
+    return b"".join(top), np.array(list(map(len, top)), np.uint16).tobytes(), np.array(sizes, np.uint16).tobytes()
 
 
 def token_counts(df: DataFrame, text_col: str = "text", name: str = TOKENIZER, limit: int = LIMIT) -> DataFrame:
     """``df`` with n_bytes, n_tokens and over_limit."""
     df = df.drop(*[c for c in ("n_bytes", "n_tokens", "over_limit") if c != text_col])
     frequent = df.sparkSession.sparkContext.broadcast(frequent_pre_tokens(df, text_col, name))
-    key = f"{name}:{id(frequent)}"
+    key = f"{name}:{uuid.uuid4().hex}"
     schema = T.StructType([*df.schema.fields, T.StructField("n_tokens", T.LongType())])
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
