@@ -41,9 +41,29 @@ def test_exact_dedup(docs, rows):
     assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
 
 
-def test_exact_dedup_with_a_shuffled_filter(docs, rows):
-    got = table(exact_dedup.exact_dedup(docs, broadcast_bytes=0))
-    assert sum(r["kept"] for r in got) == len({t or "" for _, t, _ in rows})
+def test_exact_dedup_in_ranges(docs, rows):
+    many = docs.unionByName(docs.selectExpr("doc_id + 1000 doc_id", "text || '!' text", "source").crossJoin(docs.sparkSession.range(3)).drop("id"))
+    whole, parts = (Counter(map(tuple, exact_dedup.exact_dedup(many, broadcast_bytes=b).drop("source").collect())) for b in (1 << 20, 300))
+    assert whole == parts and sum(n for r, n in parts.items() if r[4]) == len({r[1] or "" for r in parts})
+
+
+def test_exact_dedup_when_scans_differ(spark):
+    """Equal rows in another order each time they are read: one of each text still stays."""
+    from pyspark.sql import functions as F
+
+    many = spark.range(600).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 50).alias("text"), F.rand().alias("other"))
+    got = exact_dedup.exact_dedup(many.orderBy(F.rand())).where("kept").collect()
+    assert sorted(r["text"] for r in got) == sorted(f"t{i}" for i in range(50))
+
+
+def test_bloom_filter_holds_what_is_repeated(spark):
+    from pyspark.sql import functions as F
+
+    hashed = spark.range(4000).select(F.xxhash64(F.least("id", F.lit(3000))).alias("__h"), "id")
+    cells = exact_dedup.repeated_cells(hashed)
+    tested = exact_dedup.suspects(hashed, exact_dedup.filter_of(cells, 64), 64).collect()
+    assert len(tested) == 4000 and all(r["__suspect"] for r in tested if r["id"] >= 3000)
+    assert sum(r["__suspect"] for r in tested if r["id"] < 3000) < 100
 
 
 # -------------------------------------------------------------------- simhash
