@@ -17,9 +17,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; only a local session may do without it and gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -33,5 +35,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that are broadcast at most.
+BROADCAST_ROWS = 1 << 19
+
+
+def small(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written, and broadcast to joins while it has no more than ``BROADCAST_ROWS`` rows; else such joins are plain shuffles of both sides."""
+    df = cut(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

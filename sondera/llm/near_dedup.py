@@ -34,14 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sondera.llm.common import cut
+from sondera.llm.common import cut, small
 from sondera.llm.simhash import components
 
 SHINGLE = 5
 SHARE = (4, 5)  # least similarity, as a fraction of whole numbers
 CELLS = 1 << 18
 BUCKET, BUCKET_BYTES = 1024, 4 << 20
-BROADCAST_ROWS = 1 << 19
 
 
 def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -181,12 +180,6 @@ def _link(held: list[list], out: list[list]):
             to.extend(held[x][0] for x in at)
 
 
-def _small(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written, and broadcast to joins while it has no more than ``BROADCAST_ROWS`` rows."""
-    df = cut(df, name)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def links(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (u, v) of row keys that connect all similar pairs of ``rows`` (__row, text), some more than once."""
     ranks = rows.sparkSession.sparkContext.broadcast(_ranks(rows))
@@ -213,7 +206,7 @@ def links(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     key = ["m", "n", "s", "p"]
     met = met.select("m", "n", "s", F.explode(pairs).alias("p"), "__row", "size", "bits").repartition(*key).sortWithinPartitions(*key, "__row")
     grouped = met.mapInArrow(_by_key(key, ["__row", "size", "bits"], _group, ["__row", "g"]), "__row long, g long")
-    wanted = _small(grouped.groupBy("__row").agg(F.collect_set("g").alias("gs")), "groups")
+    wanted = small(grouped.groupBy("__row").agg(F.collect_set("g").alias("gs")), "groups")
 
     def sets(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -232,5 +225,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     named = cut(rows.select("__row", "doc_id").join(found, F.col("__row") == F.col("node")).select("root", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row").alias("rank")), "members")
     stays = named.groupBy("root").agg(F.min("rank").alias("stays"))
-    gone = _small(named.join(stays, "root").where("rank.__row != stays.__row").select("rank.__row"), "gone")
+    gone = small(named.join(stays, "root").where("rank.__row != stays.__row").select("rank.__row"), "gone")
     return rows.join(gone, "__row", "left_anti").select(docs.columns)

@@ -12,7 +12,7 @@ Three steps, all on 64-bit fingerprints; texts are read once.
    fingerprints are stored as 64 vertical bit planes; for a shift d the planes
    are XORed with themselves moved by d, which compares all pairs (i, i + d) at
    once, and carry-save counters (ones, twos, four-or-more) hold the distances.
-   A block of pairs is left as soon as all exceed the radius. Of the links in
+   A block of ``8 * BLOCK`` pairs is left as soon as all in it exceed the radius. Of the links in
    a bucket only a spanning forest leaves it, never all pairs.
 3. Connected components by alternating large-star and small-star rounds, each
    round written to the shared folder.
@@ -34,11 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sondera.llm.common import cut, documents
+from sondera.llm.common import cut, documents, small
 
 NAME = "op6_simhash_near_dedup"
 SHINGLE, RADIUS, BITS, BLOCKS = 3, 3, 64, 5
 BUCKET = 8192
+SLICE = 1 << 16  # hashes whose bits are added up at once
+BLOCK = 512  # bytes of a bit plane, eight pairs each, that are given up together
 _PAIRS = tuple(combinations(range(BLOCKS), BLOCKS - RADIUS))
 _EDGES = tuple(round(i * BITS / BLOCKS) for i in range(BLOCKS + 1))
 
@@ -58,7 +60,9 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
     spans = map(slice, (ends - lengths)[: 1 - size].tolist(), (ends - 1)[size - 1 :].tolist())
     n = len(words) - size + 1
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, spans), repeat(42)), np.uint64, n)
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, n, SLICE):
+        ones += np.unpackbits(hashes[at : at + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -101,16 +105,23 @@ def within_radius(planes: np.ndarray, d: int, n: int, alive: np.ndarray, radius:
     """Packed mask of the first n pairs (i, i + d) with at most ``radius`` (3) differing bits, of those ``alive``."""
     assert radius == 3, "the counters tell 0 to 3 from four or more"
     other, own = _shifted(planes, d, n), planes[:, : (n + 7) // 8]
-    ones, twos, dead = np.zeros_like(alive), np.zeros_like(alive), ~alive
-    for b in range(BITS):
-        x = own[b] ^ other[b]
-        carry = ones & x
-        ones ^= x
-        dead |= twos & carry
-        twos ^= carry
-        if b % 8 == 7 and (dead == 255).all():
-            break
-    return ~dead
+    near = np.zeros_like(alive)
+    for at in range(0, len(alive), BLOCK):
+        block = slice(at, at + BLOCK)
+        dead = ~alive[block]
+        if not (alive[block]).any():
+            continue
+        ones, twos = np.zeros_like(dead), np.zeros_like(dead)
+        for b in range(BITS):
+            x = own[b, block] ^ other[b, block]
+            carry = ones & x
+            ones ^= x
+            dead |= twos & carry
+            twos ^= carry
+            if b % 8 == 7 and (dead == 255).all():
+                break
+        near[block] = ~dead
+    return near
 
 
 def bucket_links(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +172,7 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
             key = F.shiftleft(key, hi - lo).bitwiseOR(part)
         keys.append(key)
     rows = prints.select("__fp", F.explode(F.array(*keys)).alias("k"))
-    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = small(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     rows = rows.join(sizes, "k").withColumn("c", F.ceil(F.col("n") / bucket).cast("int"))
     own = F.pmod(F.xxhash64("__fp"), F.col("c")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: F.least(own, j) * F.col("c") + F.greatest(own, j))
@@ -197,9 +208,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        small = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large_star = both.join(small, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large_star.groupBy("u").agg(F.min("v").alias("m"))
+        least_of = small(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")  # a hub's edges need not meet in one task
+        large_star = both.join(least_of, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large_star = cut(large_star, "large")
+        least = small(large_star.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = large_star.join(least, "u")
         hung = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
@@ -219,8 +231,9 @@ def _classes(marked: DataFrame, id_col: str) -> DataFrame:
     own = marked.groupBy("__fp").agg(F.min(id_col).alias("__own"))
     found = components(links(own.select("__fp")))
     linked = own.join(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), own["__fp"] == F.col("node"))
-    smallest = linked.groupBy("root").agg(F.min("__own").alias("__min"))
-    ids = linked.join(smallest, "root").select(F.col("node"), "__min")
+    linked = cut(linked.select("node", "root", "__own"), "linked")
+    smallest = small(linked.groupBy("root").agg(F.min("__own").alias("__min")), "smallest")
+    ids = linked.join(smallest, "root").select("node", "__min")
     ids = own.join(ids, own["__fp"] == F.col("node"), "left").select("__fp", F.coalesce("__min", "__own").alias("component_id"))
     return marked.join(cut(ids, "classes"), "__fp")  # both sides are plain shuffles, so a hot fingerprint's rows can be split
 
