@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sondera.llm.common import documents
+from sondera.llm.common import cut, documents
 
 NAME = "op4_quality_rules"
 WINDOW, MIN_WORDS, MAX_REPEAT_PCT = 8, 20, 30
@@ -144,19 +144,24 @@ def fit(found: dict[int, int]) -> np.ndarray:
     return is_good
 
 
-def judged(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with the __q_ numbers, base_failed, p_good and kept."""
+def judged(df: DataFrame, text_col: str = "text", with_text: bool = True) -> DataFrame:
+    """``df`` (without its text, if so asked) with the __q_ numbers, base_failed, p_good and kept.
+
+    The numbers are made once and written to the shared folder; votes, EM and verdicts read them there.
+    """
     df = df.drop(*[c for c in ("base_failed", "p_good", "kept") if c != text_col])
-    seen = with_counts(df.select(text_col), text_col).where(~base_failed()).groupBy(pattern().alias("p")).count().collect()
+    numbered = with_counts(df, text_col)
+    numbered = cut(numbered if with_text else numbered.drop(text_col), "numbers")
+    seen = numbered.where(~base_failed()).groupBy(pattern().alias("p")).count().collect()
     posterior = fit({r["p"]: r["count"] for r in seen})
     table = df.sparkSession.createDataFrame([(i, float(p)) for i, p in enumerate(posterior)], "__p int, p_good double")
-    marked = with_counts(df, text_col).withColumns({"__p": pattern(), "base_failed": base_failed()})
+    marked = numbered.withColumns({"__p": pattern(), "base_failed": base_failed()})
     joined = marked.join(F.broadcast(table), "__p").drop("__p")
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = judged(documents(spark, sf_dir).select("doc_id", "text"))
+    found = judged(documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
     numbers = [F.col(f"__q_{c}").alias(c) for c in _COUNTS[:5]]
     return found.select("doc_id", *numbers, "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 

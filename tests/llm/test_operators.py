@@ -111,6 +111,26 @@ def test_simhash(docs, rows):
     assert all(r["component_id"] == least.get(group[r["__fp"] % 2**64]) for r in got)
 
 
+def test_fingerprint_of_a_text_longer_than_a_slice(monkeypatch):
+    monkeypatch.setattr(simhash, "SLICE", 64)
+    text = " ".join(f"w{i * i % 977}" for i in range(3000))
+    assert simhash.fingerprint(text.encode()) == fingerprint(text)
+
+
+def test_blocks_given_up_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 2**63, 900, dtype=np.int64).view(np.uint64)
+    prints[300:420] = prints[0] ^ (np.uint64(1) << rng.integers(0, 64, 120).astype(np.uint64))
+    keys, planes = np.repeat([0, 1, 2], 300), simhash._planes(prints)
+    for size in (2, 512):
+        monkeypatch.setattr(simhash, "BLOCK", size)
+        for d in (1, 7, 64, 121):
+            n = len(prints) - d
+            alive = np.packbits(keys[:n] == keys[d:], bitorder="little")
+            got = np.unpackbits(simhash.within_radius(planes, d, n, alive), count=n, bitorder="little").astype(bool)
+            assert (got == ((keys[:n] == keys[d:]) & (np.bitwise_count(prints[:n] ^ prints[d:]) <= 3))).all()
+
+
 @pytest.mark.parametrize("bucket", [4, 8192])
 def test_links_of_crowded_buckets(spark, bucket):
     """Chains, stars and strangers; with tiny buckets every bucket is split into pairs of chunks."""
@@ -158,6 +178,34 @@ def test_quality_numbers(docs, rows):
         assert not (r["kept"] and r["base_failed"])
 
 
+def test_quality_em_by_document():
+    """EM on pattern counts is EM over documents, one by one; and the data, not the priors alone, set the rates."""
+    rng = np.random.default_rng(3)
+    n_rules, q = len(quality.RULES), quality
+    bad = rng.random(4000) < 0.3
+    shares = np.where(bad[:, None], rng.uniform(0.3, 0.9, n_rules), rng.uniform(0.005, 0.04, n_rules))
+    votes = np.where(rng.random((4000, n_rules)) < 0.1, 1, np.where(rng.random((4000, n_rules)) < shares, 0, 2))
+    good_p, bad_p, share = [q.PRIOR_GOOD[0]] * n_rules, [q.PRIOR_BAD[0]] * n_rules, q.PRIOR_CLASS[0]
+    for _ in range(q.EM_ROUNDS):
+        good = np.full(4000, 1 - share)
+        other = np.full(4000, share)
+        for r in range(n_rules):
+            for v, g, b in ((0, good_p[r], bad_p[r]), (2, 1 - good_p[r], 1 - bad_p[r])):
+                good[votes[:, r] == v] *= g
+                other[votes[:, r] == v] *= b
+        post = good / (good + other)
+        own = [max(q.PRIOR_LEAST, k * 4000) for k in (q.PRIOR_GOOD[1], q.PRIOR_BAD[1], q.PRIOR_CLASS[1])]
+        for r in range(n_rules):
+            no, any_ = votes[:, r] == 0, votes[:, r] != 1
+            good_p[r] = (post[no].sum() + own[0] * q.PRIOR_GOOD[0]) / (post[any_].sum() + own[0])
+            bad_p[r] = ((1 - post)[no].sum() + own[1] * q.PRIOR_BAD[0]) / ((1 - post)[any_].sum() + own[1])
+        share = ((1 - post).sum() + own[2] * q.PRIOR_CLASS[0]) / (4000 + own[2])
+    codes = votes @ 3 ** np.arange(n_rules - 1, -1, -1)
+    found = q.fit(Counter(codes.tolist()))
+    assert np.allclose(found[codes], post, atol=1e-6)
+    assert np.mean((post < 0.5) == bad) > 0.97 and np.max(np.abs(np.array(bad_p) - q.PRIOR_BAD[0])) > 0.2
+
+
 def test_quality_posterior_sides_with_the_rules():
     clean = int("2" * len(quality.RULES), 3)
     one_bad = clean - 2 * 3 ** (len(quality.RULES) - 1)
