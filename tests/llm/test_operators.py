@@ -357,7 +357,10 @@ def test_line_dedup_far_from_the_threshold(spark):
     assert all(r["kept_text"] == f"only here number {r['doc_id']}" for r in out)
 
 
-def test_substring_dedup(docs, rows):
+@pytest.mark.parametrize("size", [3000, 1 << 22])
+def test_substring_dedup(docs, rows, size, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", size)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", size)
     least = {}
     for i, t, _ in rows:
         w = words(t)
@@ -378,6 +381,19 @@ def test_substring_dedup(docs, rows):
     assert got == expected and sum(x[2] for x in got) > 300
 
 
+def test_count_min_never_underestimates():
+    rng = np.random.default_rng(2)
+    seeds = rng.integers(0, 2**32, 5000, dtype=np.uint64)
+    seeds[:1000] = seeds[1000:2000]
+    counts = rng.integers(1, 3, 5000).astype(float)
+    true = Counter()
+    for s, n in zip(seeds.tolist(), counts.tolist()):
+        true[s] += n
+    true = np.array([true[s] for s in seeds.tolist()])
+    got = substring_dedup.estimates(seeds, counts)
+    assert (got >= true).all() and (got > true).mean() < 0.05
+
+
 def test_lm_scores(docs, rows, monkeypatch):
     monkeypatch.setattr(scoring, "CHUNK_BYTES", 4000)
     monkeypatch.setattr(scoring, "BUCKET_BYTES", 4000)
@@ -390,6 +406,7 @@ def test_lm_scores(docs, rows, monkeypatch):
     train = [toks(t) for i, t, _ in rows if fold(i)]
     one = Counter(w for t in train for w in t)
     two = Counter(p for t in train for p in zip(["</s>", *t], t))
+    three = Counter(p for t in train for p in zip(["</s>", *t], t, t[1:]))
     n, v = sum(one.values()), len(one)
     lam = learned[0]
     expected = Counter()
@@ -397,9 +414,13 @@ def test_lm_scores(docs, rows, monkeypatch):
         x = toks(t)
         base = sum(math.log10((one[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x)
         s = 0.0
-        for h, w in zip(["</s>", *x], x):
-            a = lam[min(int(math.log2(one[h] + 1)), 23)]
-            s += math.log10(a[0] * two[h, w] / max(1, one[h]) + a[1] * one[w] / n + a[2] / (v + 1))
+        for k, w in enumerate(x):
+            h = x[k - 1] if k else "</s>"
+            f2 = two[h, w] / max(1, one[h])
+            g = (["</s>", *x][k - 1], h)
+            f3 = three[*g, w] / max(1, two[g]) if k else f2
+            a = lam[min(int(math.log2((two[g] if k else one[h]) + 1)), 11) * 12 + min(int(math.log2(one[h] + 1)) // 2, 11)]
+            s += math.log10(a[0] * f3 + a[1] * f2 + a[2] * one[w] / n + a[3] / (v + 1))
         expected[i, fold(i) == 0, len(x), sum(one[w] > 0 for w in x), n, round(base, 4), round(s, 4)] += 1
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4), round(r["score"], 4)) for r in got) == expected
     assert np.allclose(lam.sum(axis=1), 1)

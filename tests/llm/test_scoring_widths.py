@@ -1,35 +1,46 @@
-"""Corpus counts of 2**32 and more in some buckets of a chunk."""
+"""Corpus counts of 2**32 and more, and messages of packs and buckets."""
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from sondera.llm import scoring
-
-
-@pytest.mark.parametrize("wide", [1, 5])
-def test_counts_survive_where_some_buckets_pass_32_bits(wide):
-    most, n = 2**32 - 1, 10
-    names = [x.split()[0] for x in scoring._ASKED.split(", ")]
-    told, expected = [], []
-    for bucket, (size, repeats) in enumerate([(wide, 3), (n - wide, 1)]):
-        keys = np.arange(size, dtype=np.uint64) + np.uint64(100 * bucket)
-        counts = np.full(size, most, np.uint32) - np.arange(size, dtype=np.uint32)
-        rows = [(bucket, chunk, 1, size, keys.tobytes(), counts.tobytes()) for chunk in range(repeats)]
-        asked = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] * 4 + [pa.binary()] * 2, strict=True)], names)
-        told.append(scoring._tell(0)(asked))
-        expected.extend(float(repeats * int(c)) for c in counts)
-    own = pa.concat_tables(told)
-    own = own.filter(pa.compute.equal(own.column("chunk"), 0))
-    for column in ("counts", "kept"):  # with deleted_from 0 every chunk is deleted, so nothing is kept
-        assert scoring._answers(own, column, 1, n).tolist() == (expected if column == "counts" else [0.0] * n)
-
-
-def test_kept_counts_pass_32_bits():
-    names = [x.split()[0] for x in scoring._ASKED.split(", ")]
-    key, count = np.array([7], np.uint64).tobytes(), np.array([2**32 - 1], np.uint32).tobytes()
-    rows = [(0, chunk, 1, 1, key, count) for chunk in range(4)]
-    told = scoring._tell(3)(pa.table([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] * 4 + [pa.binary()] * 2, strict=True)], names))
-    own = told.filter(pa.compute.equal(told.column("chunk"), 3))
-    assert scoring._answers(own, "kept", 1, 1).tolist() == [3.0 * (2**32 - 1)]
-    assert scoring._answers(own, "counts", 1, 1).tolist() == [4.0 * (2**32 - 1)]
+from sondera.llm import chunks, scoring
+
+
+def asked(messages):
+    """A bucket's questions: (chunk, kind, keys, counts) for order 1, and nothing of the other orders."""
+    rows = []
+    for chunk, kind, keys, counts in messages:
+        keys, counts = np.array(keys, np.uint64), np.array(counts, np.uint64)
+        rows.append((0, chunk, kind, [len(keys), 0, 0], [chunks.planes(chunks.deltas(keys), counts), chunks.planes(), chunks.planes()]))
+    return scoring._table(list(zip(*rows, strict=True)), scoring._ASKED)
+
+
+@pytest.mark.parametrize("repeats", [1, 4])
+def test_counts_pass_32_bits(repeats):
+    most = 2**32 - 1
+    told = scoring._tell(asked([(c, 0, [5, 7, 900], [most, 1, 3]) for c in range(repeats)] + [(9, 1, [7, 8], [most, most]), (10, 2, [5, 11], [4, 4])]))
+    of = lambda c: told.filter(pa.compute.equal(told.column("chunk"), c))
+    assert scoring._answers(of(0), 1, 3).tolist() == [repeats * most, repeats + most, 3 * repeats]
+    assert scoring._answers(of(9), 1, 2).tolist() == [repeats + most, most]
+    assert scoring._answers(of(9), 1, 2, kept=True).tolist() == [repeats, 0]
+    assert scoring._answers(of(10), 1, 2).tolist() == [repeats * most, 0]
+    total = of(-1).to_pylist()[0]
+    assert (total["total"], total["v"], total["n_kept"], total["v_kept"]) == (repeats * (most + 4) + 2 * most, 4, repeats * (most + 4), 3)
+
+
+def test_planes_give_back_what_was_put_in():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 1000):
+        a, b = rng.integers(0, 2**64, n, dtype=np.uint64), rng.integers(0, 3, n, dtype=np.uint64)
+        got = chunks.from_planes(chunks.planes(a, b), n)
+        assert n == 0 or ((got[0] == a).all() and (got[1] == b).all())
+
+
+def test_packs_hold_every_row(docs, rows):
+    from collections import Counter
+
+    packed = chunks.packs(docs, "doc_id", "text", 2000).toArrow()
+    found = [chunks.opened(packed, i) for i in range(len(packed))]
+    assert len(found) > 10 and len({f[0] for f in found}) == len(found)
+    assert Counter((i, t.decode()) for f in found for i, t in zip(f[2], f[3], strict=True)) == Counter((i, t or "") for i, t, _ in rows)
