@@ -36,7 +36,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Rows of a few numbers each that are broadcast at most.
-BROADCAST_ROWS = 1 << 19
+BROADCAST_ROWS = 1 << 18
 
 
 def small(df: DataFrame, name: str) -> DataFrame:

@@ -34,12 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sondera.llm.common import cut, documents, small
+from sondera.llm.common import BROADCAST_ROWS, cut, documents, small
 
 NAME = "op6_simhash_near_dedup"
 SHINGLE, RADIUS, BITS, BLOCKS = 3, 3, 64, 5
 BUCKET = 8192
 SLICE = 1 << 16  # hashes whose bits are added up at once
+STARS = 1 << 18  # links that a task turns into stars at once
 BLOCK = 512  # bytes of a bit plane, eight pairs each, that are given up together
 _PAIRS = tuple(combinations(range(BLOCKS), BLOCKS - RADIUS))
 _EDGES = tuple(round(i * BITS / BLOCKS) for i in range(BLOCKS + 1))
@@ -202,19 +203,57 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return rows.mapInArrow(compare, "u long, v long")
 
 
+def _stars(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of each ``STARS`` rows, as links of every node to the smallest node it reaches among them."""
+
+    def collapsed(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        i, j = at[: len(u)], at[len(u) :]
+        lab = np.arange(len(nodes))
+        while True:  # labels fall to the smaller of both ends until none does
+            low = np.minimum(lab[i], lab[j])
+            new = lab.copy()
+            np.minimum.at(new, lab[i], low)
+            np.minimum.at(new, lab[j], low)
+            while (up := new[new]).tobytes() != new.tobytes():
+                new = up
+            if new.tobytes() == lab.tobytes():
+                break
+            lab = new
+        hung = np.flatnonzero(lab != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[hung]), pa.array(nodes[lab[hung]])], ["u", "v"])
+
+    us, vs, n = [], [], 0
+    for batch in found:
+        us.append(batch.column(0).to_numpy())
+        vs.append(batch.column(1).to_numpy())
+        n += batch.num_rows
+        if n >= STARS:
+            yield collapsed(np.concatenate(us), np.concatenate(vs))
+            us, vs, n = [], [], 0
+    if n:
+        yield collapsed(np.concatenate(us), np.concatenate(vs))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of (u, v): one row (node, root) per node, root the smallest node of its component."""
-    edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
+    """Connected components of (u, v): one row (node, root) per node, root the smallest node of its component.
+
+    Each task first turns the links it holds into stars; rounds of large and small stars join what is left. Least neighbours are
+    broadcast while they are few; else both sides of their joins are written, so that a hub's links can be split.
+    """
+    edges = cut(edges.where("u != v").select("u", "v").mapInArrow(_stars, "u long, v long").distinct(), "edges")
     before = None
     while True:
+        few = edges.count() <= BROADCAST_ROWS
+        hold = (lambda df, name: F.broadcast(df)) if few else small
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least_of = small(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")  # a hub's edges need not meet in one task
+        least_of = hold(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large_star = both.join(least_of, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large_star = cut(large_star, "large")
-        least = small(large_star.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large_star = large_star if few else cut(large_star, "large")
+        least = hold(large_star.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = large_star.join(least, "u")
         hung = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        edges = cut(hung.unionByName(joined.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
