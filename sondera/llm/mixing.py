@@ -5,7 +5,8 @@ share ``share`` of all words; no target passes ``most`` times its source's
 words, and what is above is shared again by weight (water filling, solved with
 two running sums instead of rounds). The targets are apportioned into blocks of
 ``block_words`` by highest Sainte-Lague quotients: first blocks to sources,
-then each source's blocks to its shards. A shard is a seeded hash class of a
+then each source's blocks to groups of ``GROUP`` of its shards, and a group's
+blocks to its shards, so no window is longer than a group or a source's groups. A shard is a seeded hash class of a
 source's documents of about ``shard_words``, so a source that holds a third of
 all rows is many shards. Inside a shard, documents lie in seeded order; the
 mix takes whole passes over the shard, then a cyclic run of blocks from a
@@ -30,6 +31,7 @@ NAME = "op8_source_mixing"
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 BLOCK_WORDS, SHARD_WORDS, SEED = 64, 1 << 18, "mix-1"
+GROUP = 4096  # shards that are ranked together
 
 
 def n_words(text: str) -> Column:
@@ -106,7 +108,11 @@ def _mix(df: DataFrame, sized: DataFrame, id_col: str, source_col: str) -> DataF
         return rows.withColumn("__shard", F.col("__h") % F.col("__shards"))
 
     shards = sharded(sized).groupBy("__rank", "__shard").agg(F.sum("size").alias("__words"), F.first("__blocks").alias("__seats"), F.first("__s").alias("__name"))
-    shards = sainte_lague(shards, ["__rank"], "__shard", "__words", "__seats", "__quota")
+    shards = cut(shards.withColumn("__group", F.floor(F.col("__shard") / GROUP)), "shards")
+    groups = shards.groupBy("__rank", "__group").agg(F.sum("__words").alias("__words"), F.first("__seats").alias("__seats"))
+    groups = sainte_lague(groups, ["__rank"], "__group", "__words", "__seats", "__own").select(F.col("__rank").alias("__r"), F.col("__group").alias("__g"), "__own")
+    shards = shards.join(groups, (F.col("__rank") == F.col("__r")) & (F.col("__group") == F.col("__g"))).withColumn("__seats", F.col("__own"))
+    shards = sainte_lague(shards.drop("__r", "__g", "__own"), ["__rank", "__group"], "__shard", "__words", "__seats", "__quota")
     shards = shards.withColumn("__n", F.ceil(F.col("__words") / b)).where("__n > 0")
     shards = shards.withColumn("__quota", F.least("__quota", 2 * F.col("__n")))
     shards = shards.withColumns({"__passes": F.floor(F.col("__quota") / F.col("__n")), "__run": F.col("__quota") % F.col("__n"), "__from": _seeded(F.col("__name"), F.col("__shard")) % F.col("__n")})
@@ -175,7 +181,10 @@ s5 AS (SELECT *, CAST(floor(sum(target) OVER () / {BLOCK_WORDS} + 0.5) AS BIGINT
 e AS (SELECT d.doc_id, d.size, d.h, s.source, s.rk, s.source_size, s.target, s.got_ AS seats, d.h % greatest(1, CAST(ceil(s.source_size / {SHARD_WORDS}) AS BIGINT)) AS shard
   FROM d JOIN src s ON d.source IS NOT DISTINCT FROM s.source),
 h1 AS (SELECT rk, shard, CAST(sum(size) AS BIGINT) AS words, any_value(seats) AS seats, any_value(source) AS source FROM e GROUP BY rk, shard),
-{_seat_sql("h1", "rk", "shard", "words", "sh")},
+g1 AS (SELECT rk, shard // {GROUP} AS grp, CAST(sum(words) AS BIGINT) AS words, any_value(seats) AS seats FROM h1 GROUP BY ALL),
+{_seat_sql("g1", "rk", "grp", "words", "gr")},
+i1 AS (SELECT h1.* EXCLUDE (seats), gr.got_ AS seats, h1.rk * 1000000000 + gr.grp AS pt FROM h1 JOIN gr ON h1.rk = gr.rk AND h1.shard // {GROUP} = gr.grp),
+{_seat_sql("i1", "pt", "shard", "words", "sh")},
 h2 AS (SELECT *, CAST(ceil(words / {BLOCK_WORDS}) AS BIGINT) AS n FROM sh WHERE words > 0),
 h3 AS (SELECT *, CAST(least(got_, 2 * n) AS BIGINT) // n AS passes, CAST(least(got_, 2 * n) AS BIGINT) % n AS run,
   CAST('0x' || substr(md5('{SEED}:' || coalesce(source, '') || ':' || shard), 1, 15) AS BIGINT) % n AS frm FROM h2),
