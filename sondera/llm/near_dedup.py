@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sondera.llm.common import cut, small
+from sondera.llm.common import cut, sliced, small
 from sondera.llm.simhash import components
 
 SHINGLE = 5
@@ -124,10 +124,9 @@ def _ranks(rows: DataFrame) -> np.ndarray:
 
     def of_partition(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
-        for batch in found:
-            for hashes in _texts(batch):
-                cells, n = np.unique(hashes % np.uint64(CELLS), return_counts=True)
-                total[cells.astype(np.int64)] += n
+        for batch in sliced(found):
+            cells = np.concatenate(list(_texts(batch))) % np.uint64(CELLS)
+            total += np.bincount(cells.astype(np.int64), minlength=CELLS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
@@ -142,7 +141,7 @@ def _by_key(keys: list[str], values: list[str], of_group, names: list[str]):
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out = None, [], [[] for _ in names]
-        for batch in found:
+        for batch in sliced(found, values[-1]):
             cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in keys + values]
             for at, *rest in zip(zip(*cols[: len(keys)], strict=True), *cols[len(keys) :], strict=True):
                 if at != key:
@@ -185,7 +184,7 @@ def links(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     ranks = rows.sparkSession.sparkContext.broadcast(_ranks(rows))
 
     def prefixes(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
+        for batch in sliced(found):
             sets = list(_texts(batch))
             first = [prefix(s, ranks.value) for s in sets]
             offsets = np.cumsum([0, *map(len, first)]).astype(np.int32)
@@ -209,7 +208,7 @@ def links(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     wanted = small(grouped.groupBy("__row").agg(F.collect_set("g").alias("gs")), "groups")
 
     def sets(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
+        for batch in sliced(found):
             cols = [batch.column(batch.schema.get_field_index(c)) for c in ("__row", "gs")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in _texts(batch)], pa.binary())], ["__row", "gs", "set"])
 
