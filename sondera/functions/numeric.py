@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from functools import lru_cache
-from math import exp, lgamma, log, log1p
+from math import erf, exp, lgamma, log, log1p
+from statistics import NormalDist
 
 import numpy as np
 
@@ -121,58 +122,88 @@ def spectra(x: np.ndarray, dt: float, sub: int | None = None, overlap: float = 0
 METHODS = {"bartlett": "bartlett", "bartlett_covar": "bartlett_covar", "gls": "gls", "capon": "capon", "mvdr": "capon", "music": "music"}
 
 
-def beam_power(x: np.ndarray, cov: np.ndarray, f: np.ndarray, delays: np.ndarray, method: str = "bartlett", signals: int = 1, noise_inverse: np.ndarray | None = None) -> np.ndarray:
+def _powers(x: np.ndarray, cov: np.ndarray, freq: float, delays: np.ndarray, method: str, signals: int, noise_inverse: np.ndarray | None) -> np.ndarray:
+    """Power [W, K] of W windows at one frequency; x[W, M], cov[W, M, M], noise_inverse[M, M]."""
+    m = x.shape[1]
+    a = np.exp(-2j * np.pi * freq * delays) / np.sqrt(m)  # conjugate steering, K x M
+    size = np.maximum((np.abs(x) ** 2).sum(axis=1), 1e-300)[:, None]
+    form = lambda b: ((a @ b) * a.conj()).sum(axis=-1).real  # noqa: E731  # of one matrix, or of a stack
+    if method == "bartlett":
+        return np.abs(x @ a.T) ** 2 / size
+    if method == "gls":
+        b = np.eye(m) if noise_inverse is None else noise_inverse
+        return np.abs(x @ (a @ b).T) ** 2 / form(b) ** 2 / size
+    if method == "bartlett_covar":
+        return form(cov) / np.maximum(np.trace(cov, axis1=1, axis2=2).real, 1e-300)[:, None]
+    if method == "capon":
+        load = 1e-3 * np.trace(cov, axis1=1, axis2=2).real / m
+        top = np.maximum(np.linalg.eigvalsh(cov)[:, -1], 1e-300)
+        return 1 / form(np.linalg.inv(cov + np.maximum(load, 1e-300)[:, None, None] * np.eye(m))) / top[:, None]
+    vectors = np.linalg.eigh(cov)[1][:, :, : m - signals]
+    return 1 / np.maximum((np.abs(a @ vectors) ** 2).sum(axis=2), 1e-12)
+
+
+def beam_power(x: np.ndarray, cov: np.ndarray, f: np.ndarray, delays: np.ndarray, method: str = "bartlett", signals: int = 1, noise_inverse: np.ndarray | None = None, weights: np.ndarray | None = None) -> np.ndarray:
     """Mean power over frequencies, [W, K], of W windows for each row of delays[K, M]; x[W, M, F], cov[W, F, M, M].
 
-    Steering vectors are made once per frequency and serve all windows.
+    Steering vectors are made once per frequency and serve all windows. ``noise_inverse[F, M, M]`` is for generalised least
+    squares, ``weights[F]`` or ``weights[W, F]`` for a weighted mean over frequencies.
     """
-    method, m = METHODS[method.lower()], x.shape[1]
-    total = np.zeros((len(x), len(delays)))
+    method, total = METHODS[method.lower()], np.zeros((len(x), len(delays)))
+    w = np.ones((1, len(f))) if weights is None else np.atleast_2d(weights)
     for i, freq in enumerate(f):
-        a = np.exp(-2j * np.pi * freq * delays) / np.sqrt(m)  # conjugate steering
-        size = np.maximum((np.abs(x[:, :, i]) ** 2).sum(axis=1), 1e-300)
-        if method == "bartlett":
-            total += (np.abs(a @ x[:, :, i].T) ** 2 / size).T
-            continue
-        for w in range(len(x)):
-            s = cov[w, i]
-            form = lambda b: np.einsum("km,mn,kn->k", a, b, a.conj(), optimize=True).real  # noqa: B023, E731
-            if method == "bartlett_covar":
-                p = form(s) / max(np.trace(s).real, 1e-300)
-            elif method == "gls":
-                b = noise_inverse[i] if noise_inverse is not None else np.eye(m)
-                p = np.abs(a @ (b @ x[w, :, i])) ** 2 / form(b) ** 2 / size[w]
-            elif method == "capon":
-                load = 1e-3 * np.trace(s).real / m * np.eye(m)
-                p = 1 / form(np.linalg.inv(s + load)) / max(np.linalg.eigvalsh(s)[-1], 1e-300)
-            else:
-                vectors = np.linalg.eigh(s)[1][:, : m - signals]
-                p = 1 / np.maximum((np.abs(a @ vectors) ** 2).sum(axis=1), 1e-12)
-            total[w] += p
-    return total / max(len(f), 1)
-
-
-def refined_peak(power: np.ndarray, az: np.ndarray, vel: np.ndarray) -> tuple[float, float, float]:
-    """(azimuth, velocity, power) of the top of a velocity-major grid, refined by a parabola along each axis where it is concave."""
-    grid = power.reshape(len(vel), len(az))
-    i, j = np.unravel_index(np.argmax(grid), grid.shape)
+        total += w[:, i, None] * _powers(x[:, :, i], cov[:, i], freq, delays, method, signals, None if noise_inverse is None else noise_inverse[i])
+    return total / np.maximum(w.sum(axis=1), 1e-300)[:, None]
 
-    def along(values: np.ndarray, axis: np.ndarray, k: int) -> tuple[float, float]:
-        if not 0 < k < len(axis) - 1:
-            return float(axis[k]), 0.0
-        a, b, c = values[k - 1 : k + 2]
-        curve = a - 2 * b + c
-        shift = float(np.clip(0.5 * (a - c) / curve, -0.5, 0.5)) if curve < 0 else 0.0
-        return float(axis[k] + shift * (axis[k + 1] - axis[k])), float(-0.25 * (a - c) * shift)
 
-    v, gain_v = along(grid[:, j], vel, i)
-    z, gain_z = along(grid[i, :], az, j)
-    return z, v, float(min(grid[i, j] + gain_v + gain_z, 1.0) if grid[i, j] <= 1 else grid[i, j] + gain_v + gain_z)
+def arrival_weights(x: np.ndarray, cov: np.ndarray, f: np.ndarray, delays: np.ndarray, slowness: np.ndarray, method: str, signals: int = 1, noise_inverse: np.ndarray | None = None) -> np.ndarray:
+    """Weights [W, F] of frequencies by how well the direction of their own peak agrees with the mean direction.
+
+    A peak's direction is the unit vector of its horizontal slowness, scaled by the grid's least velocity, and what is left upwards;
+    the weight is half of one plus the projection on the mean, plus the directions' spread.
+    """
+    c = 1 / np.hypot(*slowness.T).max()
+    rows = []
+    for i, freq in enumerate(f):
+        p = _powers(x[:, :, i], cov[:, i], freq, delays, METHODS[method.lower()], signals, None if noise_inverse is None else noise_inverse[i])
+        rows.append(c * slowness[np.argmax(p, axis=1)])
+    flat = np.stack(rows, axis=1)  # W x F x 2
+    way = np.concatenate([flat, np.sqrt(1 - 0.99 * (flat**2).sum(axis=2, keepdims=True))], axis=2)
+    return (1 + (way * way.mean(axis=1, keepdims=True)).sum(axis=2)) / 2 + np.sqrt(way.var(axis=1).sum(axis=1))[:, None]
+
+
+def _top(grid: np.ndarray, i: int, j: int, az: np.ndarray, vel: np.ndarray) -> tuple[float, float, float]:
+    """(azimuth, velocity, power) of the quadric through a grid point and its neighbours; the point itself at an edge or where the quadric has no extreme."""
+    if not (0 < i < len(vel) - 1 and 0 < j < len(az) - 1):
+        return float(az[j]), float(vel[i]), float(grid[i, j])
+    near = grid[i - 1 : i + 2, j - 1 : j + 2]
+    slope = np.array([near[1, 2] - near[1, 0], near[2, 1] - near[0, 1]]) / 2
+    cross = (near[2, 2] - near[2, 0] - near[0, 2] + near[0, 0]) / 4
+    bend = np.array([[near[1, 2] - 2 * near[1, 1] + near[1, 0], cross], [cross, near[2, 1] - 2 * near[1, 1] + near[0, 1]]])
+    if np.linalg.det(bend) <= 0:
+        return float(az[j]), float(vel[i]), float(near[1, 1])
+    move = -np.linalg.solve(bend, slope)
+    return float(az[j] + move[0] * (az[1] - az[0])), float(vel[i] + move[1] * (vel[1] - vel[0])), float(near[1, 1] + slope @ move / 2)
+
+
+def peaks(power: np.ndarray, az: np.ndarray, vel: np.ndarray, signals: int = 1) -> list[tuple[float, float, float]]:
+    """(azimuth, velocity, power) of up to ``signals`` tops of a velocity-major grid, the highest first.
+
+    One signal is the grid's top; several are the maxima along azimuth of the highest power over velocities.
+    """
+    grid = power.reshape(len(vel), len(az))
+    if signals < 2:
+        i, j = np.unravel_index(np.argmax(grid), grid.shape)
+        return [_top(grid, i, j, az, vel)]
+    line = grid.max(axis=0)
+    at = [j for j in range(1, len(az) - 1) if line[j - 1] <= line[j] >= line[j + 1]]
+    found = [_top(grid, int(np.argmax(grid[:, j])), j, az, vel) for j in at]
+    return sorted(found, key=lambda t: -t[2])[:signals]
 
 
 def best_beam(x: np.ndarray, f: np.ndarray, delays: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spectrum of the beam along one delay vector and what is left of each channel without it."""
-    a = np.exp(2j * np.pi * f[None, :] * delays[:, None]) / np.sqrt(len(delays))
+    a = np.exp(2j * np.pi * f[None, :] * delays[:, None])
     beam = (a.conj() * x).sum(axis=0) / (np.abs(a) ** 2).sum(axis=0)
     return beam, x - beam * a
 
@@ -198,23 +229,38 @@ _LINKAGE = {
 
 
 def cut_linkage(dist: np.ndarray, threshold: float, linkage: str = "weighted") -> np.ndarray:
-    """Flat clusters of hierarchical clustering cut at a distance, numbered by their first member."""
+    """Flat clusters of hierarchical clustering cut at a distance, numbered by their first member.
+
+    Chains of nearest neighbours: all four linkages are reducible, so pairs that are each other's nearest may be merged
+    in any order, and the whole takes n squared steps. Merges above the threshold are made, but not kept.
+    """
     n = len(dist)
     d = dist.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    label, size, alive = np.arange(n), np.ones(n), np.ones(n, bool)
+    size, alive, chain = np.ones(n), np.ones(n, bool), []
+    up = np.arange(n)
     for _ in range(n - 1):
-        i, j = np.unravel_index(np.argmin(np.where(alive[:, None] & alive[None, :], d, np.inf)), d.shape)
-        if not d[i, j] <= threshold:
-            break
-        i, j = min(i, j), max(i, j)
+        if not chain:
+            chain = [int(np.argmax(alive))]
+        while True:
+            i = chain[-1]
+            row = np.where(alive, d[i], np.inf)
+            j = int(np.argmin(row))
+            if len(chain) > 1 and row[chain[-2]] <= row[j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        gap = d[i, j]
+        del chain[-2:]
         row = _LINKAGE[linkage](d[i], d[j], size[i], size[j])
+        i, j = min(i, j), max(i, j)
         d[i], d[:, i] = row, row
         d[i, i] = np.inf
-        label[label == j] = i
         size[i] += size[j]
         alive[j] = False
-    _, first, number = np.unique(label, return_index=True, return_inverse=True)
+        if gap <= threshold:
+            up[up == up[j]] = up[i]
+    _, first, number = np.unique(up, return_index=True, return_inverse=True)
     return np.argsort(np.argsort(first))[number]
 
 
@@ -265,6 +311,179 @@ def butterworth(x: np.ndarray, dt: float, low: float | None, high: float | None,
     return np.fft.irfft(np.fft.rfft(mirrored) * gain, 2 * n)[..., :n]
 
 
+def fitted(model, x: np.ndarray, y: np.ndarray, start: np.ndarray, rounds: int = 200) -> np.ndarray | None:
+    """Least-squares parameters of model(x, *p) by damped Gauss-Newton steps with numerical slopes; null if it does not settle."""
+    p, damp = np.array(start, float), 1e-3
+    rest = y - model(x, *p)
+    for _ in range(rounds):
+        step = 1e-6 * np.maximum(np.abs(p), 1e-3)
+        slopes = np.stack([(model(x, *(p + step * (np.arange(len(p)) == k))) - model(x, *p)) / step[k] for k in range(len(p))], axis=1)
+        normal, way = slopes.T @ slopes, slopes.T @ rest
+        if not np.isfinite(normal).all():
+            return None
+        move = np.linalg.lstsq(normal + damp * np.diag(np.diag(normal) + 1e-12), way, rcond=None)[0]
+        new = y - model(x, *(p + move))
+        if np.isfinite(new).all() and (new**2).sum() <= (rest**2).sum():
+            done = (rest**2).sum() - (new**2).sum() <= 1e-12 * max((rest**2).sum(), 1e-300)
+            p, rest, damp = p + move, new, max(damp / 5, 1e-12)
+            if done:
+                return p
+        else:
+            damp *= 10
+            if damp > 1e12:
+                return p
+    return None
+
+
+def _normal(z: np.ndarray) -> np.ndarray:
+    return np.exp(-0.5 * z * z) / np.sqrt(2 * np.pi)
+
+
+def _normal_cdf(z: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.array([erf(v) for v in np.ravel(z / np.sqrt(2))]).reshape(np.shape(z)))
+
+
+def skew_normal(x: np.ndarray, skew: float, at: float, width: float) -> np.ndarray:
+    z = (x - at) / width
+    return 2 / width * _normal(z) * _normal_cdf(skew * z)
+
+
+def skew_normal_quantile(p: float, skew: float, at: float, width: float) -> float:
+    """Quantile by the trapezoid rule on 4,001 points of plus and minus 10 widths."""
+    x = at + width * np.linspace(-10, 10, 4001)
+    y = skew_normal(x, skew, at, width)
+    mass = np.r_[0, np.cumsum((y[1:] + y[:-1]) / 2) * (x[1] - x[0])]
+    return float(np.interp(p, mass / mass[-1], x))
+
+
+def simpson_sum(y: np.ndarray, step: float) -> float:
+    """Simpson's rule; an even number of points leaves the last interval to the trapezoid rule."""
+    odd = len(y) if len(y) % 2 else len(y) - 1
+    w = np.ones(odd)
+    w[1:-1:2], w[2:-1:2] = 4, 2
+    return float((w * y[:odd]).sum() * step / 3 + (0.0 if len(y) % 2 else (y[-1] + y[-2]) * step / 2))
+
+
+def background_threshold(values: np.ndarray, p: float, points: int = 100) -> tuple[float, float]:
+    """(threshold, peak) of a level's background: the lower of two quantiles of false-alarm probability ``p``.
+
+    One is that of the normal with the mean and deviation of the values' kernel density, the other that of a skew normal fitted
+    to the density within two deviations (of a normal, where that fit fails).
+    """
+    low, high = values.min(), values.max()
+    if high <= low:
+        return float(high), float(high)
+    x = np.linspace(low - (high - low) / 4, high + (high - low) / 4, points)
+    y, step = kde(values, x), (high - low) * 1.5 / (points - 1)
+    mean = simpson_sum(x * y, step)
+    sd = float(np.sqrt(max(simpson_sum((x - mean) ** 2 * y, step), 1e-300)))
+    plain = NormalDist(mean, sd).inv_cdf(1 - p)
+    near = np.abs(x - mean) < 2 * sd
+    if near.sum() < 6:
+        return plain, mean
+    found = fitted(lambda x, k, a, m, s: a * skew_normal(x, k, m, max(abs(s), 1e-9)), x[near], y[near], np.array([0.1, 1.0, mean, sd]))
+    if found is not None and abs(found[0]) < 50:
+        k, _, m, s = found
+        s = max(abs(s), 1e-9)
+        line = np.linspace(m - 3 * s, m + 3 * s, 601)
+        return min(plain, skew_normal_quantile(1 - p, k, m, s)), float(line[np.argmax(skew_normal(line, k, m, s))])
+    found = fitted(lambda x, a, m, s: a * _normal((x - m) / s) / s, x[near], y[near], np.array([1.0, mean, sd]))
+    if found is None:
+        return plain, mean
+    return min(plain, NormalDist(found[1], abs(found[2])).inv_cdf(1 - p)), float(found[1])
+
+
+def smoothed(y: np.ndarray, width: int = 49, order: int = 3) -> np.ndarray:
+    """Local polynomials of odd ``width``; the ends take the polynomial of the first and last whole window."""
+    width = min(width, len(y) - 1 + len(y) % 2)
+    if width <= order:
+        return y.astype(float)
+    half = width // 2
+    t = np.arange(-half, half + 1)
+    fit = np.linalg.pinv(np.vander(t, order + 1, increasing=True))
+    out = np.convolve(y, fit[0][::-1], "same").astype(float)
+    head, tail = fit @ y[:width], fit @ y[-width:]
+    out[:half] = np.vander(t[:half], order + 1, increasing=True) @ head
+    out[-half:] = np.vander(t[-half:], order + 1, increasing=True) @ tail
+    return out
+
+
+def wavelet_power(x: np.ndarray, dt: float, f: np.ndarray, cycles: float = 5.0) -> np.ndarray:
+    """|CWT|^2 [F, N] with Morlet wavelets whose width is cycles / (2 pi f)."""
+    n = len(x)
+    size = 1 << (2 * n - 1).bit_length()
+    spec, w = np.fft.fft(x, size), 2 * np.pi * np.fft.fftfreq(size, dt)
+    scale = cycles / (2 * np.pi * np.asarray(f))[:, None]
+    wave = np.pi**-0.25 * np.sqrt(2 * np.pi * scale / dt) * np.exp(-0.5 * (w * scale - cycles) ** 2) * (w > 0)
+    return np.abs(np.fft.ifft(spec * wave, axis=1)[:, :n]) ** 2
+
+
+def stft(x: np.ndarray, dt: float, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(times, frequencies, complex spectra [T, F]) with half-overlapping periodic Hann windows, zeros beyond both ends."""
+    half, w = n // 2, 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    padded = np.r_[np.zeros(half), x, np.zeros(half + (-len(x)) % half)]
+    parts = np.lib.stride_tricks.sliding_window_view(padded, n)[::half]
+    return np.arange(len(parts)) * half * dt, np.fft.rfftfreq(n, dt), np.fft.rfft(parts * w, axis=1) / w.sum()
+
+
+# ------------------------------------------------------------- source counting
+
+
+def model_order(values: np.ndarray, penalty: str = "aic") -> tuple[np.ndarray, int]:
+    """(criterion of 0, 1, .. sources, the number with the least) of eigenvalues in falling order.
+
+    The likelihood term is the log ratio of the geometric to the arithmetic mean of the eigenvalues behind the k-th.
+    """
+    m, out = len(values), []
+    for k in range(m):
+        rest = values[k + 1 :]
+        ratio = np.log(rest).sum() / (m - k) - np.log(rest.sum() / (m - k)) if len(rest) else np.inf
+        free = k * (2 * m - k)
+        out.append(-2 * ratio + 2 * free if penalty == "aic" else -(m - k) * ratio + free / 2)
+    out = np.array(out)
+    return out, int(np.argmin(np.where(np.isfinite(out), out, np.inf)))
+
+
+def grid_peaks(grid: np.ndarray, size: int = 3, count: int = 1) -> list[tuple[int, int, float]]:
+    """(row, column, value) of the points that are the highest of the square of ``size`` about them and not zero, the highest first."""
+    half = size // 2
+    padded = np.pad(grid, half, mode="symmetric")
+    around = np.lib.stride_tricks.sliding_window_view(padded, (size, size)).max(axis=(2, 3))
+    rows, cols = np.nonzero((grid == around) & (grid != 0))
+    order = np.argsort(-grid[rows, cols], kind="stable")[:count]
+    return [(int(rows[i]), int(cols[i]), float(grid[rows[i], cols[i]])) for i in order]
+
+
+def rolled_beam(x: np.ndarray, fs: float, az: float, slowness: float, geometry: np.ndarray) -> np.ndarray:
+    """Channels rolled by whole samples so that a plane wave from ``az`` (degrees) with ``slowness`` lines up."""
+    way = np.array([np.sin(np.radians(az)), np.cos(np.radians(az))])
+    lag = np.rint(geometry @ way * slowness * fs).astype(int)
+    return np.stack([np.roll(row, k) for row, k in zip(x, lag, strict=True)])
+
+
+def correlation_beam(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(channels rolled to where they correlate best with the first, those greatest correlations)."""
+    n = x.shape[1]
+    z = (x - x.mean(axis=1, keepdims=True)) / np.maximum(x.std(axis=1, keepdims=True), 1e-300)
+    size = 1 << (2 * n - 1).bit_length()
+    cross = np.fft.irfft(np.fft.rfft(z[0], size) * np.fft.rfft(z, size, axis=1).conj(), size)
+    cross = np.concatenate([cross[:, -(n - 1) :], cross[:, :n]], axis=1) / n  # lags -(n - 1) .. n - 1
+    top = np.argmax(cross, axis=1)
+    return np.stack([np.roll(row, k - n + 1) for row, k in zip(x, top, strict=True)]), cross.max(axis=1)
+
+
+def fisher_and_correlations(x: np.ndarray) -> tuple[float, float, float, float, float]:
+    """(F ratio, least, mean and greatest of the positive correlations of channel pairs, root mean square of the beam) of aligned channels."""
+    m, n = x.shape
+    beam = x.mean(axis=0)
+    inner = ((x - beam) ** 2).sum()
+    f = n * (m - 1) * m * ((beam - beam.mean()) ** 2).sum() / max(n - 1, 1) / max(inner, 1e-300)
+    c = np.corrcoef(x)[np.triu_indices(m, 1)]
+    c = c[c > 0]
+    low, mean, high = (c.min(), c.mean(), c.max()) if len(c) else (0.0, 0.0, 0.0)
+    return float(f), float(low), float(mean), float(high), float(np.sqrt((beam**2).mean()))
+
+
 # ------------------------------------------------------------ pair likelihoods
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sondera.catalog import durable
+
 
 def band_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, lo: str, hi: str, width: float) -> DataFrame:
     """Points joined to the spans that hold them, lo <= at <= hi, as an equi-join on buckets of ``width``.
@@ -84,3 +89,38 @@ def mixture_sequences(n: int, components: int = 3) -> Column:
     every = F.sequence(F.lit(0), F.lit(components**n - 1))
     digit = lambda k, i: F.pmod(F.floor(k / components**i), F.lit(components)).cast("int")
     return F.transform(every, lambda k: F.array(*[digit(k, i) for i in range(n)]))
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` checkpointed, and broadcast to joins if it has ``most`` rows or fewer."""
+    df = durable(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def parameter_set(table: DataFrame, **values) -> DataFrame:
+    """The one row of ``table`` with these values (nulls equal); empty if there is none, an error if there are several."""
+    found = table.where(reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in values.items()], F.lit(True)))
+    many = F.assert_true(F.col("__n") <= 1, F.lit("several parameter sets have these values"))
+    counted = found.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+    return counted.withColumn("__ok", many).where(F.col("__ok").isNull()).drop("__n", "__ok")
+
+
+def matches(c: Column | str, pattern: str) -> Column:
+    """Shell pattern: ``*``, ``?``, ``[abc]`` and ``[!abc]``, upper and lower case told apart."""
+    out, i = "", 0
+    while i < len(pattern):
+        end = pattern.find("]", i + 2) if pattern[i] == "[" else -1
+        if end > 0:
+            inside = pattern[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+            out += "[" + ("^" + inside[1:] if inside.startswith("!") else inside) + "]"
+            i = end
+        else:
+            out += {"*": ".*", "?": "."}.get(pattern[i], re.escape(pattern[i]))
+        i += 1
+    return (F.col(c) if isinstance(c, str) else c).rlike(f"^(?s:{out})$")
+
+
+def nearest_on_grid(points: DataFrame, x: str, y: str, xs: tuple[float, float, int], ys: tuple[float, float, int]) -> DataFrame:
+    """``points`` with ix and iy: the nearest node of a regular grid (first, step, count on each axis), by arithmetic instead of a search."""
+    index = lambda c, a: F.least(F.greatest(F.floor((F.col(c) - a[0]) / a[1] + 0.5), F.lit(0)), F.lit(a[2] - 1)).cast("int")
+    return points.withColumns({"ix": index(x, xs), "iy": index(y, ys)})

@@ -47,6 +47,28 @@ def above_background(rows: DataFrame, window: float, step: float, p: float) -> D
     return found.where(F.col("db") > F.col("threshold")).groupBy("channel", "t", "f").agg(F.first("db").alias("db"), F.min("threshold").alias("threshold"))
 
 
+def above_density(rows: DataFrame, window: float, step: float, p: float) -> DataFrame:
+    """Points above their frequency's background in any hop window that holds them, once each.
+
+    A background's threshold is the lower of two quantiles, of a normal and of a fitted skew normal, from the kernel density of the
+    window's levels (``numeric.background_threshold``). A group is one channel, frequency and window, so its size follows the window.
+    """
+    from sondera.operators.windows import hop_windows
+
+    first = rows.groupBy("channel").agg(F.min("t").alias("t0"))
+    dealt = hop_windows(rows.join(first, "channel"), "t", "t0", window, step).drop("t0")
+    levels = dealt.groupBy("channel", "f", "win_start").agg(F.collect_list("db").alias("x"))
+
+    def batches(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in found:
+            made = [numeric.background_threshold(np.sort(np.asarray(x, float)), p) for x in pdf["x"]]
+            yield pdf.drop(columns="x").assign(threshold=[m[0] for m in made], peak=[m[1] for m in made])
+
+    levels = levels.mapInPandas(batches, "channel string, f double, win_start double, threshold double, peak double")
+    found = dealt.join(levels, ["channel", "f", "win_start"])
+    return found.where(F.col("db") > F.col("threshold")).groupBy("channel", "t", "f").agg(F.first("db").alias("db"), F.min("threshold").alias("threshold"))
+
+
 def dbscan(points: DataFrame, keys: list[str], x: str, y: str, eps: float, min_points: int) -> DataFrame:
     """Density clusters: adds cluster (smallest core point's number in it), null for noise. Points need a unique ``pid``.
 
@@ -57,9 +79,10 @@ def dbscan(points: DataFrame, keys: list[str], x: str, y: str, eps: float, min_p
     p = points.select(*keys, "pid", F.col(x).alias("x"), F.col(y).alias("y"), cell(x).alias("cx"), cell(y).alias("cy"))
     around = F.explode(F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")
     spread = p.select(*keys, F.col("pid").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), around).select(*keys, "a", "ax", "ay", "c.cx", "c.cy")
-    near = spread.join(p, [*keys, "cx", "cy"]).where((F.col("x") - F.col("ax")) ** 2 + (F.col("y") - F.col("ay")) ** 2 <= eps * eps).select("a", F.col("pid").alias("b"))
+    near = durable(spread.join(p, [*keys, "cx", "cy"]).where((F.col("x") - F.col("ax")) ** 2 + (F.col("y") - F.col("ay")) ** 2 <= eps * eps).select("a", F.col("pid").alias("b")))
     core = near.groupBy("a").count().where(F.col("count") >= min_points).select("a")
-    links = near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").persist()
+    links = near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b")
+    links = durable(links)
     labels = core.select(F.col("a").alias("node"), F.col("a").alias("label"))
     changed = None
     while changed != 0:
@@ -83,14 +106,43 @@ def spectral_detections(clustered: DataFrame) -> DataFrame:
     return out.withColumns({"start": F.col("lo") - F.col("t"), "end": F.col("hi") - F.col("t")}).drop("lo", "hi")
 
 
-def run_sd(segments: DataFrame, f_min: float = 1.0, f_max: float = 20.0, window: float = 900.0, step: float = 450.0, p: float = 0.01, scale: float = 35.0, eps: float = 10.0, min_points: int = 40) -> DataFrame:
-    """Spectral detections of channel segments; clusters live in (time, scale * log10 frequency)."""
-    found = above_background(spectrogram_rows(segments, f_min, f_max), window, step, p)
+def run_sd(segments: DataFrame, f_min: float = 1.0, f_max: float = 20.0, window: float = 900.0, step: float = 450.0, p: float = 0.01, scale: float = 35.0, eps: float = 10.0, min_points: int = 40, background: str = "density") -> DataFrame:
+    """Spectral detections of channel segments; clusters live in (time, scale * log10 frequency). ``background``: density or median."""
+    above = {"density": above_density, "median": above_background}[background]
+    found = above(spectrogram_rows(segments, f_min, f_max), window, step, p)
     number = F.row_number().over(Window.partitionBy("channel").orderBy("t", "f")).cast("long")
     found = found.withColumns({"y": scale * F.log10("f"), "pid": F.xxhash64("channel", number)})
     return spectral_detections(dbscan(found, ["channel"], "t", "y", eps, min_points))
 
 
+def cluster_spectra(rows: DataFrame, detections: DataFrame) -> DataFrame:
+    """Mean and greatest level of each frequency while a detection (channel, cluster, t, start, end) lasts, both ends outside."""
+    from sondera.operators.relational import band_join
+
+    spans = detections.select("channel", "cluster", (F.col("t") + F.col("start")).alias("lo"), (F.col("t") + F.col("end")).alias("hi"))
+    inside = band_join(rows, spans, ["channel"], "t", "lo", "hi", 60.0).where((F.col("t") > F.col("lo")) & (F.col("t") < F.col("hi")))
+    return inside.groupBy("channel", "cluster", "f").agg(F.avg("db").alias("mean_db"), F.max("db").alias("max_db"))
+
+
+def transform_rows(segments: DataFrame, kind: str, f_min: float, f_max: float, seconds: float = 4.0, scales: int = 24) -> DataFrame:
+    """Short-time Fourier ("stft") or Morlet wavelet ("cwt") magnitudes of segments: channel, t, f, amplitude."""
+
+    def batches(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in found:
+            for channel, t0, fs, samples in zip(pdf["channel"], pdf["t0"], pdf["fs"], pdf["samples"], strict=True):
+                x = np.asarray(samples, float)
+                if kind == "stft":
+                    t, f, z = numeric.stft(x, 1 / fs, max(2, int(seconds * fs)))
+                    z = np.abs(z)
+                else:
+                    f, t = np.geomspace(f_min, f_max, scales), np.arange(len(x)) / fs
+                    z = np.sqrt(numeric.wavelet_power(x, 1 / fs, f)).T
+                band = (f >= f_min) & (f <= f_max)
+                yield pd.DataFrame({"channel": channel, "t": np.repeat(t0 + t, band.sum()), "f": np.tile(f[band], len(t)), "amplitude": z[:, band].ravel()})
+
+    return segments.select("channel", "t0", "fs", "samples").mapInPandas(batches, "channel string, t double, f double, amplitude double")
+
+
 def welch_psd(segments: DataFrame, seconds: float) -> DataFrame:
     """Power density in dB with half-overlapping windows: channel, f, db."""
 

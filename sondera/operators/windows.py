@@ -78,18 +78,30 @@ def detections(in_runs: DataFrame, keys: list[str], at: str, value: str, az: str
     return found.withColumns(ends).select(*keys, "run", *[F.col("p")[c].alias(c) for c in (at, value, az, *payload)], "start", "end", "n_rows", "spread")
 
 
-def merge_detections(df: DataFrame, keys: list[str], at: str, value: str, az: str, az_limit: float, most_rows: int = 1 << 20) -> DataFrame:
+def merge_detections(df: DataFrame, keys: list[str], at: str, value: str, az: str, az_limit: float) -> DataFrame:
     """Neighbouring detections of one key with near azimuths and a gap below the longer duration become one, until none are left to merge.
 
-    Merging is in order of time and to a fixpoint, so a key's detections (few,
-    next to its samples) are handled together in one Arrow batch.
+    Merging is in order of time and to a fixpoint. Detections that could ever
+    meet lie in one block: a detection may grow to the whole time since its
+    block began, so a block ends where the next detection starts later than that
+    time, or the longest detection of the key, behind all before it.
     """
     schema = df.schema
+    before = Window.partitionBy(*keys).orderBy(at, "start").rowsBetween(Window.unboundedPreceding, -1)
+    lo, hi = F.col(at) + F.col("start"), F.col(at) + F.col("end")
+    df = df.withColumn("__longest", F.max(hi - lo).over(Window.partitionBy(*keys)))
+    df = df.withColumn("__gap", lo - F.max(hi).over(before))
+    df = df.withColumn("__near", F.sum((F.col("__gap").isNull() | (F.col("__gap") >= F.col("__longest"))).cast("long")).over(Window.partitionBy(*keys).orderBy(at, "start")))
+    span = F.max(hi).over(Window.partitionBy(*keys, "__near")) - F.min(lo).over(Window.partitionBy(*keys, "__near"))
+    df = df.withColumn("__span", span)  # merged detections of a block can reach as far as the block is long
+    ends = df.groupBy(*keys, "__near").agg(F.min(lo).alias("__from"), F.max(hi).alias("__to"), F.max("__span").alias("__span"))
+    line = Window.partitionBy(*keys).orderBy("__near")
+    apart = (F.col("__from") - F.lag("__to").over(line)) >= F.greatest(F.col("__span"), F.max("__span").over(line.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.withColumn("__block", F.sum(F.coalesce(apart, F.lit(True)).cast("long")).over(line)).select(*keys, "__near", "__block")
+    df = df.drop("__longest", "__gap", "__span").join(ends, [*keys, "__near"]).drop("__near")
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most_rows:
-            raise ValueError(f"{len(pdf)} detections of one key; cut the key by day first")
-        rows = pdf.sort_values(at, kind="stable").to_dict("records")
+        rows = pdf.drop(columns="__block").sort_values(at, kind="stable").to_dict("records")
         changed = True
         while changed:
             changed, out = False, []
@@ -106,9 +118,10 @@ def merge_detections(df: DataFrame, keys: list[str], at: str, value: str, az: st
                         continue
                 out.append(row)
             rows = out
-        return pd.DataFrame(rows, columns=pdf.columns).astype(pdf.dtypes.to_dict())
+        kept = pdf.drop(columns="__block")
+        return pd.DataFrame(rows, columns=kept.columns).astype(kept.dtypes.to_dict())
 
-    return df.groupBy(*keys).applyInPandas(merged, schema)
+    return df.groupBy(*keys, "__block").applyInPandas(merged, schema)
 
 
 def blend_weights(start: Column, at: Column, length: float, step: float) -> Column:
