@@ -5,10 +5,11 @@ from __future__ import annotations
 from itertools import product
 from math import pi, sqrt
 
-from pyspark.sql import Column
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondera.functions import circular, geodesy, physics
+from sondera.functions import circular, geodesy, numeric, physics
 
 
 def range_km(det: Column, lat: Column, lon: Column) -> Column:
@@ -45,7 +46,71 @@ def pair_time_marginal(t1: Column, t2: Column, km1: Column, km2: Column) -> Colu
     return out
 
 
-def seismic_pdf(distance_deg: Column, seconds: Column, slope: float = 8.0, intercept: float = 20.0, sd: float = 3.0) -> Column:
-    """Density of a seismic arrival about a travel-time line (seconds a degree); a table's values can be joined instead."""
-    z = (seconds - (intercept + slope * distance_deg)) / sd
+#: Standard deviations (s) of a first P and S arrival about its table's travel time.
+PHASE_SD = {"p": 3.0, "s": 6.0}
+
+
+def seismic_pdf(seconds: Column, expected: Column, phase: str = "p") -> Column:
+    """Density of a seismic arrival ``seconds`` after the origin about the travel time of a table (see ``travel_times``)."""
+    sd = PHASE_SD[phase]
+    z = (seconds - expected) / sd
     return F.exp(-0.5 * z * z) / (sd * sqrt(2 * pi))
+
+
+def travel_times(points: DataFrame, km: str, table: DataFrame, phase: str = "p", out: str = "expected") -> DataFrame:
+    """``points`` with the table's travel time at a distance. ``table``: deg, p, s as read from a first-arrival table; a cubic spline through it."""
+    from sondera.sources.tables import along, curve
+
+    pieces = curve(table.withColumn("km", F.radians("deg") * geodesy.SPHERE_KM), "km", phase, "cubic")
+    return along(points, km, pieces, out)
+
+
+def time_marginals(points: DataFrame, most: int = 100) -> DataFrame:
+    """``points`` (t, km: arrays of arrival times and ranges; optionally st, stt, ssd: seismic arrivals, travel times, deviations) with
+    pdf: their joint density with the origin time integrated out.
+
+    Up to ``most`` sequences of components (3 to the number of arrivals) the integral is a sum of Gaussians in closed form; beyond,
+    it is Simpson's rule on ``most`` times between the earliest and latest possible origin.
+    """
+    schema = points.withColumn("pdf", F.lit(0.0)).schema
+    mixture = tuple(np.array(x, float) for x in (physics.RCEL_WEIGHTS, physics.RCEL_MEANS, physics.RCEL_SDS))
+
+    def batches(found):
+        for pdf in found:
+            made = []
+            for row in pdf.to_dict("records"):
+                seismic = [np.asarray(row.get(c) if row.get(c) is not None else [], float) for c in ("st", "stt", "ssd")]
+                made.append(time_marginal(np.asarray(row["t"], float), np.asarray(row["km"], float), mixture, *seismic, most=most))
+            yield pdf.assign(pdf=made)
+
+    return points.mapInPandas(batches, schema)
+
+
+def time_marginal(t: np.ndarray, km: np.ndarray, mixture: tuple, st: np.ndarray, stt: np.ndarray, ssd: np.ndarray, most: int = 100) -> float:
+    """See ``time_marginals``; without any arrival that has a mixture, 1."""
+    n, (wt, mn, sd) = len(t), mixture
+    if not n:
+        return 1.0
+    km = np.maximum(km, 1e-3)
+    base = t[0]
+    t, st = t - base, st - base
+    if len(wt) ** n <= most:
+        picks = np.array(list(product(range(len(wt)), repeat=n)))
+        shift, width = t - km * mn[picks], km * sd[picks]
+        a = (width**-2.0).sum(axis=1) + (ssd**-2.0).sum()
+        b = (shift / width**2).sum(axis=1) + ((st - stt) / ssd**2).sum()
+        c = ((shift / width) ** 2).sum(axis=1) + (((st - stt) / ssd) ** 2).sum()
+        terms = np.prod(wt[picks] / width, axis=1) / np.sqrt(a) * np.exp(-0.5 * (c - b * b / a))
+        return float(terms.sum() / np.prod(ssd) / (2 * np.pi) ** ((n + len(st) - 1) / 2))
+    lo, hi = (t - km / 0.2).max(), (t - km / 0.4).min()
+    if len(st):
+        lo, hi = max(lo, (st - stt - 6 * ssd).max()), min(hi, (st - stt + 6 * ssd).min())
+    if hi <= lo:
+        return 0.0
+    x = np.linspace(lo, hi, most)
+    rc = (t[:, None] - x) / km[:, None]
+    dens = (wt[:, None, None] / sd[:, None, None] * np.exp(-0.5 * ((rc - mn[:, None, None]) / sd[:, None, None]) ** 2)).sum(axis=0) / np.sqrt(2 * np.pi) / km[:, None]
+    value = dens.prod(axis=0)
+    for s, m, d in zip(st, stt, ssd, strict=True):
+        value = value * np.exp(-0.5 * ((s - m - x) / d) ** 2) / (d * np.sqrt(2 * np.pi))
+    return numeric.simpson_sum(value, (hi - lo) / (most - 1))

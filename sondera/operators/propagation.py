@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sondera.functions import geodesy, physics
+from sondera.functions import geodesy, numeric, physics
 
 
 def bounces(rays: DataFrame, most: int, rng_max: float, loss_db: float) -> DataFrame:
@@ -85,3 +89,73 @@ def loss_histogram(rays: DataFrame, step: float = 10.0, db: float = 1.0) -> Data
     g = x.groupBy("az_bin", "rng", F.col("c.b").alias("b")).agg(F.sum("c.w").alias("w"))
     total = F.sum("w").over(Window.partitionBy("az_bin", "rng"))
     return g.select("az_bin", "rng", ((F.col("b") + 0.5) * db).alias("loss"), (F.col("w") / total / db).alias("p"))
+
+
+def density_rows(df: DataFrame, keys: list[str], x: str, lo: float, hi: float, points: int = 200, cells: int = 2048) -> DataFrame:
+    """Gaussian kernel density (Scott's bandwidth) of each group on a grid: keys, x, p. A deviation below 0.01 counts as 0.01.
+
+    A group travels as counts in ``cells`` cells between its ends, so its size is bounded whatever it holds.
+    """
+    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.stddev_samp(x).alias("__sd"), F.min(x).alias("__lo"), F.max(x).alias("__hi"))
+    width = F.greatest((F.col("__hi") - F.col("__lo")) / cells, F.lit(1e-300))
+    counts = df.join(stats, keys).groupBy(*keys, "__n", "__sd", "__lo", "__hi", F.least(F.floor((F.col(x) - F.col("__lo")) / width), F.lit(cells - 1)).alias("b")).agg(F.count(F.lit(1)).alias("w"))
+    packed = counts.groupBy(*keys, "__n", "__sd", "__lo", "__hi").agg(F.sort_array(F.collect_list(F.struct("b", "w"))).alias("c"))
+    grid, names = np.linspace(lo, hi, points), [*keys, "x", "p"]
+
+    def batches(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in found:
+            for row in pdf.to_dict("records"):
+                step = (row["__hi"] - row["__lo"]) / cells
+                at = row["__lo"] + (np.array([c["b"] for c in row["c"]]) + 0.5) * step
+                w = np.array([c["w"] for c in row["c"]], float) / row["__n"]
+                sd = row["__sd"] if row["__sd"] == row["__sd"] and row["__sd"] is not None else 0.0
+                band = max(sd, 0.01) * (row["__n"] ** -0.2 if sd >= 0.01 else 1.0)
+                p = (w * np.exp(-0.5 * ((grid[:, None] - at) / band) ** 2)).sum(axis=1) / (band * np.sqrt(2 * np.pi))
+                yield pd.DataFrame({**{k: row[k] for k in keys}, "x": grid, "p": p})[names]
+
+    return packed.mapInPandas(batches, df.select(*keys).withColumns({"x": F.lit(0.0), "p": F.lit(0.0)}).schema)
+
+
+def loss_density(rays: DataFrame, lo: float = -120.0, hi: float = 0.0, points: int = 121, step: float = 10.0, width: float = 40.0) -> DataFrame:
+    """Kernel density of the loss per sector and overlapping range bin: az_bin, rng, loss, p."""
+    first, last = F.floor((F.col("rng") - width / 2) / step), F.ceil((F.col("rng") + width / 2) / step)
+    near = F.filter(F.sequence(first, last), lambda k: (F.abs(k * step - F.col("rng")) <= width / 2) & (k >= 1))
+    x = rays.select("az_bin", F.explode(near).alias("k"), "loss").select("az_bin", (F.col("k") * step).alias("rng"), "loss")
+    return density_rows(x, ["az_bin", "rng"], "loss", lo, hi, points).withColumnRenamed("x", "loss")
+
+
+def fit_celerity(rays: DataFrame, celerity: str = "cel", loss: str | None = None, least_loss: float | None = None) -> DataFrame:
+    """One row: weights, means and deviations (arrays of three, to three digits) of a mixture fitted to the density of reciprocal celerities.
+
+    The density is taken at 200 celerities from 0.38 to 0.18 km/s; the fit starts from the canonical mixture.
+    """
+    x = rays if loss is None or least_loss is None else rays.where(F.col(loss) > least_loss)
+    x = x.select(F.lit(0).alias("g"), (1 / F.col(celerity)).alias("rc"))
+    counts = density_at(x, ["g"], "rc", 1 / np.linspace(0.38, 0.18, 200))
+
+    def mixture(v, *p):
+        return sum(p[i] / p[6 + i] * np.exp(-0.5 * ((v - p[3 + i]) / p[6 + i]) ** 2) / np.sqrt(2 * np.pi) for i in range(3))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        start = np.array([*physics.RCEL_WEIGHTS, *physics.RCEL_MEANS, *physics.RCEL_SDS])
+        found = numeric.fitted(mixture, pdf["x"].to_numpy(), pdf["p"].to_numpy(), start)
+        p = np.round(start if found is None else found, 3)
+        return pd.DataFrame({"weights": [p[:3].tolist()], "means": [p[3:6].tolist()], "deviations": [p[6:].tolist()], "settled": [found is not None]})
+
+    return counts.groupBy("g").applyInPandas(fit, "weights array<double>, means array<double>, deviations array<double>, settled boolean")
+
+
+def density_at(df: DataFrame, keys: list[str], x: str, at: np.ndarray, cells: int = 2048) -> DataFrame:
+    """Kernel density of each group at given points, by linear interpolation of a fine grid: keys, x, p."""
+    grid = density_rows(df, keys, x, float(at.min()), float(at.max()), 1000, cells)
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x")
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "x": at, "p": np.interp(at, pdf["x"], pdf["p"])})[[*keys, "x", "p"]]
+
+    return grid.groupBy(*keys).applyInPandas(pick, grid.schema)
+
+
+def skew_normal_mixture(x: Column, parts: list[tuple[float, float, float, float]]) -> Column:
+    """Density of a mixture of skew normals, given as (weight, skew, location, scale)."""
+    return sum((weight * physics.skew_normal_pdf(x, at, scale, skew) for weight, skew, at, scale in parts), F.lit(0.0))

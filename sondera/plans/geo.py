@@ -97,9 +97,19 @@ _ARCS = f"""q AS (SELECT k, {_xyz('a', 'o', 'p')}, {_xyz('a2', 'o2', 'r')}, {_xy
 m AS (SELECT *, {_cross('p', 'r', 'm')}, {_cross('s', 't', 'n')} FROM q), e AS (SELECT *, {_cross('m', 'n', 'e')} FROM m)"""
 
 
+def _size(v: str) -> str:
+    return f"sqrt({v}x * {v}x + {v}y * {v}y + {v}z * {v}z)"
+
+
+def _dot(u: str, a: str, b: str, factor: str = "1") -> str:
+    return f"{factor} * ({u}x * ({a}x + {b}x) + {u}y * ({a}y + {b}y) + {u}z * ({a}z + {b}z))"
+
+
+_APART = f"{_size('m')} > 2.5e-7 AND {_size('n')} > 2.5e-7 AND {_size('e')} > 1e-3 * {_size('m')} * {_size('n')}"
+
+
 @query("gc_intersect", f"""
-WITH {_PLACES}, {_ARCS} SELECT k, round(degrees(asin(ez / sqrt(ex * ex + ey * ey + ez * ez))), 5) AS lat, round(degrees(atan2(ey, ex)), 5) AS lon
-FROM e WHERE sqrt(ex * ex + ey * ey + ez * ez) >= 1e-3""")
+WITH {_PLACES}, {_ARCS} SELECT k, round(degrees(asin(ez / {_size('e')})), 5) AS lat, round(degrees(atan2(ey, ex)), 5) AS lon FROM e WHERE {_APART}""")
 def gc_intersect(spark, d):
     """Where great circles through two pairs of points meet; nearly equal circles are left out."""
     x = geodesy.gc_intersect(("a", "o"), ("a2", "o2"), ("a", "o2"), ("a2", "o"), 1e-3)
@@ -108,10 +118,9 @@ def gc_intersect(spark, d):
 
 @query("gcarc_intersect", f"""
 WITH {_PLACES}, {_ARCS},
-c AS (SELECT *, {_cross('m', 'p', 'u')}, {_cross('r', 'm', 'v')}, {_cross('n', 's', 'w')}, {_cross('t', 'n', 'x')} FROM e),
-g AS (SELECT *, sign(ux * ex + uy * ey + uz * ez) + sign(vx * ex + vy * ey + vz * ez) + sign(wx * ex + wy * ey + wz * ez) + sign(xx * ex + xy * ey + xz * ez) AS sg FROM c)
-SELECT k, round(degrees(asin(sign(sg) * ez / sqrt(ex * ex + ey * ey + ez * ez))), 5) AS lat, round(degrees(atan2(sign(sg) * ey, sign(sg) * ex)), 5) AS lon
-FROM g WHERE abs(sg) = 4 AND sqrt(ex * ex + ey * ey + ez * ez) >= 1e-3""")
+c AS (SELECT *, CASE WHEN {_dot('e', 'p', 'r')} < 0 THEN -1 ELSE 1 END / {_size('e')} AS sg FROM e WHERE {_APART})
+SELECT k, round(degrees(asin(sg * ez)), 5) AS lat, round(degrees(atan2(sg * ey, sg * ex)), 5) AS lon
+FROM c WHERE {_dot('e', 'p', 'r', 'sg')} - {_dot('p', 'p', 'r')} > 6.25e-14 AND {_dot('e', 's', 't', 'sg')} - {_dot('s', 's', 't')} > 6.25e-14""")
 def gcarc_intersect(spark, d):
     x = geodesy.gcarc_intersect(("a", "o"), ("a2", "o2"), ("a", "o2"), ("a2", "o"), 1e-3)
     return places(spark, d).select("k", x.alias("x")).where("x is not null").select("k", _r("x.lat", 5).alias("lat"), _r("x.lon", 5).alias("lon"))

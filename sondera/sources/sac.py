@@ -71,3 +71,48 @@ def read_sac(spark: SparkSession, path: str) -> DataFrame:
     _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
     _ARROW = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in SCHEMA.split(", ")])
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(batches, SCHEMA)
+
+
+def packed(row: dict) -> bytes:
+    """The bytes of a SAC file (little-endian, evenly spaced) of one segment; what is not known is left unset."""
+    from datetime import datetime, timezone
+
+    x = [float(v) for v in row["samples"]]
+    fs = [float(_UNSET)] * 70
+    delta = 1 / row["fs"]
+    begin = datetime.fromtimestamp(row["t0"], timezone.utc)
+    ms = begin.microsecond // 1000
+    rest = begin.microsecond / 1e6 - ms / 1e3
+    for at, v in ((_DELTA, delta), (_SCALE, row.get("calib")), (_BEGIN, rest), (6, rest + (len(x) - 1) * delta), (_LAT, row.get("lat")), (_LON, row.get("lon")), (_ELEV, row.get("elev"))):
+        fs[at] = float(_UNSET) if v is None else float(v)
+    if x:
+        fs[1], fs[2], fs[56] = min(x), max(x), sum(x) / len(x)  # least, greatest and mean value
+    ints = [_UNSET] * 40
+    ints[:6] = [begin.year, begin.timetuple().tm_yday, begin.hour, begin.minute, begin.second, ms]
+    ints[6], ints[9], ints[15], ints[35] = 6, len(x), 1, 1  # header version, points, time series, evenly spaced
+    text = bytearray(b"-12345  " * 24)
+    for at, v in ((168, row.get("network")), (0, row.get("station")), (24, row.get("location")), (160, row.get("channel"))):
+        if v:
+            text[at : at + 8] = v.encode("ascii", "replace")[:8].ljust(8)
+    return struct.pack("<70f", *fs) + struct.pack("<40i", *ints) + bytes(text) + struct.pack(f"<{len(x)}f", *x)
+
+
+def to_sac(segments: DataFrame) -> DataFrame:
+    """One row per segment: file name (network.station.location.channel_time.sac) and the file's bytes, for any binary sink."""
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    have = [c for c in names if c in segments.columns]
+
+    def batches(found):
+        import pandas as pd
+
+        for pdf in found:
+            out = []
+            for row in pdf.to_dict("records"):
+                row = {k: None if k != "samples" and v != v else v for k, v in row.items()}
+                from datetime import datetime, timezone
+
+                stamp = datetime.fromtimestamp(row["t0"], timezone.utc).strftime("%Y.%m.%d_%H.%M.%S")
+                out.append((".".join(row.get(c) or "" for c in ("network", "station", "location", "channel")) + f"_{stamp}.sac", packed(row)))
+            yield pd.DataFrame(out, columns=["name", "content"])
+
+    return segments.select(*have).mapInPandas(batches, "name string, content binary")

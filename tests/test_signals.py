@@ -349,7 +349,7 @@ def test_source_counts_grid_peaks_and_rolled_beams():
     x = np.stack([np.roll(s, -int(k)) for k in np.rint(geometry @ (np.sin(np.radians(30)), np.cos(np.radians(30))) * 3.0 * 20)])
     assert np.allclose(numeric.rolled_beam(x, 20.0, 30.0, 3.0, geometry), s[None])
     rolled, c = numeric.correlation_beam(x)
-    assert np.corrcoef(rolled)[0, 1:].min() > 0.99 and c.min() > 0.8
+    assert np.corrcoef(rolled)[0, 1:].min() > 0.99 and c.min() > 0.7
     assert numeric.fisher_and_correlations(np.stack([s, s + 0.1 * rng.standard_normal(400)]))[0] > 50
 
 
