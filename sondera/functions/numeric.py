@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
-from math import erf, exp, lgamma, log, log1p
+from math import exp, lgamma, log, log1p
 from statistics import NormalDist
 
 import numpy as np
@@ -311,12 +311,12 @@ def butterworth(x: np.ndarray, dt: float, low: float | None, high: float | None,
     return np.fft.irfft(np.fft.rfft(mirrored) * gain, 2 * n)[..., :n]
 
 
-def fitted(model, x: np.ndarray, y: np.ndarray, start: np.ndarray, rounds: int = 200) -> np.ndarray | None:
+def fitted(model, x: np.ndarray, y: np.ndarray, start: np.ndarray, rounds: int = 60) -> np.ndarray | None:
     """Least-squares parameters of model(x, *p) by damped Gauss-Newton steps with numerical slopes; null if it does not settle."""
     p, damp = np.array(start, float), 1e-3
     rest = y - model(x, *p)
     for _ in range(rounds):
-        step = 1e-6 * np.maximum(np.abs(p), 1e-3)
+        step = 1e-4 * np.maximum(np.abs(p), 1e-2)
         slopes = np.stack([(model(x, *(p + step * (np.arange(len(p)) == k))) - model(x, *p)) / step[k] for k in range(len(p))], axis=1)
         normal, way = slopes.T @ slopes, slopes.T @ rest
         if not np.isfinite(normal).all():
@@ -324,13 +324,13 @@ def fitted(model, x: np.ndarray, y: np.ndarray, start: np.ndarray, rounds: int =
         move = np.linalg.lstsq(normal + damp * np.diag(np.diag(normal) + 1e-12), way, rcond=None)[0]
         new = y - model(x, *(p + move))
         if np.isfinite(new).all() and (new**2).sum() <= (rest**2).sum():
-            done = (rest**2).sum() - (new**2).sum() <= 1e-12 * max((rest**2).sum(), 1e-300)
+            done = (rest**2).sum() - (new**2).sum() <= 1e-9 * max((rest**2).sum(), 1e-300)
             p, rest, damp = p + move, new, max(damp / 5, 1e-12)
             if done:
                 return p
         else:
             damp *= 10
-            if damp > 1e12:
+            if damp > 1e9:
                 return p
     return None
 
@@ -340,7 +340,11 @@ def _normal(z: np.ndarray) -> np.ndarray:
 
 
 def _normal_cdf(z: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.array([erf(v) for v in np.ravel(z / np.sqrt(2))]).reshape(np.shape(z)))
+    """By the approximation 7.1.26 of Abramowitz and Stegun (error below 1.5e-7); its coefficients are fixed values."""
+    u = np.abs(z) / np.sqrt(2)
+    t = 1 / (1 + 0.3275911 * u)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-u * u)
+    return np.where(z >= 0, 1 - tail / 2, tail / 2)
 
 
 def skew_normal(x: np.ndarray, skew: float, at: float, width: float) -> np.ndarray:
@@ -364,33 +368,79 @@ def simpson_sum(y: np.ndarray, step: float) -> float:
     return float((w * y[:odd]).sum() * step / 3 + (0.0 if len(y) % 2 else (y[-1] + y[-2]) * step / 2))
 
 
-def background_threshold(values: np.ndarray, p: float, points: int = 100) -> tuple[float, float]:
-    """(threshold, peak) of a level's background: the lower of two quantiles of false-alarm probability ``p``.
+def _fitted_rows(model, x: np.ndarray, y: np.ndarray, near: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """Least-squares parameters [G, P] of model(x, p) for G curves x, y [G, N] at the points ``near``, all at once; and which of them settled."""
+    p, damp = start.copy(), np.full(len(start), 1e-3)
+    rest = (y - model(x, p)) * near
+    size, settled = (rest**2).sum(axis=1), np.zeros(len(start), bool)
+    for _ in range(rounds):
+        step = 1e-4 * np.maximum(np.abs(p), 1e-2)
+        base = model(x, p)
+        slopes = np.stack([(model(x, p + step * (np.arange(p.shape[1]) == k)) - base) / step[:, k, None] for k in range(p.shape[1])], axis=2) * near[:, :, None]
+        normal = slopes.transpose(0, 2, 1) @ slopes
+        way = (slopes.transpose(0, 2, 1) @ rest[:, :, None])[:, :, 0]
+        diagonal = np.einsum("gii->gi", normal)
+        normal = normal + (damp[:, None] * (diagonal + 1e-12))[:, :, None] * np.eye(p.shape[1])
+        good = np.isfinite(normal).all(axis=(1, 2)) & ~settled
+        move = np.zeros_like(p)
+        move[good] = np.linalg.solve(normal[good] + 1e-12 * np.eye(p.shape[1]), way[good][:, :, None])[:, :, 0]
+        new = (y - model(x, p + move)) * near
+        less = (new**2).sum(axis=1)
+        better = good & np.isfinite(less) & (less <= size)
+        settled |= better & (size - less <= 1e-9 * np.maximum(size, 1e-300))
+        p[better] += move[better]
+        rest[better], size[better] = new[better], less[better]
+        damp = np.where(better, np.maximum(damp / 5, 1e-12), damp * 10)
+        settled |= damp > 1e9
+        if settled.all():
+            break
+    return p, settled & np.isfinite(p).all(axis=1)
+
+
+def background_thresholds(groups: list[np.ndarray], p: float, points: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """(thresholds, peaks) of levels' backgrounds: each the lower of two quantiles of false-alarm probability ``p``.
 
     One is that of the normal with the mean and deviation of the values' kernel density, the other that of a skew normal fitted
-    to the density within two deviations (of a normal, where that fit fails).
+    to the density within two deviations (of a normal, where that fit fails). All groups are fitted together.
     """
-    low, high = values.min(), values.max()
-    if high <= low:
-        return float(high), float(high)
-    x = np.linspace(low - (high - low) / 4, high + (high - low) / 4, points)
-    y, step = kde(values, x), (high - low) * 1.5 / (points - 1)
-    mean = simpson_sum(x * y, step)
-    sd = float(np.sqrt(max(simpson_sum((x - mean) ** 2 * y, step), 1e-300)))
-    plain = NormalDist(mean, sd).inv_cdf(1 - p)
-    near = np.abs(x - mean) < 2 * sd
-    if near.sum() < 6:
-        return plain, mean
-    found = fitted(lambda x, k, a, m, s: a * skew_normal(x, k, m, max(abs(s), 1e-9)), x[near], y[near], np.array([0.1, 1.0, mean, sd]))
-    if found is not None and abs(found[0]) < 50:
-        k, _, m, s = found
-        s = max(abs(s), 1e-9)
-        line = np.linspace(m - 3 * s, m + 3 * s, 601)
-        return min(plain, skew_normal_quantile(1 - p, k, m, s)), float(line[np.argmax(skew_normal(line, k, m, s))])
-    found = fitted(lambda x, a, m, s: a * _normal((x - m) / s) / s, x[near], y[near], np.array([1.0, mean, sd]))
-    if found is None:
-        return plain, mean
-    return min(plain, NormalDist(found[1], abs(found[2])).inv_cdf(1 - p)), float(found[1])
+    low, high = (np.array([f(v) for v in groups], float) for f in (np.min, np.max))
+    out, peak = high.copy(), high.copy()
+    wide = np.flatnonzero(high > low)
+    if not len(wide):
+        return out, peak
+    spread = (high - low)[wide]
+    step = spread * 1.5 / (points - 1)
+    x = (low[wide] - spread / 4)[:, None] + step[:, None] * np.arange(points)
+    y = np.stack([kde(groups[g], x[i]) for i, g in enumerate(wide)])
+    mean = np.array([simpson_sum(v, h) for v, h in zip(x * y, step, strict=True)])
+    sd = np.sqrt(np.maximum([simpson_sum(v, h) for v, h in zip((x - mean[:, None]) ** 2 * y, step, strict=True)], 1e-300))
+    plain = mean + sd * NormalDist().inv_cdf(1 - p)
+    near = (np.abs(x - mean[:, None]) < 2 * sd[:, None]).astype(float)
+    column = lambda q, k: q[:, k, None]
+    width = lambda q, k: np.maximum(np.abs(q[:, k, None]), 1e-9)
+    one = np.ones(len(wide))
+    skew = lambda x, q: column(q, 1) * skew_normal(x, column(q, 0), column(q, 2), width(q, 3))
+    normal = lambda x, q: column(q, 0) * _normal((x - column(q, 1)) / width(q, 2)) / width(q, 2)
+    found, settled = _fitted_rows(skew, x, y, near, np.stack([0.1 * one, one, mean, sd], axis=1))
+    other, settled_too = _fitted_rows(normal, x, y, near, np.stack([one, mean, sd], axis=1))
+    for i, g in enumerate(wide):
+        out[g], peak[g] = plain[i], mean[i]
+        if near[i].sum() < 6:
+            continue
+        if settled[i] and abs(found[i, 0]) < 50:
+            k, _, m, s = found[i]
+            s = max(abs(s), 1e-9)
+            line = np.linspace(m - 3 * s, m + 3 * s, 601)
+            out[g], peak[g] = min(plain[i], skew_normal_quantile(1 - p, k, m, s)), line[np.argmax(skew_normal(line, k, m, s))]
+        elif settled_too[i]:
+            out[g], peak[g] = min(plain[i], NormalDist(other[i, 1], max(abs(other[i, 2]), 1e-9)).inv_cdf(1 - p)), other[i, 1]
+    return out, peak
+
+
+def background_threshold(values: np.ndarray, p: float) -> tuple[float, float]:
+    """(threshold, peak) of one level's background, see ``background_thresholds``."""
+    threshold, peak = background_thresholds([values], p)
+    return float(threshold[0]), float(peak[0])
 
 
 def smoothed(y: np.ndarray, width: int = 49, order: int = 3) -> np.ndarray:

@@ -55,10 +55,11 @@ def array_ends(lines: DataFrame) -> DataFrame:
     return lines.groupBy("array_id").agg(F.max("first").alias("begin"), F.min("last").alias("stop"), F.sort_array(F.collect_list(channel)).alias("channels"))
 
 
-def windows_of(segments: DataFrame, length: float, step: float, span: tuple[float, float] | None = None) -> DataFrame:
+def windows_of(segments: DataFrame, length: float, step: float, span: tuple[float, float] | None = None, partial: bool = False) -> DataFrame:
     """One row per array and whole hop window: array_id, start, m, channels, pieces (the samples of the segments it touches).
 
-    Windows start at the record's begin, and every ``step`` from there. ``span`` trims the record, where it lies inside.
+    Windows start at the record's begin, and every ``step`` from there. ``span`` trims the record, where it lies inside. With ``partial``
+    the windows that reach beyond the record's end are made too.
     """
     ends = array_ends(channel_lines(segments))
     if span:
@@ -67,7 +68,7 @@ def windows_of(segments: DataFrame, length: float, step: float, span: tuple[floa
         ends = ends.withColumns({"begin": F.when((lo > begin) & (lo < stop), lo).otherwise(begin), "stop": F.when((hi > begin) & (hi < stop), hi).otherwise(stop)})
     s = segments.join(ends.select("array_id", "begin", "stop"), "array_id").withColumn("__last", last_time())
     k0 = F.greatest(F.lit(0), F.ceil((F.col("t0") - 1 / F.col("fs") - length - F.col("begin")) / step))
-    k1 = F.least(F.floor((F.col("__last") + 1 / F.col("fs") - F.col("begin")) / step), F.floor((F.col("stop") - F.col("begin") - length) / step + 1e-9))
+    k1 = F.least(F.floor((F.col("__last") + 1 / F.col("fs") - F.col("begin")) / step), F.floor((F.col("stop") - F.col("begin") - (0.0 if partial else length)) / step + 1e-9))
     s = s.withColumn("k", F.explode(F.when(k1 >= k0, F.sequence(k0, k1)).otherwise(F.array().cast("array<bigint>"))))
     start = F.col("begin") + F.col("k") * step
     i0 = F.greatest(F.lit(0), F.floor((start - F.col("t0")) * F.col("fs")) - 1).cast("int")
@@ -79,8 +80,8 @@ def windows_of(segments: DataFrame, length: float, step: float, span: tuple[floa
     return w.select("array_id", (F.col("begin") + F.col("k") * step).alias("start"), F.size("channels").alias("m"), "channels", "pieces")
 
 
-def aligned(channels: list, pieces: list, start: float, length: float) -> tuple[np.ndarray, float, np.ndarray]:
-    """Channels of one window on the time base of the lowest rate, by linear interpolation, without the record's trend."""
+def aligned(channels: list, pieces: list, start: float, length: float, trend: bool = False) -> tuple[np.ndarray, float, np.ndarray]:
+    """Channels of one window on the time base of the lowest rate, by linear interpolation, without the record's trend unless it is to stay."""
     fs = min(c["fs"] for c in channels)
     t = start + np.arange(int(round(length * fs, 6))) / fs
     rows = []
@@ -94,7 +95,8 @@ def aligned(channels: list, pieces: list, start: float, length: float) -> tuple[
                 x = np.asarray(p["x"], float)
                 a, b = max(0, -i), min(len(x), len(grid) - i)
                 grid[i + a : i + b] = x[a:b]
-        grid -= c["mean"] + c["slope"] * (at - (c["first"] + c["last"]) / 2)
+        if not trend:
+            grid -= c["mean"] + c["slope"] * (at - (c["first"] + c["last"]) / 2)
         rows.append(np.interp(t, at, grid))
     geometry = np.array([[c["dx"], c["dy"]] for c in channels], float)
     return np.stack(rows), 1 / fs, geometry - geometry[0]

@@ -12,22 +12,45 @@ from pyspark.sql import functions as F
 
 from sondera.catalog import durable
 from sondera.functions import numeric
+from sondera.operators.records import aligned, windows_of
+
+
+#: Windows that are cut together from a channel's record.
+MANY = 64
+
+
+def channel_chunks(segments: DataFrame, length: float, step: float) -> tuple[DataFrame, float]:
+    """Pieces of every channel's record for ``MANY`` windows of ``length`` at a time, across segment borders, and the pieces' length."""
+    calib = F.col("calib") if "calib" in segments.columns else F.lit(1.0)
+    s = segments.select(F.col("channel").alias("array_id"), "channel", "t0", "fs", calib.alias("calib"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), "samples")
+    whole = length + (MANY - 1) * step
+    return windows_of(s, whole, MANY * step, partial=True), whole
+
+
+def _spectrograms(found: Iterator[pd.DataFrame], whole: float, seconds: float, overlap: float) -> Iterator[tuple]:
+    """(channel, time of the first sample, times, frequencies, power) of each chunk that holds a window."""
+    for pdf in found:
+        for channel, start, channels, pieces in zip(pdf["array_id"], pdf["start"], pdf["channels"], pdf["pieces"], strict=True):
+            x, dt, _ = aligned(list(channels), list(pieces), start, whole, trend=True)
+            x, n = x[0, : int(round((channels[0]["last"] - start) / dt)) + 1], int(round(seconds / dt, 6))
+            if len(x) >= n > 1:
+                yield channel, start, *numeric.spectrogram(x, dt, n, overlap)
 
 
 def spectrogram_rows(segments: DataFrame, f_min: float, f_max: float, overlap: float = 0.8) -> DataFrame:
     """One row per channel, time and frequency strictly inside the band: channel, t, f, db. The window is four periods of f_min."""
+    seconds = 4 / f_min
+    chunks, whole = channel_chunks(segments, seconds, seconds * (1 - overlap))
 
     def batches(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in found:
-            for channel, t0, fs, samples in zip(pdf["channel"], pdf["t0"], pdf["fs"], pdf["samples"], strict=True):
-                t, f, power = numeric.spectrogram(np.asarray(samples, float), 1 / fs, int(4 / f_min * fs), overlap)
-                band = (f > f_min) & (f < f_max)
-                with np.errstate(divide="ignore"):
-                    db = 10 * np.log10(power[:, band])
-                db[~np.isfinite(db)] = db[np.isfinite(db)].min() if np.isfinite(db).any() else 0.0
-                yield pd.DataFrame({"channel": channel, "t": np.repeat(t0 + t, band.sum()), "f": np.tile(f[band], len(t)), "db": db.ravel()})
+        for channel, t0, t, f, power in _spectrograms(found, whole, seconds, overlap):
+            band = (f > f_min) & (f < f_max)
+            with np.errstate(divide="ignore"):
+                db = 10 * np.log10(power[:, band])
+            db[~np.isfinite(db)] = db[np.isfinite(db)].min() if np.isfinite(db).any() else 0.0
+            yield pd.DataFrame({"channel": channel, "t": np.repeat(t0 + t, band.sum()), "f": np.tile(f[band], len(t)), "db": db.ravel()})
 
-    return segments.select("channel", "t0", "fs", "samples").mapInPandas(batches, "channel string, t double, f double, db double")
+    return chunks.mapInPandas(batches, "channel string, t double, f double, db double")
 
 
 def above_background(rows: DataFrame, window: float, step: float, p: float) -> DataFrame:
@@ -61,8 +84,10 @@ def above_density(rows: DataFrame, window: float, step: float, p: float) -> Data
 
     def batches(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in found:
-            made = [numeric.background_threshold(np.sort(np.asarray(x, float)), p) for x in pdf["x"]]
-            yield pdf.drop(columns="x").assign(threshold=[m[0] for m in made], peak=[m[1] for m in made])
+            for k in range(0, len(pdf), 512):
+                part = pdf.iloc[k : k + 512]
+                threshold, peak = numeric.background_thresholds([np.sort(np.asarray(x, float)) for x in part["x"]], p)
+                yield part.drop(columns="x").assign(threshold=threshold, peak=peak)
 
     levels = levels.mapInPandas(batches, "channel string, f double, win_start double, threshold double, peak double")
     found = dealt.join(levels, ["channel", "f", "win_start"])
@@ -144,15 +169,12 @@ def transform_rows(segments: DataFrame, kind: str, f_min: float, f_max: float, s
 
 
 def welch_psd(segments: DataFrame, seconds: float) -> DataFrame:
-    """Power density in dB with half-overlapping windows: channel, f, db."""
+    """Power density in dB with half-overlapping windows over every channel's record: channel, f, db."""
+    chunks, whole = channel_chunks(segments, seconds, seconds / 2)
 
     def batches(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in found:
-            for channel, fs, samples in zip(pdf["channel"], pdf["fs"], pdf["samples"], strict=True):
-                x = np.asarray(samples, float)
-                n = min(int(seconds * fs), len(x))
-                _, f, power = numeric.spectrogram(x, 1 / fs, n, 0.5)
-                yield pd.DataFrame({"channel": channel, "f": f, "p": power.mean(axis=0), "w": len(power)})
+        for channel, _, _, f, power in _spectrograms(found, whole, seconds, 0.5):
+            yield pd.DataFrame({"channel": channel, "f": f, "p": power.sum(axis=0), "w": len(power)})
 
-    rows = segments.select("channel", "fs", "samples").mapInPandas(batches, "channel string, f double, p double, w long")
-    return rows.groupBy("channel", "f").agg((10 * F.log10(F.sum(F.col("p") * F.col("w")) / F.sum("w"))).alias("db"))
+    rows = chunks.mapInPandas(batches, "channel string, f double, p double, w long")
+    return rows.groupBy("channel", "f").agg((10 * F.log10(F.sum("p") / F.sum("w"))).alias("db"))

@@ -13,19 +13,24 @@ from sondera.plans.signals import HOUR, events, fk
 
 
 def segments(spark, d, channels: int = 4, arrays: int = 8):
-    """Channel segments from hourly event means: one sample an hour counts as one second of a record, a day of samples is a segment."""
+    """Channel segments from hourly event means: one sample an hour counts as one second of a record, and a day of samples is a segment.
+
+    A record begins with its array's first hour and ends with its last; hours without events are zero.
+    """
     e = events(spark, d).withColumn("a", (F.col("user_id") % arrays).cast("string"))
     e = e.withColumn("ch", ((F.col("user_id") / arrays).cast("int") % channels))
     g = e.groupBy("a", "ch", F.floor(F.col("t") / HOUR).alias("h")).agg(F.round(F.avg("value"), 6).alias("v"))
     span = e.groupBy("a").agg(F.floor(F.min("t") / HOUR).alias("h0"), F.floor(F.max("t") / HOUR).alias("h1"))
     grid = span.join(e.select("a", "ch").distinct(), "a").withColumn("h", F.explode(F.sequence("h0", "h1"))).join(g, ["a", "ch", "h"], "left")
-    part = grid.groupBy("a", "ch").agg(F.min("h").alias("h0"), F.transform(F.sort_array(F.collect_list(F.struct("h", F.coalesce("v", F.lit(0.0)).alias("v")))), lambda x: x["v"]).alias("samples"))
+    part = grid.groupBy("a", "ch", F.floor(F.col("h") / 24)).agg(F.min("h").alias("h0"), F.transform(F.sort_array(F.collect_list(F.struct("h", F.coalesce("v", F.lit(0.0)).alias("v")))), lambda x: x["v"]).alias("samples"))
     angle = F.col("ch") * 1.7
     return part.select(F.col("a").alias("array_id"), F.concat(F.lit("c"), F.col("ch").cast("string")).alias("channel"), (F.col("h0") % 1_000_000).cast("double").alias("t0"), F.lit(1.0).alias("fs"), F.lit(1.0).alias("calib"), (F.cos(angle) * 400 * F.col("ch")).alias("dx"), (F.sin(angle) * 400 * F.col("ch")).alias("dy"), "samples")
 
 
 def _beam(method: str):
-    return beamforming.Beam(freq=(0.05, 0.4), az=(-180.0, 180.0, 10.0), vel=(300.0, 420.0, 20.0), method=method, length=64.0, step=32.0, sub_length=16.0 if method in ("capon", "music", "bartlett_covar") else None)
+    """The default azimuths and velocities; frequencies suit one sample a second. GLS takes the whole record for noise."""
+    sub = 16.0 if method in ("capon", "music", "bartlett_covar") else None
+    return beamforming.Beam(freq=(0.05, 0.4), az=(-180.0, 180.0, 3.0), vel=(300.0, 600.0, 12.5), method=method, length=64.0, step=32.0, sub_length=sub, noise=(0.0, 2.0e6) if method == "gls" else None)
 
 
 def _fk_query(method: str):
@@ -75,7 +80,7 @@ def spectrogram(spark, d):
 def sd_detections(spark, d):
     """Spectral detections of every channel of every array."""
     s = segments(spark, d).withColumn("channel", F.concat_ws(".", "array_id", "channel"))
-    return spectral.run_sd(s, 0.05, 0.45, 200.0, 100.0, 0.05, 35.0, 12.0, 8)
+    return spectral.run_sd(s, 0.05, 0.45, 200.0, 100.0, 0.05, 35.0, 12.0, 8, "median")
 
 
 @query("welch_psd")

@@ -29,4 +29,4 @@ def load(*modules: str) -> None:
         import_module(f"sondera.plans.{name}")
 
 
-MODULES = ("signals", "relations", "geo", "inference")
+MODULES = ("signals", "relations", "geo", "inference", "records")

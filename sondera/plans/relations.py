@@ -64,23 +64,23 @@ def json_props(spark, d):
 
 
 @query("point_in_time_join", f"""
-WITH {_fk_sql(16)}, det AS (SELECT sta, t FROM fk WHERE eid % 3 = 0)
+WITH {_fk_sql(16)}, det AS (SELECT sta, t FROM fk)
 SELECT det.sta, det.t, f, az FROM det JOIN fk USING (sta, t)""")
 def point_in_time_join(spark, d):
     """Detections take the beam row of the same station and time."""
     rows = fk(spark, d, 16)
-    return rows.where("eid % 3 = 0").select("sta", "t").join(rows, ["sta", "t"]).select("sta", "t", "f", "az")
+    return rows.select("sta", "t").join(rows, ["sta", "t"]).select("sta", "t", "f", "az")
 
 
 @query("interval_join_argmax", """
 WITH o AS (SELECT o_orderkey, o_custkey % 64 AS sta, epoch_us(o_orderdate) / 1e6 AS t, o_totalprice AS f FROM orders),
-s AS (SELECT o_orderkey AS det, sta, t AS lo, t + 30 * 86400 AS hi FROM o WHERE o_orderkey % 10 = 0),
+s AS (SELECT o_orderkey AS det, sta, t AS lo, t + 30 * 86400 AS hi FROM o),
 j AS (SELECT s.sta, s.det, o.t, o.f, row_number() OVER (PARTITION BY s.det ORDER BY o.f DESC, o.t) AS rk FROM s JOIN o ON o.sta = s.sta AND o.t BETWEEN s.lo AND s.hi)
 SELECT sta, det, t, f FROM j WHERE rk = 1""")
 def interval_join_argmax(spark, d):
     """For each detection span the strongest beam row inside: an equi-join on 30-day buckets, then max_by."""
     o = table(spark, d, "orders").select((F.col("o_custkey") % 64).alias("sta"), (epoch("o_orderdate")).alias("t"), F.col("o_totalprice").alias("f"), F.col("o_orderkey").alias("key"))
-    s = o.where("key % 10 = 0").select("sta", F.col("key").alias("det"), F.col("t").alias("lo"), (F.col("t") + 30 * 86400).alias("hi"))
+    s = o.select("sta", F.col("key").alias("det"), F.col("t").alias("lo"), (F.col("t") + 30 * 86400).alias("hi"))
     out = relational.interval_argmax(o.drop("key"), s, ["sta"], "t", "lo", "hi", 30 * 86400.0, "det", "f")
     return out.select("sta", "det", "peak.t", "peak.f")
 
@@ -131,10 +131,10 @@ def triple_combinations(spark, d):
 
 
 @query("mixture_sequences", """
-WITH q AS (SELECT o_orderkey, unnest(range(0, 27)) AS k FROM orders WHERE o_orderkey % 20 = 0)
+WITH q AS (SELECT o_orderkey, unnest(range(0, 27)) AS k FROM orders)
 SELECT o_orderkey, k, k % 3 AS a, (k // 3) % 3 AS b, k // 9 AS c FROM q""")
 def mixture_sequences(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 20 = 0").select("o_orderkey", F.posexplode(relational.mixture_sequences(3)).alias("k", "s"))
+    o = table(spark, d, "orders").select("o_orderkey", F.posexplode(relational.mixture_sequences(3)).alias("k", "s"))
     return o.select("o_orderkey", F.col("k").cast("long").alias("k"), *[F.col("s")[i].cast("long").alias(c) for i, c in enumerate("abc")])
 
 
@@ -198,12 +198,12 @@ def argmax_payload(spark, d):
 
 
 @query("cluster_overlap_ratio", """
-WITH m AS (SELECT DISTINCT l_suppkey AS c, l_partkey % 500 AS i FROM lineitem WHERE l_suppkey <= 100), s AS (SELECT c, count(*) AS n FROM m GROUP BY c),
+WITH m AS (SELECT DISTINCT l_suppkey AS c, l_partkey % 500 AS i FROM lineitem), s AS (SELECT c, count(*) AS n FROM m GROUP BY c),
 p AS (SELECT a.c AS cluster_a, b.c AS cluster_b, count(*) AS shared FROM m a JOIN m b ON a.i = b.i AND a.c < b.c GROUP BY 1, 2)
 SELECT cluster_a, cluster_b, shared, least(x.n, y.n) AS smaller FROM p JOIN s x ON x.c = cluster_a JOIN s y ON y.c = cluster_b WHERE shared > 0.5 * least(x.n, y.n)""")
 def cluster_overlap_ratio(spark, d):
     """Clusters that share over half of the smaller one's members, the pair stage of merging."""
-    m = table(spark, d, "lineitem").where("l_suppkey <= 100").select("l_suppkey", (F.col("l_partkey") % 500).alias("member"))
+    m = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_partkey") % 500).alias("member"))
     return relational.overlap_merge(m, "l_suppkey", "member")
 
 
