@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondera.llm.common import cut
+from sondera.llm.common import cut, text_batches
 
 LEVEL = 3  # of compression
 _PACK = "chunk long, kind int, ids array<long>, ends array<long>, texts binary"
@@ -55,6 +55,7 @@ def text_bytes(df: DataFrame, text_col: str) -> int:
 
 def packs(df: DataFrame, id_col: str, text_col: str, chunk_bytes: int, kind: Column | None = None, name: str = "packs") -> DataFrame:
     """All rows of ``df`` (ids as BIGINT, null texts as empty ones), written as packs of one ``kind`` each."""
+    text_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), (F.lit(0) if kind is None else kind).cast("int").alias("kind"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def pack(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -49,6 +49,17 @@ def small(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Rows of an Arrow batch of texts, at most: a batch and its copies lie outside the heap, for each task.
+TEXT_ROWS = 1024
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``TEXT_ROWS`` rows where they are larger; texts are thousands of bytes, not a number or two."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, TEXT_ROWS)
+
+
 def sliced(found: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text, so that what a worker makes of a batch stays small."""
     for batch in found:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sondera.llm.common import cut, sliced, small
+from sondera.llm.common import cut, sliced, small, text_batches
 from sondera.llm.simhash import components
 
 SHINGLE = 5
@@ -181,6 +181,7 @@ def _link(held: list[list], out: list[list]):
 
 def links(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (u, v) of row keys that connect all similar pairs of ``rows`` (__row, text), some more than once."""
+    text_batches(rows.sparkSession)
     ranks = rows.sparkSession.sparkContext.broadcast(_ranks(rows))
 
     def prefixes(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

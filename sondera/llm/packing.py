@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sondera.llm.common import documents
+from sondera.llm.common import documents, text_batches
 from sondera.llm.tokens import word_ids
 
 NAME = "op2_packing"
@@ -94,6 +94,7 @@ def pack(df: DataFrame, encode: Callable[[list[bytes]], Iterator[np.ndarray]], i
 
     ``with_ids`` adds the ids themselves (BINARY, little-endian unsigned 32-bit).
     """
+    text_batches(df.sparkSession)
     id_type = df.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), *T.StructType.fromDDL(_RESULT).fields])
     if with_ids:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sondera.llm.common import cut, documents
+from sondera.llm.common import cut, documents, text_batches
 
 NAME = "op4_quality_rules"
 WINDOW, MIN_WORDS, MAX_REPEAT_PCT = 8, 20, 30
@@ -90,6 +90,7 @@ def counts(text: bytes) -> tuple[int, ...]:
 
 def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with the numbers of _COUNTS, each as __q_<name>."""
+    text_batches(df.sparkSession)
     names = [f"__q_{c}" for c in _COUNTS]
     schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.LongType()) for c in names]])
 

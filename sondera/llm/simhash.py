@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sondera.llm.common import BROADCAST_ROWS, cut, documents, small
+from sondera.llm.common import BROADCAST_ROWS, cut, documents, small, text_batches
 
 NAME = "op6_simhash_near_dedup"
 SHINGLE, RADIUS, BITS, BLOCKS = 3, 3, 64, 5
@@ -69,6 +69,7 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
 
 def with_fingerprint(df: DataFrame, text_col: str = "text", out: str = "__fp") -> DataFrame:
     """``df`` and a BIGINT column with each text's fingerprint."""
+    text_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType())])
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

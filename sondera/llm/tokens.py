@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sondera.llm.chunks import blocks
-from sondera.llm.common import documents
+from sondera.llm.common import documents, text_batches
 
 NAME = "op3_token_counts"
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 512
@@ -251,6 +251,7 @@ def frequent_pre_tokens(df: DataFrame, text_col: str, name: str = TOKENIZER) ->
 
 def token_counts(df: DataFrame, text_col: str = "text", name: str = TOKENIZER, limit: int = LIMIT) -> DataFrame:
     """``df`` with n_bytes, n_tokens and over_limit."""
+    text_batches(df.sparkSession)
     df = df.drop(*[c for c in ("n_bytes", "n_tokens", "over_limit") if c != text_col])
     frequent = df.sparkSession.sparkContext.broadcast(frequent_pre_tokens(df, text_col, name))
     key = f"{name}:{uuid.uuid4().hex}"
