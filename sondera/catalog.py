@@ -22,8 +22,11 @@ def epoch(at: str) -> Column:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder (spark.checkpoint.dir; a new local one where none is set): rounds of an iteration survive lost executors."""
+    """``df`` checkpointed in the shared folder that spark.checkpoint.dir names: rounds of an iteration survive lost executors. Only a local session may do without the setting."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()

@@ -20,8 +20,6 @@ from sondera.functions import circular, geodesy, numeric, physics
 from sondera.operators import windows
 
 SMALLEST = 2.0**-53
-#: Largest number of detections that one association window is clustered for; more means the window is too long.
-WINDOW_LIMIT = 4096
 
 
 def assign_windows(dets: DataFrame, rng_max: float = 2000.0) -> DataFrame:
@@ -124,14 +122,22 @@ def distances(pairs: DataFrame, most: float = 8.0) -> DataFrame:
 
 
 def cluster_windows(members: DataFrame, dist: DataFrame, cut: float = 5.0, linkage: str = "weighted", trim: float = 3.8, most: float = 8.0, min_size: int = 3) -> DataFrame:
-    """win, cluster, id, quality: hierarchical clusters of each window's detections, with 10 ** -(mean distance) as quality."""
+    """win, cluster, id, quality: hierarchical clusters of each window's detections, with 10 ** -(mean distance) as quality; ``min_size`` is two or more.
+
+    No linkage is below the least distance of two clusters' members, so clusters below the cut never leave a connected component
+    of the pairs below it. Windows are divided into these components, and a task holds the distances of one.
+    """
+    from sondera.operators.relational import components
+
     a = members.select("win", F.col("id").alias("id_a"))
-    inside = a.join(dist, "id_a").join(members.select("win", F.col("id").alias("id_b")), ["win", "id_b"])
+    inside = durable(a.join(dist, "id_a").join(members.select("win", F.col("id").alias("id_b")), ["win", "id_b"]))
+    node = lambda c: F.struct(F.col("win").alias("win"), F.col(c).alias("id"))
+    part = components(inside.where(F.col("dist") <= cut).select(node("id_a").alias("u"), node("id_b").alias("v")), "u", "v")
+    part = part.select("node.win", F.col("node.id").alias("id"), "label")
+    inside = inside.join(part.select("win", F.col("id").alias("id_a"), "label"), ["win", "id_a"]).join(part.select("win", F.col("id").alias("id_b"), F.col("label").alias("other")), ["win", "id_b"]).where("label = other")
 
     def of_window(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.r_[pdf["id_a"], pdf["id_b"]])
-        if len(ids) > WINDOW_LIMIT:
-            raise ValueError(f"{len(ids)} detections in one association window")
         d = np.full((len(ids), len(ids)), most)
         np.fill_diagonal(d, 0)
         i, j = np.searchsorted(ids, pdf["id_a"]), np.searchsorted(ids, pdf["id_b"])
@@ -142,10 +148,10 @@ def cluster_windows(members: DataFrame, dist: DataFrame, cut: float = 5.0, linka
             own = np.flatnonzero(labels == k)
             if len(own) >= min_size:
                 q = 10 ** -d[np.ix_(own, own)][np.triu_indices(len(own), 1)].mean()
-                out += [(pdf["win"].iloc[0], int(k), ids[x], q) for x in own]
+                out += [(pdf["win"].iloc[0], str(ids[own].min()), ids[x], q) for x in own]
         return pd.DataFrame(out, columns=["win", "cluster", "id", "quality"])
 
-    return inside.groupBy("win").applyInPandas(of_window, f"win long, cluster long, id {members.schema['id'].dataType.simpleString()}, quality double")
+    return inside.select("win", "label", "id_a", "id_b", "dist").groupBy("win", "label").applyInPandas(of_window, f"win long, cluster string, id {members.schema['id'].dataType.simpleString()}, quality double")
 
 
 def events(dets: DataFrame, clusters: DataFrame, min_stations: int = 2, overlap: float = 0.5) -> DataFrame:
@@ -154,19 +160,12 @@ def events(dets: DataFrame, clusters: DataFrame, min_stations: int = 2, overlap:
     Merging is by connected overlaps, so it does not depend on order; events need
     ``min_stations`` distinct positions.
     """
-    from sondera.operators.relational import overlap_merge
+    from sondera.operators.relational import components, overlap_merge
 
     c = clusters.withColumn("c", F.xxhash64("win", "cluster"))
-    links = overlap_merge(c, "c", "id", overlap).select(F.col("cluster_a").alias("a"), F.col("cluster_b").alias("b"))
-    labels = c.select("c").distinct().withColumn("label", F.col("c"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    while True:
-        low = both.join(labels, both["b"] == labels["c"]).groupBy("a").agg(F.min("label").alias("low"))
-        up = labels.join(low, labels["c"] == low["a"], "left").select("c", F.least("label", F.coalesce("low", "label")).alias("label"), F.col("label").alias("old"))
-        up = durable(up)
-        labels = up.select("c", "label")
-        if not up.where("label != old").count():
-            break
+    links = overlap_merge(c, "c", "id", overlap)
+    merged = components(links, "cluster_a", "cluster_b")
+    labels = c.select("c").distinct().join(merged, F.col("c") == F.col("node"), "left").select("c", F.coalesce("label", "c").alias("label"))
     grouped = c.join(labels, "c").groupBy(F.col("label").alias("event_id"), "id").agg(F.max("quality").alias("quality"))
     spread = grouped.join(dets.select("id", "lat", "lon"), "id").groupBy("event_id").agg(F.greatest(F.count_distinct("lat"), F.count_distinct("lon")).alias("n"))
     return grouped.join(spread.where(F.col("n") >= min_stations).select("event_id"), "event_id")

@@ -124,3 +124,18 @@ def nearest_on_grid(points: DataFrame, x: str, y: str, xs: tuple[float, float, i
     """``points`` with ix and iy: the nearest node of a regular grid (first, step, count on each axis), by arithmetic instead of a search."""
     index = lambda c, a: F.least(F.greatest(F.floor((F.col(c) - a[0]) / a[1] + 0.5), F.lit(0)), F.lit(a[2] - 1)).cast("int")
     return points.withColumns({"ix": index(x, xs), "iy": index(y, ys)})
+
+
+def components(edges: DataFrame, u: str, v: str) -> DataFrame:
+    """Connected components of pairs: node, label (the component's smallest node). Least labels of neighbours, then labels of labels, until none falls."""
+    both = edges.select(F.col(u).alias("u"), F.col(v).alias("v"))
+    both = durable(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = durable(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")))
+    while True:
+        low = both.join(labels, both["v"] == F.col("node")).groupBy("u").agg(F.min("label").alias("low"))
+        up = labels.join(low, labels["node"] == low["u"]).select("node", F.least("label", "low").alias("new"), F.col("label").alias("old"))
+        jump = up.select(F.col("node").alias("at"), F.col("new").alias("label"))
+        up = durable(up.join(jump, up["new"] == jump["at"]).select("node", "label", "old"))
+        labels = up.select("node", "label")
+        if not up.where("label != old").count():
+            return labels

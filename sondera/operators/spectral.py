@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sondera.catalog import durable
 from sondera.functions import numeric
 from sondera.operators.records import aligned, windows_of
+from sondera.operators.relational import components
 
 
 #: Windows that are cut together from a channel's record.
@@ -106,18 +107,7 @@ def dbscan(points: DataFrame, keys: list[str], x: str, y: str, eps: float, min_p
     spread = p.select(*keys, F.col("pid").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), around).select(*keys, "a", "ax", "ay", "c.cx", "c.cy")
     near = durable(spread.join(p, [*keys, "cx", "cy"]).where((F.col("x") - F.col("ax")) ** 2 + (F.col("y") - F.col("ay")) ** 2 <= eps * eps).select("a", F.col("pid").alias("b")))
     core = near.groupBy("a").count().where(F.col("count") >= min_points).select("a")
-    links = near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b")
-    links = durable(links)
-    labels = core.select(F.col("a").alias("node"), F.col("a").alias("label"))
-    changed = None
-    while changed != 0:
-        lower = links.join(labels, links["b"] == F.col("node")).groupBy("a").agg(F.min("label").alias("low"))
-        up = labels.join(lower, labels["node"] == lower["a"]).select("node", F.least("label", "low").alias("new"), "label")
-        jump = up.select(F.col("node").alias("at"), F.col("new").alias("of"))
-        stepped = up.join(jump, up["new"] == jump["at"]).select("node", F.col("of").alias("label"), F.col("label").alias("old"))
-        stepped = durable(stepped)
-        changed = stepped.where("label != old").count()
-        labels = stepped.select("node", "label")
+    labels = components(near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b"), "a", "b")
     member = near.join(labels, near["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("border"))
     own = labels.withColumnRenamed("label", "core_label")
     out = points.join(own, points["pid"] == own["node"], "left").drop("node").join(member, points["pid"] == member["a"], "left").drop("a")
