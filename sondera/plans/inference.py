@@ -189,14 +189,26 @@ def path_geometry_model(spark, d):
     return model.select("az_bin", "rng", "comp", "n", *[F.round(c, 6).alias(c) for c in ("wt", "mn", "sd", "az_mn", "az_sd")])
 
 
-@query("loss_model")
+_TURN = "((az + 360) % 360 - ((b * 45 + 180) % 360))"
+
+
+@query("loss_model", f"""
+WITH r AS (SELECT CAST(floor(l_extendedprice / 300 / 10) * 10 AS DOUBLE) AS rng, floor(-20 - l_quantity / 2) AS loss, l_partkey % 360 - 180 AS az FROM lineitem),
+s AS (SELECT CAST(b AS INT) AS az_bin, rng, loss FROM r, range(0, 8) x(b) WHERE abs(CASE WHEN {_TURN} < -180 THEN {_TURN} + 360 WHEN {_TURN} > 180 THEN {_TURN} - 360 ELSE {_TURN} END) <= 30),
+w AS (SELECT az_bin, rng, loss + o AS c, sum(v) AS w FROM s, (VALUES (-1, 0.25::DOUBLE), (0, 0.5::DOUBLE), (1, 0.25::DOUBLE)) k(o, v) GROUP BY ALL)
+SELECT az_bin, rng, c + 0.5 AS loss, round(w / sum(w) OVER (PARTITION BY az_bin, rng), 9) AS p FROM w""")
 def loss_model(spark, d):
     x = table(spark, d, "lineitem")
     rays = x.select((F.col("l_extendedprice") / 300).alias("rng"), (-20 - F.col("l_quantity") / 2).alias("loss"), (F.col("l_partkey") % 360 - 180.0).alias("az"))
     return propagation.loss_histogram(propagation.sectors(rays)).select("az_bin", "rng", "loss", F.round("p", 9).alias("p"))
 
 
-@query("network_detection")
+@query("network_detection", f"""
+WITH {_PLACES}, s AS (SELECT k, radians(a) AS a0, radians(o) AS o0 FROM p),
+n AS (SELECT radians((n_nationkey * 53) % 178 - 88.75) AS a1, radians((n_nationkey * 29) % 358 - 178.75) AS o1 FROM nation),
+h AS (SELECT k, sin((a1 - a0) / 2) ** 2 + cos(a0) * cos(a1) * sin((o1 - o0) / 2) ** 2 AS h FROM s, n),
+q AS (SELECT k, exp(-2 * atan2(sqrt(h), sqrt(1 - h)) * 6370.997 / 2000.0) AS p FROM h)
+SELECT k AS source_id, round(1 - exp(sum(ln(1 - p))) * (1 + sum(p / (1 - p))), 6) AS p FROM q GROUP BY k""")
 def network_detection(spark, d):
     """Probability that two or more of the supplier arrays detect an event at each customer's place."""
     s = places(spark, d).select(F.col("k").alias("source_id"), F.col("a").alias("s_lat"), F.col("o").alias("s_lon"))
@@ -206,7 +218,11 @@ def network_detection(spark, d):
     return out.select("source_id", F.round("p", 6).alias("p"))
 
 
-@query("overlap_add")
+@query("overlap_add", """
+WITH e AS (SELECT event_id, user_id % 8 AS sta, epoch_us(ts) / 1e6 AS t, value FROM events), m AS (SELECT *, min(t) OVER (PARTITION BY sta) AS t0 FROM e),
+w AS (SELECT event_id, t, value, t0 + 3600.0 * unnest(range(CAST(greatest(ceil((t - 7200 - t0) / 3600), 0) AS BIGINT), CAST(floor((t - t0) / 3600) AS BIGINT) + 1)) AS s FROM m),
+g AS (SELECT *, 1 / (1 + exp(-(t - s - 1800) / 180)) / (1 + exp((t - s - 5400) / 180)) AS g FROM w)
+SELECT event_id, round(sum(g * value), 6) AS beam, round(sum(g), 6) AS weight FROM g GROUP BY event_id""")
 def overlap_add(spark, d):
     """Blend of neighbouring windows' beams: weighted sums of overlapping windows on one time base."""
     from sondera.operators.windows import blend_weights, hop_windows
@@ -218,7 +234,10 @@ def overlap_add(spark, d):
     return w.groupBy("event_id").agg(F.round(F.sum(g * F.col("value")), 6).alias("beam"), F.round(F.sum(g), 6).alias("weight"))
 
 
-@query("incremental_resume")
+@query("incremental_resume", """
+WITH e AS (SELECT event_id, user_id, CAST(floor(epoch_us(ts) / 1e6 / 86400) AS BIGINT) AS day FROM events),
+d AS (SELECT user_id, max(day) AS last FROM e WHERE user_id % 2 = 0 AND day < 19730 GROUP BY user_id)
+SELECT event_id, user_id, day FROM e LEFT JOIN d USING (user_id) WHERE last IS NULL OR day > last""")
 def incremental_resume(spark, d):
     """What is still to do: rows after each station's last finished day."""
     e = events(spark, d).withColumn("day", F.floor(F.col("t") / 86400))
