@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondera.llm.common import cut, text_batches
+from sondera.llm.common import cut, text_batches, tidied
 
 LEVEL = 3  # of compression
 _PACK = "chunk long, kind int, ids array<long>, ends array<long>, texts binary"
@@ -84,7 +84,7 @@ def packs(df: DataFrame, id_col: str, text_col: str, chunk_bytes: int, kind: Col
         for k in list(held):
             yield row(k)
 
-    return cut(rows.mapInArrow(pack, _PACK), name)
+    return cut(rows.mapInArrow(tidied(pack), _PACK), name)
 
 
 def opened(pack: pa.Table | pa.RecordBatch, at: int = 0) -> tuple[int, int, list[int | None], list[bytes]]:

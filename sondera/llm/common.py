@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,6 +62,19 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(name, TEXT_ROWS)
 
 
+def tidied(batches):
+    """A mapInArrow function that gives freed memory back when its partition ends: Python workers wait for further tasks, and several wait at once."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(found)
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.util.find_library("c")
+        if libc and hasattr(ctypes.CDLL(libc), "malloc_trim"):
+            ctypes.CDLL(libc).malloc_trim(0)
+
+    return run
+
+
 def sliced(found: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text, so that what a worker makes of a batch stays small."""
     for batch in found:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sondera.llm.common import cut, sliced, small, text_batches
+from sondera.llm.common import cut, sliced, small, text_batches, tidied
 from sondera.llm.simhash import components
 
 SHINGLE = 5
@@ -130,7 +130,7 @@ def _ranks(rows: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
-    counts = rows.select("text").mapInArrow(of_partition, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = rows.select("text").mapInArrow(tidied(of_partition), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     ranks = np.zeros(CELLS, np.uint8)
     ranks[counts.column("cell").to_numpy()] = np.log2(counts.column("n").to_numpy()).astype(np.uint8)
     return ranks
@@ -194,7 +194,7 @@ def links(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
             bits = pa.array([sketch(s).tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("__row")), sizes, bits, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["__row", "size", "bits", "ks"])
 
-    first = cut(rows.select("__row", "text").mapInArrow(prefixes, "__row long, size long, bits binary, ks array<long>"), "prefixes")
+    first = cut(rows.select("__row", "text").mapInArrow(tidied(prefixes), "__row long, size long, bits binary, ks array<long>"), "prefixes")
     same = Window.partitionBy("k")
     members = first.select("__row", F.col("size").cast("int").alias("size"), F.explode("ks").alias("k"))
     shared = members.select("__row", F.count(F.lit(1)).over(same).alias("n"), F.sum("size").over(same).alias("s"), F.bit_xor(F.xxhash64("__row")).over(same).alias("m")).where("n > 1")
@@ -205,7 +205,7 @@ def links(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: F.least(own, j) * F.col("c") + F.greatest(own, j))
     key = ["m", "n", "s", "p"]
     met = met.select("m", "n", "s", F.explode(pairs).alias("p"), "__row", "size", "bits").repartition(*key).sortWithinPartitions(*key, "__row")
-    grouped = met.mapInArrow(_by_key(key, ["__row", "size", "bits"], _group, ["__row", "g"]), "__row long, g long")
+    grouped = met.mapInArrow(tidied(_by_key(key, ["__row", "size", "bits"], _group, ["__row", "g"])), "__row long, g long")
     wanted = small(grouped.groupBy("__row").agg(F.collect_set("g").alias("gs")), "groups")
 
     def sets(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,9 +213,9 @@ def links(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
             cols = [batch.column(batch.schema.get_field_index(c)) for c in ("__row", "gs")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in _texts(batch)], pa.binary())], ["__row", "gs", "set"])
 
-    whole = rows.select("__row", "text").join(wanted, "__row").select("__row", "gs", "text").mapInArrow(sets, "__row long, gs array<long>, set binary")
+    whole = rows.select("__row", "text").join(wanted, "__row").select("__row", "gs", "text").mapInArrow(tidied(sets), "__row long, gs array<long>, set binary")
     whole = whole.select(F.explode("gs").alias("g"), "__row", "set").repartition("g").sortWithinPartitions("g", "__row")
-    return whole.mapInArrow(_by_key(["g"], ["__row", "set"], _link, ["u", "v"]), "u long, v long")
+    return whole.mapInArrow(tidied(_by_key(["g"], ["__row", "set"], _link, ["u", "v"])), "u long, v long")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

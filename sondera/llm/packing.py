@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sondera.llm.common import documents, text_batches
+from sondera.llm.common import documents, text_batches, tidied
 from sondera.llm.tokens import word_ids
 
 NAME = "op2_packing"
@@ -141,7 +141,7 @@ def pack(df: DataFrame, encode: Callable[[list[bytes]], Iterator[np.ndarray]], i
         if waiting:
             yield batch_of(group(), like)
 
-    return df.select(id_col, text_col).mapInArrow(batches, schema)
+    return df.select(id_col, text_col).mapInArrow(tidied(batches), schema)
 
 
 def packed(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sondera.llm.common import cut, documents, text_batches
+from sondera.llm.common import cut, documents, text_batches, tidied
 
 NAME = "op4_quality_rules"
 WINDOW, MIN_WORDS, MAX_REPEAT_PCT = 8, 20, 30
@@ -100,7 +100,7 @@ def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
             table = np.array([counts(t.as_py() or b"") for t in texts], np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x) for x in table.T]], [*batch.schema.names, *names])
 
-    return df.mapInArrow(batches, schema)
+    return df.mapInArrow(tidied(batches), schema)
 
 
 def _number(text: str) -> str:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondera.llm.chunks import dealt, deltas, from_planes, mixed, n_buckets, opened, packs, planes, text_bytes, word_hashes
-from sondera.llm.common import cut, documents
+from sondera.llm.common import cut, documents, tidied
 
 NAME = "op9_lm_scoring"
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
@@ -217,7 +217,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS
     kind = F.when(fold == HELD_OUT, KINDS["held out"]).when(fold == DELETED, KINDS["deleted"]).otherwise(KINDS["training"])
     packed = packs(df, id_col, text_col, CHUNK_BYTES, kind)
-    asked = dealt(packed.mapInArrow(_ask(buckets), _ASKED), "bucket", size)
+    asked = dealt(packed.mapInArrow(tidied(_ask(buckets)), _ASKED), "bucket", size)
     told = cut(asked.groupBy("bucket").applyInArrow(_tell, _TOLD), "counts")
     n, v, n_kept, v_kept = told.where("kind = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "v", "n_kept", "v_kept")]).first()
     is_deleted = F.col("kind") == KINDS["deleted"]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sondera.llm.common import BROADCAST_ROWS, cut, documents, small, text_batches
+from sondera.llm.common import BROADCAST_ROWS, cut, documents, small, text_batches, tidied
 
 NAME = "op6_simhash_near_dedup"
 SHINGLE, RADIUS, BITS, BLOCKS = 3, 3, 64, 5
@@ -78,7 +78,7 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", out: str = "__fp") -
             prints = np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], [*batch.schema.names, out])
 
-    return df.mapInArrow(batches, schema)
+    return df.mapInArrow(tidied(batches), schema)
 
 
 # ---------------------------------------------------------------- comparison
@@ -201,7 +201,7 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
         if held:
             yield flush(held, True)[1]
 
-    return rows.mapInArrow(compare, "u long, v long")
+    return rows.mapInArrow(tidied(compare), "u long, v long")
 
 
 def _stars(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +242,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each task first turns the links it holds into stars; rounds of large and small stars join what is left. Least neighbours are
     broadcast while they are few; else both sides of their joins are written, so that a hub's links can be split.
     """
-    edges = cut(edges.where("u != v").select("u", "v").mapInArrow(_stars, "u long, v long").distinct(), "edges")
+    edges = cut(edges.where("u != v").select("u", "v").mapInArrow(tidied(_stars), "u long, v long").distinct(), "edges")
     before = None
     while True:
         few = edges.count() <= BROADCAST_ROWS

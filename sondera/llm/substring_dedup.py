@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from sondera.llm.chunks import dealt, deltas, from_planes, mixed, n_buckets, opened, packs, planes, pressed, released, text_bytes, word_hashes
-from sondera.llm.common import cut, documents
+from sondera.llm.common import cut, documents, tidied
 
 NAME = "op10_substring_dedup"
 WINDOW = 50
@@ -225,7 +225,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     size = text_bytes(df, text_col)
     buckets = n_buckets(size, BUCKET_BYTES)
     packed = packs(df, id_col, text_col, CHUNK_BYTES)
-    asked = dealt(packed.mapInArrow(_sketch(buckets), _ASKED), "bucket", size)
+    asked = dealt(packed.mapInArrow(tidied(_sketch(buckets)), _ASKED), "bucket", size)
     told = cut(asked.groupBy("bucket").applyInArrow(_repeated, _TOLD), "repeated")
     by_chunk = dealt(packed, "chunk", size).groupBy("chunk")
     open_ = cut(by_chunk.cogroup(dealt(told, "chunk", size).groupBy("chunk")).applyInArrow(_candidates(buckets), _OPEN), "windows")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sondera.llm.chunks import blocks
-from sondera.llm.common import documents, text_batches
+from sondera.llm.common import documents, text_batches, tidied
 
 NAME = "op3_token_counts"
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 512
@@ -239,7 +239,7 @@ def frequent_pre_tokens(df: DataFrame, text_col: str, name: str = TOKENIZER) ->
         return pa.Table.from_batches([_table(tables.column("g")[0].as_py() // FAN, total, FREQUENT)])
 
     schema = "g int, p array<binary>, n array<long>"
-    found = df.select(text_col).mapInArrow(batches, schema)
+    found = df.select(text_col).mapInArrow(tidied(batches), schema)
     for _ in range(2):
         found = found.groupBy("g").applyInArrow(merge, schema)
     rows = found.collect()
@@ -266,7 +266,7 @@ def token_counts(df: DataFrame, text_col: str = "text", name: str = TOKENIZER, l
             sizes = _lengths[key].count([t.as_py() or b"" for t in texts])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes)], [*batch.schema.names, "n_tokens"])
 
-    counted = df.mapInArrow(batches, schema)
+    counted = df.mapInArrow(tidied(batches), schema)
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
     return counted.withColumns({"n_bytes": size, "over_limit": F.col("n_tokens") > limit})
 
