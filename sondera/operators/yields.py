@@ -64,3 +64,20 @@ def noise_level(curve: list[tuple[float, float]], f: Column) -> Column:
     for (f0, y0), (f1, y1) in zip(curve, curve[1:], strict=False):
         out = out.when(f <= f1, y0 + (f - f0) * ((y1 - y0) / (f1 - f0)))
     return out.otherwise(F.lit(curve[-1][1]))
+
+
+def source_spectrum(observed: DataFrame, losses: DataFrame, levels: tuple[float, float, int], step: float = 10.0) -> DataFrame:
+    """Density of source levels from observed spectra: event_id, f, level, p, the product over stations of the loss model's density at (observed - source) level.
+
+    ``observed``: event_id, station, f, db, km, az_bin; ``losses``: az_bin, rng, loss (equal steps), p. Densities are linear
+    between losses, at the station's range bin; ``levels``: from, to, count. A station outside the model counts as density 1e-9.
+    """
+    lo, hi, n = levels
+    bins = losses.agg(F.min("loss").alias("l0"), ((F.max("loss") - F.min("loss")) / (F.count_distinct("loss") - 1)).alias("dl")).first()
+    x = observed.withColumn("level", F.explode(F.array(*[F.lit(lo + (hi - lo) * k / (n - 1)) for k in range(n)])))
+    at = (F.col("db") - F.col("level") - bins["l0"]) / bins["dl"]
+    x = x.withColumns({"rng": F.round(F.col("km") / step) * step, "u": at, "i": F.floor(at)})
+    two = x.withColumn("k", F.explode(F.array(F.col("i"), F.col("i") + 1))).withColumn("w", 1 - F.abs(F.col("u") - F.col("k")))
+    grid = losses.select("az_bin", F.col("rng").cast("double").alias("rng"), F.round((F.col("loss") - bins["l0"]) / bins["dl"]).cast("long").alias("k"), "p")
+    own = two.join(grid, ["az_bin", "rng", "k"], "left").groupBy("event_id", "station", "f", "level").agg(F.sum(F.col("w") * F.coalesce("p", F.lit(0.0))).alias("p"))
+    return own.groupBy("event_id", "f", "level").agg(F.exp(F.sum(F.log(F.greatest("p", F.lit(1e-9))))).alias("p"))

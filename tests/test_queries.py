@@ -9,7 +9,7 @@ from sondera.plans import registry
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"sd_detections", "hjl_clusters", "bisl_grid_posterior", "fk_bartlett_covar", "fk_gls", "fk_music"}  # covered by tests of their operators
+SLOW = {"sd_detections", "hjl_clusters", "bisl_grid_posterior"}  # covered by tests of their operators
 
 
 @pytest.fixture(scope="module")

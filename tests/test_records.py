@@ -155,3 +155,35 @@ def test_shell_patterns_and_parameter_sets(spark):
     with pytest.raises(Exception, match="several parameter sets"):
         relational.parameter_set(sets, m="b", w=5).collect()
 
+
+
+def test_segments_from_catalog_tables(spark, tmp_path):
+    from sondera.sources import waveforms as w
+
+    one, two = np.arange(10, dtype=">i4"), (np.arange(6) * 0.5).astype("<f4")
+    (tmp_path / "a.w").write_bytes(b"head" + one.tobytes())
+    (tmp_path / "b.w").write_bytes(two.tobytes())
+    sites = spark.createDataFrame([("S1", "ARR", 40.0, -110.0, 1.0, 2019001, -1), ("S2", "ARR", 40.1, -110.1, 1.0, 2019001, 2019100), ("S3", "OTH", 1.0, 2.0, 0.0, 2019001, -1)], "sta string, refsta string, lat double, lon double, elev double, ondate int, offdate int")
+    t = 1.6e9
+    rows = [("S1", "BDF", t, t + 0.9, 10, 10.0, 2.0, "s4", "a.w", 4), ("S1", "XXX", t, t + 0.9, 10, 10.0, 2.0, "s4", "a.w", 4), ("S2", "BDF", t, t + 0.5, 6, 10.0, 0.0, "f4", "b.w", 0), ("S3", "BDF", t + 900, t + 900.5, 6, 10.0, 0.0, "f4", "b.w", 0)]
+    wfdisc = spark.createDataFrame(rows, "sta string, chan string, time double, endtime double, nsamp int, samprate double, calib double, datatype string, dfile string, foff int")
+    got = w.waveforms(spark, catalog=(sites, wfdisc, str(tmp_path)), array="ARR", channel="?DF", start=t - 5, end=t + 5).collect()
+    assert [(r["station"], r["channel"], r["calib"]) for r in got] == [("S1", "BDF", 2.0)] and got[0]["samples"] == (np.arange(10) - 4.5).tolist()
+    every = w.waveforms(spark, catalog=(sites, wfdisc, str(tmp_path)), channel="BDF").collect()
+    assert {(r["station"], r["calib"]) for r in every} == {("S1", 2.0), ("S3", 1.0)}  # S2 was closed by then
+    with pytest.raises(ValueError):
+        w.waveforms(spark, files="a", table="b")
+    assert [r["sta"] for r in w.copy_new(sites, sites.where("sta = 'S1'"), ["sta"], {"lat": (39.0, 41.0)}).collect()] == ["S2"]
+
+
+def test_source_spectrum_is_the_product_of_stations(spark):
+    from sondera.operators import yields
+
+    grid = [(0, 100.0, float(x), np.exp(-0.5 * ((x + 40) / 5) ** 2)) for x in range(-80, 1, 2)] + [(0, 200.0, float(x), np.exp(-0.5 * ((x + 50) / 5) ** 2)) for x in range(-80, 1, 2)]
+    losses = spark.createDataFrame([(a, r, x, float(p)) for a, r, x, p in grid], "az_bin int, rng double, loss double, p double")
+    seen = spark.createDataFrame([(1, "a", 0.5, 62.0, 98.0, 0), (1, "b", 0.5, 49.0, 203.0, 0)], "event_id int, station string, f double, db double, km double, az_bin int")
+    got = {r["level"]: r["p"] for r in yields.source_spectrum(seen, losses, (90.0, 110.0, 11)).collect()}
+    for level, p in got.items():
+        want = np.prod([np.interp(db - level, [g[2] for g in grid if g[1] == r], [g[3] for g in grid if g[1] == r]) for db, r in ((62.0, 100.0), (49.0, 200.0))])
+        assert p == pytest.approx(max(want, 1e-18), rel=1e-6)
+    assert max(got, key=got.get) in (100.0, 102.0)
