@@ -40,7 +40,7 @@ NAME = "op3_token_counts"
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 512
 FREQUENT, LOCAL, FAN = 1 << 15, 1 << 12, 256
 #: Entries of each of a worker's caches before it starts anew.
-CACHE = 1 << 19
+CACHE, PIECES = 1 << 19, 1 << 17
 _PIECE = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 #: White space outside ASCII, and separators that some libraries take for white space, as UTF-8.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
@@ -69,13 +69,13 @@ def place(name: str) -> str:
 class _Ids(dict):
     """Key -> number of its entry in growing arrays of ids; ``find`` gives the ids of new keys, as (sizes, all ids)."""
 
-    def __init__(self, find: Callable[[list], tuple[np.ndarray, np.ndarray]]):
-        self.find = find
+    def __init__(self, find: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int):
+        self.find, self.most = find, most
         self.clear()
 
     def clear(self) -> None:
         super().clear()
-        self.pool, self.at, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.pool, self.at, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint32)
         self.used = 0
 
     def add(self, keys: list) -> None:
@@ -93,7 +93,7 @@ class _Ids(dict):
 
     def ids(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each key, and all ids."""
-        if len(self) > CACHE:
+        if len(self) > self.most:
             self.clear()
         which = np.fromiter(map(self.get, keys, repeat(-1)), np.int64, len(keys))
         missing = np.flatnonzero(which < 0).tolist()
@@ -101,7 +101,7 @@ class _Ids(dict):
             new = [keys[i] for i in missing]
             self.add(list(dict.fromkeys(new)))
             which[missing] = np.fromiter(map(self.__getitem__, new), np.int64, len(new))
-        n = self.n[which]
+        n = self.n[which].astype(np.int64)
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
         return n, self.pool[np.repeat(self.at[which] - (ends - n), n) + np.arange(total)]
@@ -114,7 +114,7 @@ class _Words:
         import regex
 
         self.whole = tokenizer(place(name))
-        self.words, self.pieces = _Ids(self.of_words), _Ids(self.of_pieces)
+        self.words, self.pieces = _Ids(self.of_words, CACHE), _Ids(self.of_pieces, PIECES)
         self.split = regex.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.plain = re.compile(r"[\x00-\u02ff]*").fullmatch  # no marks that compose, and lower case is letter by letter
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level vocabularies show other bytes from 256 on
