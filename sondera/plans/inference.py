@@ -89,11 +89,17 @@ def welch_psd(spark, d):
     return spectral.welch_psd(s, 64.0).select("channel", "f", F.round("db", 6).alias("db"))
 
 
-@query("dbscan")
+@query("dbscan", """
+WITH RECURSIVE c AS (SELECT c_nationkey AS k, c_custkey AS pid, c_acctbal / 100 AS x, c_custkey % 1000 / 10 AS y FROM customer),
+n AS (SELECT a.pid AS a, b.pid AS b FROM c a JOIN c b ON a.k = b.k AND (b.x - a.x) ** 2 + (b.y - a.y) ** 2 <= 36),
+core AS (SELECT a FROM n GROUP BY a HAVING count(*) >= 4), l AS (SELECT n.a, n.b FROM n JOIN core p ON n.a = p.a JOIN core q ON n.b = q.a),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), lab AS (SELECT a, min(b) AS label FROM r GROUP BY a),
+bord AS (SELECT n.a, min(label) AS border FROM n JOIN lab ON n.b = lab.a GROUP BY n.a)
+SELECT pid, coalesce(label, border, -1) AS cluster FROM c LEFT JOIN lab ON pid = lab.a LEFT JOIN bord ON pid = bord.a""")
 def dbscan(spark, d):
-    """Density clusters of customers by balance and key, within nations."""
+    """Density clusters of customers by balance and key, within nations; -1 for noise."""
     c = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("pid"), (F.col("c_acctbal") / 100).alias("x"), (F.col("c_custkey") % 1000 / 10).alias("y"))
-    return spectral.dbscan(c, ["k"], "x", "y", 6.0, 4).select("pid", "cluster")
+    return spectral.dbscan(c, ["k"], "x", "y", 6.0, 4).select("pid", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 
 @query("von_mises_azimuth", f"""
