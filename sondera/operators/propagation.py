@@ -138,7 +138,7 @@ def fit_celerity(rays: DataFrame, celerity: str = "cel", loss: str | None = None
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         start = np.array([*physics.RCEL_WEIGHTS, *physics.RCEL_MEANS, *physics.RCEL_SDS])
-        found = numeric.fitted(mixture, pdf["x"].to_numpy(), pdf["p"].to_numpy(), start)
+        found = numeric.fitted(mixture, pdf["x"].to_numpy(), pdf["p"].to_numpy(), start, rounds=1000)
         p = np.round(start if found is None else found, 3)
         return pd.DataFrame({"weights": [p[:3].tolist()], "means": [p[3:6].tolist()], "deviations": [p[6:].tolist()], "settled": [found is not None]})
 
