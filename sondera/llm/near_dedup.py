@@ -13,7 +13,7 @@ Nothing is estimated; every pair at or above the bound is found.
    its own. A bucket first compares bit sketches: a shingle toggles one bit of
    about n, so two sketches differ in no more bits than the sets in shingles,
    and a pair whose sketches differ too much is none. Rows that are left in
-   one group meet their whole shingle sets, and exact overlaps decide; of a
+   one group meet their whole texts, compressed, and exact overlaps of shingle sets decide; of a
    group's links a spanning forest leaves it.
 3. Connected components as in op6, on row keys; one row of each stays.
 
@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sondera.llm.chunks import pressed, released
 from sondera.llm.common import cut, sliced, small, text_batches, tidied
 from sondera.llm.simhash import components
 
@@ -175,7 +176,7 @@ def _group(held: list[list], out: list[list]):
 
 def _link(held: list[list], out: list[list]):
     if len(held) > 1:
-        for to, at in zip(out, forest([np.frombuffer(x, np.uint64) for _, x in held]), strict=True):
+        for to, at in zip(out, forest([shingle_set(released(x)) for _, x in held]), strict=True):
             to.extend(held[x][0] for x in at)
 
 
@@ -208,14 +209,15 @@ def links(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     grouped = met.mapInArrow(tidied(_by_key(key, ["__row", "size", "bits"], _group, ["__row", "g"])), "__row long, g long")
     wanted = small(grouped.groupBy("__row").agg(F.collect_set("g").alias("gs")), "groups")
 
-    def sets(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(found):
+    def packed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
             cols = [batch.column(batch.schema.get_field_index(c)) for c in ("__row", "gs")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in _texts(batch)], pa.binary())], ["__row", "gs", "set"])
+            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([pressed(t.as_py() or b"") for t in texts], pa.binary())], ["__row", "gs", "body"])
 
-    whole = rows.select("__row", "text").join(wanted, "__row").select("__row", "gs", "text").mapInArrow(tidied(sets), "__row long, gs array<long>, set binary")
-    whole = whole.select(F.explode("gs").alias("g"), "__row", "set").repartition("g").sortWithinPartitions("g", "__row")
-    return whole.mapInArrow(tidied(_by_key(["g"], ["__row", "set"], _link, ["u", "v"])), "u long, v long")
+    whole = rows.select("__row", "text").join(wanted, "__row").select("__row", "gs", "text").mapInArrow(tidied(packed), "__row long, gs array<long>, body binary")
+    whole = whole.select(F.explode("gs").alias("g"), "__row", "body").repartition("g").sortWithinPartitions("g", "__row")
+    return whole.mapInArrow(tidied(_by_key(["g"], ["__row", "body"], _link, ["u", "v"])), "u long, v long")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,12 +148,15 @@ def fit(found: dict[int, int]) -> np.ndarray:
 def judged(df: DataFrame, text_col: str = "text", with_text: bool = True) -> DataFrame:
     """``df`` (without its text, if so asked) with the __q_ numbers, base_failed, p_good and kept.
 
-    The numbers are made once and written to the shared folder; votes, EM and verdicts read them there.
+    Without texts the numbers are made once and written; votes, EM and verdicts read them there. With texts they are made
+    for the votes and again for the verdicts, since writing them would mean writing every text.
     """
     df = df.drop(*[c for c in ("base_failed", "p_good", "kept") if c != text_col])
     numbered = with_counts(df, text_col)
-    numbered = cut(numbered if with_text else numbered.drop(text_col), "numbers")
-    seen = numbered.where(~base_failed()).groupBy(pattern().alias("p")).count().collect()
+    if not with_text:
+        numbered = cut(numbered.drop(text_col), "numbers")
+    counted = with_counts(df.select(text_col), text_col) if with_text else numbered
+    seen = counted.where(~base_failed()).groupBy(pattern().alias("p")).count().collect()
     posterior = fit({r["p"]: r["count"] for r in seen})
     table = df.sparkSession.createDataFrame([(i, float(p)) for i, p in enumerate(posterior)], "__p int, p_good double")
     marked = numbered.withColumns({"__p": pattern(), "base_failed": base_failed()})
