@@ -315,11 +315,14 @@ def test_odd_texts_count_as_the_library_counts():
     byte, word = (Tokenizer.from_file(public_tokenizers.path(x)) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
     rng = random.Random(8)
     parts = [*"abcdeéÉß't  \n\t\r\x0b\x0c\x1c\x85\xa0 　 0123½.,!?#$&|İıΣςǺ中文かहि😀‍", "<|endoftext|>", "'s", "'LL", " the"]
-    lengths = tokens._Lengths("byte_bpe_50k.json", {})
+    known = [" the", "'s", "abc", " é", "中文"]
+    sizes = [len(w.encode()) for w in known]
+    filled = ("".join(known).encode(), np.array(sizes, np.uint16).tobytes(), np.array([len(byte.encode(w, add_special_tokens=False)) for w in known], np.uint16).tobytes())
+    tables = [tokens._Lengths("byte_bpe_50k.json", frequent) for frequent in ((b"", b"", b""), filled)]
     for _ in range(3000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
         assert next(tokens.word_ids([text.encode()], "word_bpe_49k.json")).tolist() == word.encode(text, add_special_tokens=False).ids
-        assert lengths.count([text.encode()])[0] == len(byte.encode(text, add_special_tokens=False))
+        assert [t.count([text.encode()])[0] for t in tables] == [len(byte.encode(text, add_special_tokens=False))] * 2
 
 
 def test_differencing_is_near_equal():
