@@ -298,19 +298,6 @@ def spectrogram(x: np.ndarray, dt: float, n: int, overlap: float = 0.8) -> tuple
     return (np.arange(len(parts)) * step + n / 2) * dt, np.fft.rfftfreq(n, dt), power
 
 
-def butterworth(x: np.ndarray, dt: float, low: float | None, high: float | None, order: int = 4) -> np.ndarray:
-    """Zero-phase Butterworth band in the frequency domain: the squared magnitude of the filter, as filtering there and back gives."""
-    n = x.shape[-1]
-    f = np.fft.rfftfreq(2 * n, dt)
-    gain = np.ones_like(f)
-    if low:
-        gain /= 1 + (low / np.maximum(f, 1e-12)) ** (2 * order)
-    if high:
-        gain /= 1 + (f / high) ** (2 * order)
-    mirrored = np.concatenate([x, x[..., ::-1]], axis=-1)
-    return np.fft.irfft(np.fft.rfft(mirrored) * gain, 2 * n)[..., :n]
-
-
 def fitted(model, x: np.ndarray, y: np.ndarray, start: np.ndarray, rounds: int = 60) -> np.ndarray | None:
     """Least-squares parameters of model(x, *p) by damped Gauss-Newton steps with numerical slopes; null if it does not settle."""
     p, damp = np.array(start, float), 1e-3

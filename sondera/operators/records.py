@@ -1,4 +1,4 @@
-"""Channel segments as whole records: ends, trends, windows across segment borders, gaps, splits, filters, statistics.
+"""Channel segments as whole records: ends, trends, windows across segment borders, gaps, splits, filters of whole records, statistics.
 
 A segment row is array_id, channel, t0 (epoch s), fs, calib, dx, dy, samples. The
 segments of a channel are one record: where they leave a gap it holds zeros, and
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondera.functions import numeric
+from sondera.catalog import durable
 
 _SUM = lambda a, x: a + x
 
@@ -135,14 +135,98 @@ def label(stations: DataFrame, keys: list[str], network: str, station: str, firs
     return g.select(*keys, text.alias("label"))
 
 
-def filtered(segments: DataFrame, low: float | None, high: float | None, order: int = 4, decimate: int = 1) -> DataFrame:
-    """Segments through a zero-phase Butterworth band, every ``decimate``-th sample kept. Each segment is filtered for itself."""
-    names = segments.columns
+_STRETCH = "array_id string, channel string, i0 long, n long, there array<double>, back array<double>, fs double"
+_STATE = "array_id string, channel string, i0 long, before array<double>, after array<double>"
+
+
+def _placed(segments: DataFrame) -> DataFrame:
+    """Segments with __i0 (the place of their first sample in their record) and __mean, __slope, __mid: the least-squares line of the record's samples."""
+    ends = segments.groupBy("array_id", "channel").agg(F.min("t0").alias("__first"), F.max(last_time()).alias("__last"))
+    s = segments.join(ends, ["array_id", "channel"]).withColumn("__i0", F.round((F.col("t0") - F.col("__first")) * F.col("fs")).cast("long"))
+    s = s.withColumn("__mid", F.round((F.col("__last") - F.col("__first")) * F.col("fs")) / 2).withColumn("__c", calibration()).drop("__first", "__last")
 
-    def batches(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in found:
-            made = [numeric.butterworth(numeric.detrended(np.asarray(x, float)), 1 / fs, low, high, order)[::decimate].tolist() for x, fs in zip(pdf["samples"], pdf["fs"], strict=True)]
-            yield pdf.assign(samples=made, fs=pdf["fs"] / decimate)[names]
+            out = []
+            for r in pdf.itertuples(index=False):
+                x = r.samples.astype(float) * r.c
+                t = r.i0 - r.mid + np.arange(len(x))
+                out.append((r.array_id, r.channel, len(x), x.sum(), t.sum(), (t * x).sum(), (t * t).sum()))
+            yield pd.DataFrame(out, columns=["array_id", "channel", "n", "x", "t", "tx", "tt"])
+
+    parts = s.select("array_id", "channel", F.col("__i0").alias("i0"), F.col("__mid").alias("mid"), F.col("__c").alias("c"), "samples")
+    line = parts.mapInPandas(sums, "array_id string, channel string, n long, x double, t double, tx double, tt double").groupBy("array_id", "channel").agg(*[F.sum(c).alias(c) for c in ("n", "x", "t", "tx", "tt")])
+    spread = F.col("tt") - F.col("t") * F.col("t") / F.col("n")
+    slope = F.when(spread > 0, (F.col("tx") - F.col("t") * F.col("x") / F.col("n")) / spread).otherwise(0.0)
+    line = line.select("array_id", "channel", slope.alias("__slope"), ((F.col("x") - slope * F.col("t")) / F.col("n")).alias("__mean"))
+    return s.join(line, ["array_id", "channel"])
+
+
+def filtered(segments: DataFrame, low: float | None, high: float | None, order: int = 4, decimate: int = 1, zero_phase: bool = True, block: float = 345_600.0) -> DataFrame:
+    """Segments through a Butterworth filter of their whole record, every ``decimate``-th sample of the record kept.
+
+    A record is calibrated (calib is 1 then) and loses the least-squares line of its samples; gaps then hold zeros. The filter starts from
+    rest at the record's first sample and, with ``zero_phase``, runs back from rest at its last, so the result does not depend on how the
+    record is cut into segments. No record is gathered: a segment says what it does to a filter's state, which is a few numbers; those are
+    put together over blocks of ``block`` seconds, then over a record's blocks, and every segment is filtered from the states at its ends.
+    A segment that keeps no sample is left out. Segments of a channel are not to overlap and have one rate.
+    """
+    from sondera.functions import filters
 
-    schema = segments.withColumn("samples", F.transform("samples", lambda v: v.cast("double"))).schema
-    return segments.mapInPandas(batches, schema)
+    names = segments.columns
+    key = ["array_id", "channel"]
+    placed = _placed(segments)
+
+    def level(r) -> np.ndarray:
+        return r.samples.astype(float) * r.c - r.mean - r.slope * (r.i0 - r.mid + np.arange(len(r.samples)))
+
+    def stretches(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in found:
+            out = []
+            for r in pdf.itertuples(index=False):
+                n, there, back = filters.butterworth(r.fs, low, high, order).stretch(level(r))
+                out.append((r.array_id, r.channel, r.i0, n, there, back, r.fs))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _STRETCH.split(", ")])
+
+    plain = {"i0": "__i0", "mean": "__mean", "slope": "__slope", "mid": "__mid", "c": "__c"}
+    rows = placed.where(F.size("samples") > 0).select(*key, "fs", "samples", *[F.col(v).alias(k) for k, v in plain.items()])
+    parts = durable(rows.mapInPandas(stretches, _STRETCH)).withColumn("block", F.floor(F.col("i0") / (F.col("fs") * block)))
+
+    def of(pdf: pd.DataFrame) -> tuple:
+        pdf = pdf.sort_values("i0")
+        return pdf, filters.butterworth(float(pdf["fs"].iloc[0]), low, high, order), list(zip(pdf["n"].tolist(), pdf["there"], pdf["back"], strict=True))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A block's stretches as one."""
+        pdf, system, own = of(pdf)
+        starts, whole = pdf["i0"].tolist(), own[0]
+        for start, nxt in zip(starts[1:], own[1:], strict=True):
+            whole = system.joined(whole, start - starts[0] - whole[0], nxt)
+        return pdf.head(1).assign(n=whole[0], there=[whole[1]], back=[whole[2]])
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The states at a record's blocks, or at a block's segments from those at its ends."""
+        pdf, system, own = of(pdf)
+        rest = np.zeros(system.size)
+        before, after = (pdf[c].iloc[0] if c in pdf else rest for c in ("before", "after"))
+        there, back = system.states(pdf["i0"].to_numpy(), own, before, after)
+        out = pdf.drop(columns=[c for c in ("before", "after") if c in pdf]).assign(before=there, after=back)
+        return out[[c for c in ("array_id", "channel", "block", "i0", "before", "after") if c in out and not (c == "block" and "before" in pdf)]]
+
+    blocks = parts.groupBy(*key, "block").applyInPandas(one, parts.schema).groupBy(*key).applyInPandas(ends, "array_id string, channel string, block long, i0 long, before array<double>, after array<double>")
+    states = parts.join(blocks.drop("i0"), [*key, "block"]).groupBy(*key, "block").applyInPandas(ends, _STATE)
+
+    def passes(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in found:
+            made = []
+            for r in pdf.rename(columns={v: k for k, v in plain.items()}).itertuples(index=False):
+                system = filters.butterworth(r.fs, low, high, order)
+                y = system.there_and_back(level(r), r.before, r.after) if zero_phase else system.run(level(r), r.before)[0]
+                made.append(y[-r.i0 % decimate :: decimate])
+            first = pdf["t0"] + (-pdf["__i0"] % decimate) / pdf["fs"]
+            out = pdf.assign(samples=made, t0=first, fs=pdf["fs"] / decimate, **({"calib": 1.0} if "calib" in names else {}))[names]
+            yield out[[len(y) > 0 for y in made]]
+
+    schema = segments.select(*[F.col(c).cast("array<double>").alias(c) if c == "samples" else F.col(c) for c in names]).schema
+    joined = placed.join(states.withColumnRenamed("i0", "__i0").select(*key, "__i0", "before", "after"), [*key, "__i0"])
+    return joined.select(*names, "before", "after", *plain.values()).mapInPandas(passes, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondera.catalog import durable
+from sondera.operators import blocks
 
 
 def band_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, lo: str, hi: str, width: float) -> DataFrame:
@@ -23,26 +24,48 @@ def band_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, lo:
     return points.withColumn("__b", bucket(at)).join(cut, [*keys, "__b"]).where(F.col(at).between(F.col(lo), F.col(hi))).drop("__b")
 
 
-def interval_argmax(points: DataFrame, spans: DataFrame, keys: list[str], at: str, lo: str, hi: str, width: float, span_key: str, value: str) -> DataFrame:
-    """For each span the point inside with the largest value, the earliest of equals; spans without a point are left out."""
-    inside = band_join(points, spans, keys, at, lo, hi, width)
-    payload = [c for c in points.columns if c not in keys]
-    best = F.max_by(F.struct(*payload), F.struct(F.col(value), -F.col(at)))
-    return inside.groupBy(*keys, span_key).agg(best.alias("peak"))
+def interval_argmax(points: DataFrame, spans: DataFrame, keys: list[str], at: str, lo: str, hi: str, width: float, span_key: str, value: str, parts: int = 8) -> DataFrame:
+    """For each span the point inside with the largest value, the earliest of equals; spans without a point are left out.
 
-
-def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, payload: list[str], prefix: str = "near_") -> DataFrame:
+    ``width`` should be about a usual span; buckets are a ``parts``-th of it. A span meets the points of the buckets at its two ends, and
+    of each bucket that it covers only the best one, so a span's pairs do not grow with the points inside it.
+    """
+    w = width / parts
+    payload = F.struct(*[c for c in points.columns if c not in keys])
+    bucket = lambda c: F.floor(F.col(c) / w).cast("long")
+    best_first = [F.desc("__v"), F.asc("__t")]
+    p = points.select(*keys, bucket(at).alias("__b"), F.col(at).alias("__t"), F.col(value).alias("__v"), payload.alias("peak"))
+    tops = p.withColumn("__k", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*best_first))).where("__k = 1").drop("__k")
+    s = spans.where(F.col(lo) <= F.col(hi)).select(*keys, span_key, F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), bucket(lo).alias("__x"), bucket(hi).alias("__y"))
+    at_ends = s.withColumn("__b", F.explode(F.array_distinct(F.array("__x", "__y")))).join(p, [*keys, "__b"]).where(F.col("__t").between(F.col("__lo"), F.col("__hi")))
+    between = F.when(F.col("__y") - F.col("__x") > 1, F.sequence(F.col("__x") + 1, F.col("__y") - 1)).otherwise(F.array().cast("array<bigint>"))
+    covered = s.withColumn("__b", F.explode(between)).join(tops, [*keys, "__b"])
+    both = at_ends.unionByName(covered).select(*keys, span_key, "__v", "__t", "peak")
+    rank = F.row_number().over(Window.partitionBy(*keys, span_key).orderBy(*best_first))
+    return both.withColumn("__k", rank).where("__k = 1").select(*keys, span_key, "peak")
+
+
+def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, payload: list[str], prefix: str = "near_", block: float = blocks.DAY) -> DataFrame:
     """Every left row with the payload of the right row nearest in time (the earlier of two equally near); null if there is none.
 
-    One union sorted by (keys, time): the last right row before and the first
-    after are window values, so nothing is paired and the cost is one shuffle.
+    One union sorted by time within (keys, blocks of ``block`` seconds): the last right row before and the first after are window values,
+    so nothing is paired and the cost is one shuffle. What a block does not have comes from the nearest blocks before and after that have
+    right rows, of which only the first and the last of each block are looked at.
     """
-    a = left.withColumns({"__right": F.lit(0), "__p": F.lit(None).cast(right.select(F.struct(at, *payload).alias("x")).schema["x"].dataType)})
+    kind = right.select(F.struct(at, *payload).alias("x")).schema["x"].dataType
+    a = left.withColumns({"__right": F.lit(0), "__p": F.lit(None).cast(kind)})
     b = right.select(*keys, at, F.lit(1).alias("__right"), F.struct(at, *payload).alias("__p"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    so_far = lambda order: F.last("__p", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order, F.desc("__right")).rowsBetween(Window.unboundedPreceding, 0))
-    before, after = so_far(F.asc(at)), so_far(F.desc(at))  # growing frames both ways: a shrinking one costs a pass per row
-    both = both.withColumns({"__x": before, "__y": after}).where("__right = 0")
+    both = blocks.blocked(a.unionByName(b, allowMissingColumns=True), at, block)
+    so_far = lambda order: F.last("__p", ignorenulls=True).over(Window.partitionBy(*keys, blocks.BLOCK).orderBy(order, F.desc("__right")).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumns({"__x": so_far(F.asc(at)), "__y": so_far(F.desc(at))}).where("__right = 0")  # growing frames both ways: a shrinking one costs a pass per row
+    ends = blocks.blocked(b, at, block).select(*keys, blocks.BLOCK, at, "__p")
+    edge = lambda order: Window.partitionBy(*keys, blocks.BLOCK).orderBy(order)
+    first, last = (ends.withColumn("__k", F.row_number().over(edge(o(at)))).where("__k = 1").select(*keys, blocks.BLOCK, F.col("__p").alias(c)) for o, c in ((F.asc, "__first"), (F.desc, "__last")))
+    have = left.select(*keys, F.floor(F.col(at) / block).alias(blocks.BLOCK)).distinct()
+    ends = have.join(first.join(last, [*keys, blocks.BLOCK]), [*keys, blocks.BLOCK], "full")
+    around = {"__before": F.last("__last", ignorenulls=True).over(blocks.before(keys)), "__after": F.last("__first", ignorenulls=True).over(blocks.after(keys))}
+    both = both.join(ends.withColumns(around).select(*keys, blocks.BLOCK, *around), [*keys, blocks.BLOCK], "left")
+    both = both.withColumns({"__x": F.coalesce("__x", "__before"), "__y": F.coalesce("__y", "__after")})
     near = F.when(F.col("__y").isNull() | (F.col(at) - F.col("__x")[at] <= F.col("__y")[at] - F.col(at)), F.col("__x")).otherwise(F.col("__y"))
     both = both.withColumn("__n", near)
     return both.select(*left.columns, *[F.col("__n")[c].alias(prefix + c) for c in [at, *payload]])

@@ -95,23 +95,79 @@ def above_density(rows: DataFrame, window: float, step: float, p: float) -> Data
     return found.where(F.col("db") > F.col("threshold")).groupBy("channel", "t", "f").agg(F.first("db").alias("db"), F.min("threshold").alias("threshold"))
 
 
-def dbscan(points: DataFrame, keys: list[str], x: str, y: str, eps: float, min_points: int) -> DataFrame:
+#: Pairs of points that two boxes make at most; boxes of more are divided.
+PAIRS = 4096
+
+
+def _boxes(points: DataFrame, keys: list[str], root: str, level: int) -> DataFrame:
+    """The tight boxes of a root's points in cells of the grid divided ``level`` times by four: place, count and bounds."""
+    at = lambda c: (F.col(f"c{c}") * 4**level + F.floor(F.col(f"r{c}") * 4**level)).cast("long").alias(f"{root}{c}")
+    bounds = [f(c).alias(f"{root}{c}{n}") for c in "xy" for n, f in (("0", F.min), ("1", F.max))]
+    return points.groupBy(*keys, root, at("x"), at("y")).agg(F.count(F.lit(1)).alias(f"{root}n"), *bounds)
+
+
+def reached(a: DataFrame, b: DataFrame, keys: list[str], eps: float, among: bool = False, pairs: int = PAIRS) -> DataFrame:
+    """(a, b, n): roots with points no more than ``eps`` apart; n counts b's points if a is one point.
+
+    Both sides: keys, the root's number a or b, x, y, the grid cell cx, cy that holds the whole root, and the place rx, ry in the cell
+    (0 to 1). Roots meet as boxes: boxes that lie within ``eps`` as a whole count whole, boxes further apart not at all, and where only
+    some points can be near, boxes of few points make pairs and larger ones are divided, level by level. So a cell of very many points
+    makes no pairs but along the circle of radius ``eps``. ``among``: a and b are the same roots; each pair is told once, a < b.
+    """
+    level, out, rest = 0, None, None
+    while True:
+        x, y = _boxes(a, keys, "a", level), _boxes(b, keys, "b", level)
+        if rest is None:
+            around = F.explode(F.array(*[F.struct((F.col("ax") + i).alias("bx"), (F.col("ay") + j).alias("by")) for i in range(-2, 3) for j in range(-2, 3)]))
+            rest = x.withColumn("at", around).select("*", "at.*").drop("at").join(y, [*keys, "bx", "by"])
+            rest = rest.where("a < b") if among else rest
+        else:
+            up = lambda df, r: df.withColumns({f"{r}{c}u": F.shiftright(f"{r}{c}", 2) for c in "xy"})
+            rest = rest.select(*keys, "a", "b", *[F.col(f"{r}{c}").alias(f"{r}{c}u") for r in "ab" for c in "xy"])
+            rest = rest.join(up(x, "a"), [*keys, "a", "axu", "ayu"]).join(up(y, "b"), [*keys, "b", "bxu", "byu"])
+        far = sum(((F.greatest(F.col(f"b{c}1") - F.col(f"a{c}0"), F.col(f"a{c}1") - F.col(f"b{c}0"))) ** 2 for c in "xy"), F.lit(0.0))
+        near = sum(((F.greatest(F.col(f"b{c}0") - F.col(f"a{c}1"), F.col(f"a{c}0") - F.col(f"b{c}1"), F.lit(0.0))) ** 2 for c in "xy"), F.lit(0.0))
+        kind = F.when(far <= eps * eps, 0).when(F.col("an") * F.col("bn") <= pairs, 1).otherwise(2)
+        rest = durable(rest.where(near <= eps * eps).withColumn("kind", kind).select(*keys, "a", "ax", "ay", "b", "bx", "by", "bn", "kind"))
+        here = lambda df, r: df.select(*keys, r, F.col("x").alias(f"{r}px"), F.col("y").alias(f"{r}py"), *[(F.col(f"c{c}") * 4**level + F.floor(F.col(f"r{c}") * 4**level)).cast("long").alias(f"{r}{c}") for c in "xy"])  # noqa: B023, E731
+        few = rest.where("kind = 1").join(here(a, "a"), [*keys, "a", "ax", "ay"]).join(here(b, "b"), [*keys, "b", "bx", "by"])
+        few = few.where((F.col("bpx") - F.col("apx")) ** 2 + (F.col("bpy") - F.col("apy")) ** 2 <= eps * eps).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+        found = rest.where("kind = 0").select("a", "b", F.col("bn").alias("n")).unionByName(few)
+        out = found if out is None else out.unionByName(found)
+        rest = rest.where("kind = 2")
+        if rest.isEmpty():
+            return out.groupBy("a", "b").agg(F.sum("n").alias("n"))
+        if among:  # one pair of near points is enough
+            out = durable(out)
+            rest = rest.join(out.select("a", "b").distinct(), ["a", "b"], "left_anti").select(rest.columns)
+        level += 1
+
+
+def dbscan(points: DataFrame, keys: list[str], x: str, y: str, eps: float, min_points: int, pairs: int = PAIRS) -> DataFrame:
     """Density clusters: adds cluster (smallest core point's number in it), null for noise. Points need a unique ``pid``.
 
-    Neighbours are found by an equi-join on cells of side eps; core points are
-    linked by smallest-label rounds; border points join a neighbouring core's cluster.
+    The plane is cut into cells so small that two points of a cell are always near. A cell of ``min_points`` or more points is core as a
+    whole, only points of other cells are counted for; what is linked are cells, not points, by ``reached``; border points join a
+    neighbouring core cell's cluster. Points whose key or place is null are noise.
     """
-    cell = lambda c: F.floor(F.col(c) / eps).cast("long")
-    p = points.select(*keys, "pid", F.col(x).alias("x"), F.col(y).alias("y"), cell(x).alias("cx"), cell(y).alias("cy"))
-    around = F.explode(F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")
-    spread = p.select(*keys, F.col("pid").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), around).select(*keys, "a", "ax", "ay", "c.cx", "c.cy")
-    near = durable(spread.join(p, [*keys, "cx", "cy"]).where((F.col("x") - F.col("ax")) ** 2 + (F.col("y") - F.col("ay")) ** 2 <= eps * eps).select("a", F.col("pid").alias("b")))
-    core = near.groupBy("a").count().where(F.col("count") >= min_points).select("a")
-    labels = components(near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b"), "a", "b")
-    member = near.join(labels, near["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("border"))
-    own = labels.withColumnRenamed("label", "core_label")
-    out = points.join(own, points["pid"] == own["node"], "left").drop("node").join(member, points["pid"] == member["a"], "left").drop("a")
-    return out.withColumn("cluster", F.coalesce("core_label", "border")).drop("core_label", "border")
+    side = 0.7 * eps
+    cell = {f"c{c}": F.floor(F.col(c) / side).cast("long") for c in "xy"}
+    p = points.select(*keys, "pid", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    p = p.withColumns(cell).withColumns({f"r{c}": F.col(c) / side - F.col(f"c{c}") for c in "xy"})
+    place = [*keys, "cx", "cy"]
+    cells = p.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("b"))
+    p = durable(p.join(cells, place))
+    sparse = p.where(F.col("n") < min_points)
+    counted = reached(sparse.withColumnRenamed("pid", "a").drop("b"), p, keys, eps, pairs=pairs).groupBy("a").agg(F.sum("n").alias("near")).where(F.col("near") >= min_points)
+    marked = durable(p.drop("b").join(counted.select(F.col("a").alias("pid"), F.lit(True).alias("found")), "pid", "left").withColumn("core", (F.col("n") >= min_points) | F.coalesce("found", F.lit(False))))
+    core = marked.where("core")
+    own = core.groupBy(*place).agg(F.min("pid").alias("b"))
+    core = durable(core.join(own, place).select(*place, "b", "pid", "x", "y", "rx", "ry"))
+    labels = components(reached(core.withColumnRenamed("b", "a"), core, keys, eps, among=True, pairs=pairs), "a", "b")
+    labels = durable(core.select("b").distinct().join(labels.withColumnRenamed("node", "b"), "b", "left").select("b", F.coalesce("label", "b").alias("cluster")))
+    border = reached(marked.where("NOT core").withColumnRenamed("pid", "a"), core, keys, eps, pairs=pairs).join(labels, "b").groupBy(F.col("a").alias("pid")).agg(F.min("cluster").alias("cluster"))
+    named = core.select("pid", "b").join(labels, "b").select("pid", "cluster").unionByName(border)
+    return points.join(named, "pid", "left").select(*points.columns, "cluster")
 
 
 def spectral_detections(clustered: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondera.functions.circular import circular_std
+from sondera.operators import blocks
 
 
 def hop_windows(df: DataFrame, at: str, first: Column | str, length: float, step: float, last: Column | str | None = None) -> DataFrame:
@@ -53,20 +54,40 @@ def clamped_stat(df: DataFrame, keys: list[str], at: str, length: float, aggs: d
     return joined.groupBy(*keys, F.col("__at").alias(at)).agg(*[c.alias(k) for k, c in aggs.items()])
 
 
-def runs(df: DataFrame, keys: list[str], at: str, flag: str, min_length: int, include_last: bool = False) -> DataFrame:
+def runs(df: DataFrame, keys: list[str], at: str, flag: str, min_length: int, include_last: bool = False, block: float = blocks.DAY) -> DataFrame:
     """Maximal runs of rows with a true flag, of min_length rows or more: adds run (its number within the keys) to the rows in them.
 
-    The last row of each key never belongs to a run unless ``include_last``.
+    The last row of each key never belongs to a run unless ``include_last``. Runs are found within blocks of ``block`` (of ``at``); the
+    pieces at a block's ends get their numbers and sizes from summaries of the blocks, so a key's rows are never in one task.
     """
-    order = Window.partitionBy(*keys).orderBy(at)
-    mask = F.coalesce(F.col(flag), F.lit(False))
-    if not include_last:
-        mask = mask & F.lead(F.lit(1)).over(order).isNotNull()
-    df = df.withColumn("__m", mask)
+    columns = df.columns
+    df = blocks.blocked(df, at, block).withColumn("__m", F.coalesce(F.col(flag), F.lit(False)))
+    own = Window.partitionBy(*keys, blocks.BLOCK)
+    order = own.orderBy(at)
     turn = F.col("__m") & ~F.coalesce(F.lag("__m").over(order), F.lit(False))
-    df = df.withColumn("run", F.sum(turn.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys, "run"))
-    return df.where("__m").withColumn("__n", size).where(F.col("__n") >= min_length).drop("__m", "__n")
+    df = df.withColumns({"__i": F.row_number().over(order), "__turn": turn}).withColumn("__run", F.sum(F.col("__turn").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumns({"__n": F.count(F.lit(1)).over(own), "__size": F.sum(F.col("__m").cast("long")).over(Window.partitionBy(*keys, blocks.BLOCK, "__run"))})
+
+    # a block: whether it begins and ends inside a run, how long its first and its last piece are, and how many runs begin in it
+    first, last = (F.col("__i") == 1) & F.col("__m"), (F.col("__i") == F.col("__n")) & F.col("__m")
+    ends = df.groupBy(*keys, blocks.BLOCK).agg(F.max(first).alias("head"), F.max(last).alias("tail"), F.coalesce(F.max(F.when(first, F.col("__size"))), F.lit(0)).alias("n_head"), F.coalesce(F.max(F.when(last, F.col("__size"))), F.lit(0)).alias("n_tail"), F.max("__run").alias("turns"))
+    line = Window.partitionBy(*keys).orderBy(blocks.BLOCK)
+    joins = F.col("head") & F.coalesce(F.lag("tail").over(line), F.lit(False))
+    ends = ends.withColumns({"final": F.lead(F.lit(1)).over(line).isNull(), "joins": joins}).withColumn("whole", F.col("head") & F.col("tail") & (F.col("turns") == 1))
+    ends = ends.withColumn("offset", F.coalesce(F.sum(F.col("turns") - F.col("joins").cast("long")).over(blocks.before(keys)), F.lit(0)) - F.col("joins").cast("long"))
+    if not include_last:  # a key's last row only makes the last run shorter
+        short = lambda c: F.when(F.col("final") & F.col("tail") & (F.lit(c == "n_tail") | F.col("whole")), F.col(c) - 1).otherwise(F.col(c))
+        ends = ends.withColumns({c: short(c) for c in ("n_head", "n_tail")})
+    number = lambda c: F.col("offset") + (F.lit(1) if c == "head" else F.col("turns"))
+    piece = lambda c: F.struct(F.lit(c).alias("end"), F.when(F.col(c), number(c)).alias("run"), F.when(F.lit(c == "head") | ~F.col("whole"), F.col(f"n_{c}")).otherwise(0).alias("n"))
+    pieces = ends.select(*keys, blocks.BLOCK, "offset", "final", F.inline(F.array(piece("head"), piece("tail"))))
+    pieces = pieces.withColumn("all", F.sum("n").over(Window.partitionBy(*keys, "run")))
+    ends = pieces.groupBy(*keys, blocks.BLOCK).agg(*[F.max(c).alias(f"__{c}") for c in ("offset", "final")], *[F.max(F.when(F.col("end") == e, F.col(c))).alias(f"__{c}_{e}") for e in ("head", "tail") for c in ("run", "all")])
+
+    df = df.where("__m").drop("run").join(ends, [*keys, blocks.BLOCK]).withColumn("run", F.col("__offset") + F.col("__run"))
+    size = F.when(F.col("run") == F.col("__run_head"), F.col("__all_head")).when(F.col("run") == F.col("__run_tail"), F.col("__all_tail")).otherwise(F.col("__size"))
+    inside = F.lit(True) if include_last else ~(F.col("__final") & (F.col("__i") == F.col("__n")))
+    return df.where(inside & (size >= min_length)).select(*[c for c in columns if c != "run"], "run")
 
 
 def detections(in_runs: DataFrame, keys: list[str], at: str, value: str, az: str, spread_limit: float, payload: list[str]) -> DataFrame:
@@ -78,30 +99,30 @@ def detections(in_runs: DataFrame, keys: list[str], at: str, value: str, az: str
     return found.withColumns(ends).select(*keys, "run", *[F.col("p")[c].alias(c) for c in (at, value, az, *payload)], "start", "end", "n_rows", "spread")
 
 
-def merge_detections(df: DataFrame, keys: list[str], at: str, value: str, az: str, az_limit: float) -> DataFrame:
+def merge_detections(df: DataFrame, keys: list[str], at: str, value: str, az: str, az_limit: float, block: float = 30 * blocks.DAY) -> DataFrame:
     """Neighbouring detections of one key with near azimuths and a gap below the longer duration become one, until none are left to merge.
 
     Merging is in order of time and to a fixpoint. Detections that could ever
-    meet lie in one block: a detection may grow to the whole time since its
-    block began, so a block ends where the next detection starts later than that
-    time, or the longest detection of the key, behind all before it.
+    meet lie in one group: a detection may grow to the whole time since its
+    group began, so a group ends where the next detection starts later than that
+    time, or the longest detection of the key, behind all before it. Groups are
+    found by running maxima and counts over blocks of ``block`` seconds.
     """
     schema = df.schema
-    before = Window.partitionBy(*keys).orderBy(at, "start").rowsBetween(Window.unboundedPreceding, -1)
     lo, hi = F.col(at) + F.col("start"), F.col(at) + F.col("end")
-    df = df.withColumn("__longest", F.max(hi - lo).over(Window.partitionBy(*keys)))
-    df = df.withColumn("__gap", lo - F.max(hi).over(before))
-    df = df.withColumn("__near", F.sum((F.col("__gap").isNull() | (F.col("__gap") >= F.col("__longest"))).cast("long")).over(Window.partitionBy(*keys).orderBy(at, "start")))
-    span = F.max(hi).over(Window.partitionBy(*keys, "__near")) - F.min(lo).over(Window.partitionBy(*keys, "__near"))
-    df = df.withColumn("__span", span)  # merged detections of a block can reach as far as the block is long
-    ends = df.groupBy(*keys, "__near").agg(F.min(lo).alias("__from"), F.max(hi).alias("__to"), F.max("__span").alias("__span"))
-    line = Window.partitionBy(*keys).orderBy("__near")
-    apart = (F.col("__from") - F.lag("__to").over(line)) >= F.greatest(F.col("__span"), F.max("__span").over(line.rowsBetween(Window.unboundedPreceding, -1)))
-    ends = ends.withColumn("__block", F.sum(F.coalesce(apart, F.lit(True)).cast("long")).over(line)).select(*keys, "__near", "__block")
-    df = df.drop("__longest", "__gap", "__span").join(ends, [*keys, "__near"]).drop("__near")
+    longest = df.groupBy(*keys).agg(F.max(hi - lo).alias("__longest"))
+    df = blocks.running(blocks.blocked(df, at, block), keys, [at, "start"], {"__reach": ("max", hi, False)}).join(longest, keys)
+    gap = lo - F.col("__reach")
+    df = blocks.running(df, keys, [at, "start"], {"__near": ("sum", (gap.isNull() | (gap >= F.col("__longest"))).cast("long"), True)})
+    ends = df.groupBy(*keys, "__near").agg(F.min(lo).alias("__from"), F.max(hi).alias("__to"))
+    ends = blocks.blocked(ends.withColumn("__span", F.col("__to") - F.col("__from")), "__from", block)  # merged detections can reach as far as they span
+    ends = blocks.running(ends, keys, ["__near"], {"__last": ("max", F.col("__to"), False), "__widest": ("max", F.col("__span"), False)})
+    apart = (F.col("__from") - F.col("__last")) >= F.greatest("__span", "__widest")
+    ends = blocks.running(ends, keys, ["__near"], {"__group": ("sum", F.coalesce(apart, F.lit(True)).cast("long"), True)}).select(*keys, "__near", "__group")
+    df = df.join(ends, [*keys, "__near"]).drop("__reach", "__longest", "__near", blocks.BLOCK)
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.drop(columns="__block").sort_values(at, kind="stable").to_dict("records")
+        rows = pdf.drop(columns="__group").sort_values(at, kind="stable").to_dict("records")
         changed = True
         while changed:
             changed, out = False, []
@@ -118,10 +139,10 @@ def merge_detections(df: DataFrame, keys: list[str], at: str, value: str, az: st
                         continue
                 out.append(row)
             rows = out
-        kept = pdf.drop(columns="__block")
+        kept = pdf.drop(columns="__group")
         return pd.DataFrame(rows, columns=kept.columns).astype(kept.dtypes.to_dict())
 
-    return df.groupBy(*keys, "__block").applyInPandas(merged, schema)
+    return df.groupBy(*keys, "__group").applyInPandas(merged, schema)
 
 
 def blend_weights(start: Column, at: Column, length: float, step: float) -> Column:

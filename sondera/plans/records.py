@@ -222,6 +222,23 @@ def filtered_power(spark, d):
     return f.select(vec.alias("vec_id"), F.size("samples").cast("long").alias("n"))
 
 
+@query("record_filter", f"""
+WITH {_SAMPLES}, u AS (SELECT vec_id, unnest(range(0, len(s))) AS i, unnest(s) AS x FROM v),
+l AS (SELECT vec_id, regr_slope(x, i) AS slope, regr_intercept(x, i) AS base FROM u GROUP BY vec_id),
+x AS (SELECT vec_id, i, x - base - slope * i AS x FROM u JOIN l USING (vec_id)),
+c AS (SELECT tan(pi() * 1.5 / 10) AS w), h AS (SELECT k, w / (1 + w) * CASE WHEN k = 0 THEN 1 ELSE (1 - a) * pow(-a, k - 1) END AS h FROM (SELECT w, (w - 1) / (w + 1) AS a FROM c), range(0, 4000) r(k)),
+y AS (SELECT x.vec_id, x.i + h.k AS i, sum(x.x * h.h) AS y FROM x JOIN (SELECT vec_id, max(i) AS n FROM x GROUP BY vec_id) USING (vec_id) JOIN h ON x.i + h.k <= n GROUP BY 1, 2),
+z AS (SELECT y.vec_id, y.i - h.k AS i, sum(y.y * h.h) AS z FROM y JOIN h ON y.i >= h.k GROUP BY 1, 2)
+SELECT vec_id, i, round(z, 6) + 0.0 AS y FROM z WHERE i % 3 = 0""")
+def record_filter(spark, d):
+    """Records cut into segments of 2.5 s, through a zero-phase low-pass across their borders; every third sample of the record is kept."""
+    f = records.filtered(records.split(vectors(spark, d), 2.5), None, 1.5, order=1, decimate=3, block=5.0)
+    vec = F.col("array_id").cast("long") * 8 + F.substring("channel", 2, 9).cast("long")
+    first = F.floor(F.col("array_id").cast("long") % 100) * 50
+    f = f.select(vec.alias("vec_id"), F.round((F.col("t0") - first) * 10).cast("long").alias("i0"), F.posexplode("samples").alias("k", "y"))
+    return f.select("vec_id", (F.col("i0") + 3 * F.col("k")).alias("i"), (F.round("y", 6) + 0.0).alias("y"))
+
+
 @query("loss_density")
 def loss_density(spark, d):
     """Kernel densities of losses per sector and range bin, by cell counts."""

@@ -78,7 +78,7 @@ s AS (SELECT o_orderkey AS det, sta, t AS lo, t + 30 * 86400 AS hi FROM o),
 j AS (SELECT s.sta, s.det, o.t, o.f, row_number() OVER (PARTITION BY s.det ORDER BY o.f DESC, o.t) AS rk FROM s JOIN o ON o.sta = s.sta AND o.t BETWEEN s.lo AND s.hi)
 SELECT sta, det, t, f FROM j WHERE rk = 1""")
 def interval_join_argmax(spark, d):
-    """For each detection span the strongest beam row inside: an equi-join on 30-day buckets, then max_by."""
+    """For each detection span the strongest beam row inside: an equi-join on buckets, of covered buckets with their best rows only."""
     o = table(spark, d, "orders").select((F.col("o_custkey") % 64).alias("sta"), (epoch("o_orderdate")).alias("t"), F.col("o_totalprice").alias("f"), F.col("o_orderkey").alias("key"))
     s = o.select("sta", F.col("key").alias("det"), F.col("t").alias("lo"), (F.col("t") + 30 * 86400).alias("hi"))
     out = relational.interval_argmax(o.drop("key"), s, ["sta"], "t", "lo", "hi", 30 * 86400.0, "det", "f")

@@ -145,6 +145,50 @@ def test_dbscan_matches_brute_force(spark):
         assert got[i] == expected
 
 
+@pytest.mark.parametrize("pairs", [spectral.PAIRS, 6])
+def test_density_clusters_of_dense_cells(spark, pairs):
+    """Lines, clumps and repeated points; boxes are divided down to a few points."""
+    rng = np.random.default_rng(3)
+    pts = np.vstack([rng.normal((0, 0), 0.02, (60, 2)), rng.normal((0.5, 0.02), 0.02, (50, 2)), np.repeat([[1.02, 0.0]], 30, axis=0), rng.uniform(-1, 3, (150, 2)), [[1.51, 0.0], [1.53, 0.0]]])
+    df = spark.createDataFrame([("k", i, float(a), float(b)) for i, (a, b) in enumerate(pts)] + [("k", 9000, None, 1.0)], "k string, pid long, x double, y double")
+    got = {r["pid"]: r["cluster"] for r in spectral.dbscan(df, ["k"], "x", "y", 0.5, 5, pairs).collect()}
+    near = (((pts[:, None] - pts[None]) ** 2).sum(axis=2) <= 0.25)
+    core = near.sum(axis=1) >= 5
+    label = np.where(core, np.arange(len(pts)), len(pts))
+    while True:
+        new = np.where(core, np.where(near & core[None], label[None], len(pts)).min(axis=1), len(pts))
+        if (new == label).all():
+            break
+        label = new
+    border = np.where(near & core[None], label[None], len(pts)).min(axis=1)
+    assert got.pop(9000) is None
+    assert [got[i] for i in range(len(pts))] == [None if v == len(pts) else v for v in border.tolist()]
+
+
+def test_a_cell_of_very_many_points_makes_no_pairs(spark):
+    from pyspark.sql import functions as F
+
+    n = 100_000
+    df = spark.range(n).select(F.lit("k").alias("k"), F.col("id").alias("pid"), (F.rand(1) * 0.3).alias("x"), (F.rand(2) * 0.3).alias("y"))
+    df = df.union(spark.createDataFrame([("k", n, 0.6, 0.1), ("k", n + 1, 9.0, 9.0)], df.schema))
+    got = {r["cluster"]: r["count"] for r in spectral.dbscan(df, ["k"], "x", "y", 0.5, 5).groupBy("cluster").count().collect()}
+    assert got == {0: n + 1, None: 1}
+
+
+def test_strongest_point_of_each_span(spark):
+    from sondera.operators import relational
+
+    rng = np.random.default_rng(8)
+    points = [(int(rng.integers(3)), float(t), float(rng.integers(0, 6)), i) for i, t in enumerate(np.sort(rng.uniform(0, 500, 400)))]
+    spans = [(int(rng.integers(4)), i, float(a), float(a + d)) for i, (a, d) in enumerate(zip(rng.uniform(-20, 500, 200), rng.choice([0.5, 10, 60, 300, -1], 200)))]
+    df, sp = spark.createDataFrame(points, "k int, t double, v double, i int"), spark.createDataFrame(spans, "k int, s int, lo double, hi double")
+    out = relational.interval_argmax(df, sp, ["k"], "t", "lo", "hi", 50.0, "s", "v")
+    got = {r["s"]: r["peak"]["i"] for r in out.collect()}
+    want = {s: min(((-v, t, i) for q, t, v, i in points if q == k and lo <= t <= hi), default=None) for k, s, lo, hi in spans}
+    assert got == {s: w[2] for s, w in want.items() if w}
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_linkage_cut():
     x = np.array([0.0, 0.1, 0.3, 5.0, 5.2, 9.0])
     d = np.abs(x[:, None] - x[None, :])
