@@ -60,7 +60,7 @@ def line_dedup(df: DataFrame, site_col: str = "source", text_col: str = "text",
     hashes = F.array_distinct(F.filter(F.transform(_lines(df, text_col), _hash), lambda h: h.isNotNull()))
     found = keyed.select("__key", F.explode(hashes).alias("h")).join(common, "h", "left_semi")
     gone = cut(found.groupBy(F.col("__key").alias("__of")).agg(F.collect_set("h").alias("__gone")), "removals")  # and so can a hot text's rows
-    joined = keyed.join(gone, F.col("__key") == F.col("__of"), "left")
+    joined = keyed.join(gone.hint("merge"), F.col("__key") == F.col("__of"), "left")  # the same plan at every size
     kept = F.filter(_lines(df, text_col), lambda line: ~F.coalesce(F.array_contains("__gone", _hash(line)), F.lit(False)))
     kept = F.when(F.col("__gone").isNull(), _lines(df, text_col)).otherwise(kept)
     counted = {"n_lines": F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).cast("long"), "__kept": kept}
