@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,26 @@ def epoch(at: str) -> Column:
     return F.unix_micros(F.col(at).cast("timestamp")) / 1e6
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder that spark.checkpoint.dir names: rounds of an iteration survive lost executors. Only a local session may do without the setting."""
-    context = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only a local session may do without the setting."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder: rounds of an iteration survive lost executors."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again. Unlike a checkpoint it has the size it has, not one estimated from the plans
+    before it, which grows with every round of joins until planning takes longer than the work."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

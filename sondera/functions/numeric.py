@@ -355,73 +355,43 @@ def simpson_sum(y: np.ndarray, step: float) -> float:
     return float((w * y[:odd]).sum() * step / 3 + (0.0 if len(y) % 2 else (y[-1] + y[-2]) * step / 2))
 
 
-def _fitted_rows(model, x: np.ndarray, y: np.ndarray, near: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """Least-squares parameters [G, P] of model(x, p) for G curves x, y [G, N] at the points ``near``, all at once; and which of them settled."""
-    p, damp = start.copy(), np.full(len(start), 1e-3)
-    rest = (y - model(x, p)) * near
-    size, settled = (rest**2).sum(axis=1), np.zeros(len(start), bool)
-    for _ in range(rounds):
-        step = 1e-4 * np.maximum(np.abs(p), 1e-2)
-        base = model(x, p)
-        slopes = np.stack([(model(x, p + step * (np.arange(p.shape[1]) == k)) - base) / step[:, k, None] for k in range(p.shape[1])], axis=2) * near[:, :, None]
-        normal = slopes.transpose(0, 2, 1) @ slopes
-        way = (slopes.transpose(0, 2, 1) @ rest[:, :, None])[:, :, 0]
-        diagonal = np.einsum("gii->gi", normal)
-        normal = normal + (damp[:, None] * (diagonal + 1e-12))[:, :, None] * np.eye(p.shape[1])
-        good = np.isfinite(normal).all(axis=(1, 2)) & ~settled
-        move = np.zeros_like(p)
-        move[good] = np.linalg.solve(normal[good] + 1e-12 * np.eye(p.shape[1]), way[good][:, :, None])[:, :, 0]
-        new = (y - model(x, p + move)) * near
-        less = (new**2).sum(axis=1)
-        better = good & np.isfinite(less) & (less <= size)
-        settled |= better & (size - less <= 1e-9 * np.maximum(size, 1e-300))
-        p[better] += move[better]
-        rest[better], size[better] = new[better], less[better]
-        damp = np.where(better, np.maximum(damp / 5, 1e-12), damp * 10)
-        settled |= damp > 1e9
-        if settled.all():
-            break
-    return p, settled & np.isfinite(p).all(axis=1)
+#: Shapes of skew normals that are told apart, and the quantiles that tell them; bursts lie above the last.
+_SHAPES = np.linspace(-8, 8, 161)
+_CORE = (0.05, 0.4, 0.75)
+
+
+@lru_cache(maxsize=64)
+def _skew_quantiles(p: float) -> np.ndarray:
+    """The ``p`` quantile of the standard skew normal of every shape; p below 0 gives the modes."""
+    z = np.linspace(-8, 8, 6401)
+    y = np.stack([skew_normal(z, a, 0.0, 1.0) for a in _SHAPES])
+    if p < 0:
+        return z[np.argmax(y, axis=1)]
+    mass = np.cumsum(y, axis=1) * (z[1] - z[0])
+    return np.array([np.interp(p, m, z) for m in mass / mass[:, -1:]])
 
 
-def background_thresholds(groups: list[np.ndarray], p: float, points: int = 100) -> tuple[np.ndarray, np.ndarray]:
+def background_thresholds(groups: list[np.ndarray], p: float) -> tuple[np.ndarray, np.ndarray]:
     """(thresholds, peaks) of levels' backgrounds: each the lower of two quantiles of false-alarm probability ``p``.
 
-    One is that of the normal with the mean and deviation of the values' kernel density, the other that of a skew normal fitted
-    to the density within two deviations (of a normal, where that fit fails). All groups are fitted together.
+    One is that of the normal with the mean and deviation of the values' kernel density, which are the sample's own, the variance and
+    that of the kernel (Scott's bandwidth) added. The other is that of the skew normal with three of the sample's quantiles, which bursts
+    do not reach: how far the middle one is from half-way gives the shape, the outer ones the width.
     """
-    low, high = (np.array([f(v) for v in groups], float) for f in (np.min, np.max))
-    out, peak = high.copy(), high.copy()
-    wide = np.flatnonzero(high > low)
-    if not len(wide):
-        return out, peak
-    spread = (high - low)[wide]
-    step = spread * 1.5 / (points - 1)
-    x = (low[wide] - spread / 4)[:, None] + step[:, None] * np.arange(points)
-    y = np.stack([kde(groups[g], x[i]) for i, g in enumerate(wide)])
-    mean = np.array([simpson_sum(v, h) for v, h in zip(x * y, step, strict=True)])
-    sd = np.sqrt(np.maximum([simpson_sum(v, h) for v, h in zip((x - mean[:, None]) ** 2 * y, step, strict=True)], 1e-300))
-    plain = mean + sd * NormalDist().inv_cdf(1 - p)
-    near = (np.abs(x - mean[:, None]) < 2 * sd[:, None]).astype(float)
-    column = lambda q, k: q[:, k, None]
-    width = lambda q, k: np.maximum(np.abs(q[:, k, None]), 1e-9)
-    one = np.ones(len(wide))
-    skew = lambda x, q: column(q, 1) * skew_normal(x, column(q, 0), column(q, 2), width(q, 3))
-    normal = lambda x, q: column(q, 0) * _normal((x - column(q, 1)) / width(q, 2)) / width(q, 2)
-    found, settled = _fitted_rows(skew, x, y, near, np.stack([0.1 * one, one, mean, sd], axis=1))
-    other, settled_too = _fitted_rows(normal, x, y, near, np.stack([one, mean, sd], axis=1))
-    for i, g in enumerate(wide):
-        out[g], peak[g] = plain[i], mean[i]
-        if near[i].sum() < 6:
-            continue
-        if settled[i] and abs(found[i, 0]) < 50:
-            k, _, m, s = found[i]
-            s = max(abs(s), 1e-9)
-            line = np.linspace(m - 3 * s, m + 3 * s, 601)
-            out[g], peak[g] = min(plain[i], skew_normal_quantile(1 - p, k, m, s)), line[np.argmax(skew_normal(line, k, m, s))]
-        elif settled_too[i]:
-            out[g], peak[g] = min(plain[i], NormalDist(other[i, 1], max(abs(other[i, 2]), 1e-9)).inv_cdf(1 - p)), other[i, 1]
-    return out, peak
+    n = np.array([len(v) for v in groups], float)
+    mean, sd = np.array([np.mean(v) for v in groups]), np.array([np.std(v, ddof=1) if len(v) > 1 else 0.0 for v in groups])
+    plain = mean + np.sqrt(sd**2 * ((n - 1) / n + n**-0.4)) * NormalDist().inv_cdf(1 - p)
+    low, middle, high = np.array([np.quantile(v, _CORE) for v in groups]).T
+    a, b, c = (_skew_quantiles(q) for q in _CORE)
+    shapes = (c + a - 2 * b) / (c - a)
+    lean = (high + low - 2 * middle) / np.maximum(high - low, 1e-300)
+    shape = np.interp(lean, shapes, _SHAPES)
+    of = lambda q: np.interp(shape, _SHAPES, q)
+    width = (high - low) / (of(c) - of(a))
+    at = middle - width * of(b)
+    out, peak = np.minimum(plain, at + width * of(_skew_quantiles(1 - p))), at + width * of(_skew_quantiles(-1.0))
+    flat = high <= low
+    return np.where(flat, np.where(sd > 0, plain, mean), out), np.where(flat, middle, peak)
 
 
 def background_threshold(values: np.ndarray, p: float) -> tuple[float, float]:
@@ -445,6 +415,37 @@ def smoothed(y: np.ndarray, width: int = 49, order: int = 3) -> np.ndarray:
     return out
 
 
+def spline(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Coefficients [power, piece, ...] in (x - lower end) of the cubic spline through y[point, ...] whose third derivative is continuous
+    at the second and the last but one point; a parabola through three points, a line through two.
+
+    The end conditions give the outer second derivatives by the next two, which leaves a tridiagonal system, solved by elimination.
+    """
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    shape, y = y.shape[1:], y.reshape(len(x), -1)
+    h = np.diff(x)
+    slope = np.diff(y, axis=0) / h[:, None]
+    bend, n = np.zeros_like(y), len(x)
+    if n == 3:
+        bend[:] = 2 * (slope[1] - slope[0]) / (h[0] + h[1])
+    elif n > 3:
+        low, main, up, rest = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(slope, axis=0)
+        a, b = h[0] / h[1], h[-1] / h[-2]
+        main[0], up[0] = main[0] + h[0] * (1 + a), up[0] - h[0] * a
+        main[-1], low[-1] = main[-1] + h[-1] * (1 + b), low[-1] - h[-1] * b
+        for k in range(1, n - 2):
+            w = low[k] / main[k - 1]
+            main[k] -= w * up[k - 1]
+            rest[k] -= w * rest[k - 1]
+        bend[n - 2] = rest[-1] / main[-1]
+        for k in range(n - 4, -1, -1):
+            bend[k + 1] = (rest[k] - up[k] * bend[k + 2]) / main[k]
+        bend[0], bend[-1] = bend[1] + a * (bend[1] - bend[2]), bend[-2] + b * (bend[-2] - bend[-3])
+    h = h[:, None]
+    out = np.stack([y[:-1], slope - h * (2 * bend[:-1] + bend[1:]) / 6, bend[:-1] / 2, np.diff(bend, axis=0) / (6 * h)])
+    return out.reshape(4, n - 1, *shape)
+
+
 def wavelet_power(x: np.ndarray, dt: float, f: np.ndarray, cycles: float = 5.0) -> np.ndarray:
     """|CWT|^2 [F, N] with Morlet wavelets whose width is cycles / (2 pi f)."""
     n = len(x)
@@ -466,19 +467,21 @@ def stft(x: np.ndarray, dt: float, n: int) -> tuple[np.ndarray, np.ndarray, np.n
 # ------------------------------------------------------------- source counting
 
 
-def model_order(values: np.ndarray, penalty: str = "aic") -> tuple[np.ndarray, int]:
-    """(criterion of 0, 1, .. sources, the number with the least) of eigenvalues in falling order.
+def model_order(values: np.ndarray, penalty: str = "aic", snapshots: int = 1) -> tuple[np.ndarray, int]:
+    """(criterion of 0, 1, .. m - 1 sources, the number with the least) of a covariance's eigenvalues from ``snapshots`` samples.
 
-    The likelihood term is the log ratio of the geometric to the arithmetic mean of the eigenvalues behind the k-th.
+    After Wax and Kailath (1985): if k sources are there, the m - k smallest eigenvalues are equal, and by how much they are not is the
+    ratio of their geometric to their arithmetic mean, to the power of (m - k) snapshots. A model of k sources has k (2 m - k) free
+    parameters, which "aic" counts twice against twice the log likelihood and "mdl" by half the logarithm of the snapshots.
     """
-    m, out = len(values), []
-    for k in range(m):
-        rest = values[k + 1 :]
-        ratio = np.log(rest).sum() / (m - k) - np.log(rest.sum() / (m - k)) if len(rest) else np.inf
-        free = k * (2 * m - k)
-        out.append(-2 * ratio + 2 * free if penalty == "aic" else -(m - k) * ratio + free / 2)
-    out = np.array(out)
-    return out, int(np.argmin(np.where(np.isfinite(out), out, np.inf)))
+    values = np.sort(np.asarray(values, float))
+    m = len(values)
+    sizes = np.arange(m, 0, -1)  # of the noise, for 0, 1, .. sources
+    arithmetic, geometric = np.cumsum(values)[::-1] / sizes, np.cumsum(np.log(values))[::-1] / sizes
+    misfit = snapshots * sizes * (np.log(arithmetic) - geometric)
+    free = np.arange(m) * (2 * m - np.arange(m))
+    out = 2 * (misfit + free) if penalty == "aic" else misfit + free * np.log(snapshots) / 2
+    return out, int(np.argmin(out))
 
 
 def grid_peaks(grid: np.ndarray, size: int = 3, count: int = 1) -> list[tuple[int, int, float]]:
@@ -531,35 +534,77 @@ def _azimuth_and_km(lat0, lon0, lat1, lon1, radius: float):
     return az, 2 * radius * np.arctan2(np.sqrt(h), np.sqrt(np.maximum(1 - h, 0)))
 
 
-def disc_integral(a: dict, b: dict, centre: dict, flat: np.ndarray, nodes: int, radius: float, mixture: tuple) -> np.ndarray:
-    """Joint density of many pairs of detections integrated over their discs.
+#: Nodes of the 15-point Kronrod rule from the middle outwards, their weights, and those of the 7-point Gauss rule on every second node.
+_KRONROD = np.array([0.0, 0.207784955007898467600689403773245, 0.405845151377397166906606412076961, 0.586087235467691130294144691258, 0.741531185599394439863864773280788, 0.864864423359769072789712788640926, 0.949107912342758524526189684047851, 0.991455371120812639206854697526329])
+_KRONROD_WEIGHTS = np.array([0.209482141084727828012999174891714, 0.204432940075298892414161999234649, 0.190350578064785409913256402421014, 0.169004726639267902826583426598550, 0.140653259715525918745189590510238, 0.104790010322250183839876322541518, 0.063092092629978553290700663189204, 0.022935322010529224963732008058970])
+_GAUSS_WEIGHTS = np.array([0.417959183673469387755102040816327, 0.0, 0.381830050505118944950369775488975, 0.0, 0.279705391489276667901467771423780, 0.0, 0.129484966168869693270611432679082, 0.0])
 
-    a, b: lat, lon, az, t, kappa (arrays of n pairs); centre: lat, lon, radius. Gauss-Legendre nodes in range, equal steps in azimuth;
-    where ``flat`` is set, azimuth (in degrees) and range are integrated without the factor r. The time marginal of two
-    mixtures of Gaussians is a sum over all pairs of components.
-    """
-    x, wx = np.polynomial.legendre.leggauss(nodes)
-    u, wu = (x + 1) / 2, wx / 2
-    turn = 2 * np.pi / (2 * nodes)
-    z = np.arange(2 * nodes) * turn
-    col = lambda v: np.asarray(v, float)[:, None, None]
-    km = col(centre["radius"]) * u[None, :, None]
+
+def nested_rule() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes in -1..1, Kronrod weights and the embedded Gauss weights (0 where it has no node)."""
+    both = lambda v, sign: np.r_[sign * v[:0:-1], v]
+    return both(_KRONROD, -1), both(_KRONROD_WEIGHTS, 1), both(_GAUSS_WEIGHTS, 1)
+
+
+def _pair_density(a: dict, b: dict, centre: dict, flat: np.ndarray, of: np.ndarray, km: np.ndarray, z: np.ndarray, radius: float, mixture: tuple) -> np.ndarray:
+    """Joint density of pairs ``of`` at distance km and azimuth z from their discs' centres, times the element of area; km, z: [panel, node, node]."""
+    col = lambda v: np.asarray(v, float)[of][:, None, None]
     la0, arc = np.radians(col(centre["lat"])), km / radius
     sin1 = np.sin(la0) * np.cos(arc) + np.cos(la0) * np.sin(arc) * np.cos(z)
-    la1 = np.arcsin(np.clip(sin1, -1, 1))
-    lo1 = np.radians(col(centre["lon"])) + np.arctan2(np.sin(z) * np.sin(arc) * np.cos(la0), np.cos(arc) - np.sin(la0) * sin1)
-    lat, lon = np.degrees(la1), np.degrees(lo1)
+    lat = np.degrees(np.arcsin(np.clip(sin1, -1, 1)))
+    lon = col(centre["lon"]) + np.degrees(np.arctan2(np.sin(z) * np.sin(arc) * np.cos(la0), np.cos(arc) - np.sin(la0) * sin1))
     value, far = 1.0, []
     for d in (a, b):
         az, r = _azimuth_and_km(col(d["lat"]), col(d["lon"]), lat, lon, radius)
         k = col(d["kappa"])
         value = value * np.exp(k * np.cos(az - np.radians(col(d["az"]))) - np.log(2 * np.pi * np.i0(k)))
         far.append(np.maximum(r, 0.1))
-    total = 0.0
-    gap = col(a["t"]) - col(b["t"])
+    total, gap = 0.0, col(a["t"]) - col(b["t"])
     for wi, mi, si in zip(*mixture, strict=True):
         for wj, mj, sj in zip(*mixture, strict=True):
             var = (far[0] * si) ** 2 + (far[1] * sj) ** 2
             total = total + wi * wj * np.exp(-0.5 * (gap - far[0] * mi + far[1] * mj) ** 2 / var) / np.sqrt(2 * np.pi * var)
-    area = np.where(np.asarray(flat)[:, None, None], 180 / np.pi, km)
-    return (value * total * area * wu[None, :, None]).sum(axis=(1, 2)) * turn * np.asarray(centre["radius"], float)
+    return value * total * np.where(np.asarray(flat)[of][:, None, None], 180 / np.pi, km)
+
+
+def disc_integrals(a: dict, b: dict, centre: dict, flat: np.ndarray, radius: float, mixture: tuple, tolerance: float = 1e-4, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Joint density of many pairs of detections integrated over their discs, and a bound of each integral's relative error.
+
+    a, b: lat, lon, az, t, kappa (arrays of n pairs); centre: lat, lon, radius; where ``flat`` is set, azimuth (in degrees) and range
+    are integrated without the factor r. A disc begins as four panels of azimuth; a panel has the value of a 15-point Kronrod rule
+    each way and, as its error, how far the embedded Gauss rule is from it. Of all pairs that are not within the tolerance the panels
+    that add more than their share of the error are divided in four, for at most ``rounds`` rounds.
+    """
+    x, wk, wg = nested_rule()
+    weights = [np.outer(w, w) for w in (wk, wg)]
+    n = len(flat)
+    size = np.asarray(centre["radius"], float)
+    good = np.flatnonzero(np.isfinite(size))
+    of = np.repeat(good, 4)
+    box = np.stack([np.zeros(len(of)), size[of], np.tile(np.arange(4), len(good)) * np.pi / 2, np.tile(np.arange(1, 5), len(good)) * np.pi / 2], axis=1)
+    value, error = np.full(n, np.nan), np.full(n, np.nan)
+    value[good] = error[good] = 0.0
+    kept_of, kept, kept_value, kept_error = np.zeros(0, np.int64), np.zeros((0, 4)), np.zeros(0), np.zeros(0)
+    for last in range(rounds, -1, -1):
+        made = np.empty((len(of), 2))
+        for lo in range(0, len(of), 256):
+            q, who = box[lo : lo + 256], of[lo : lo + 256]
+            half = (q[:, 1::2] - q[:, ::2]) / 2
+            km, z = ((q[:, 2 * k] + half[:, k])[:, None] + half[:, k, None] * x for k in (0, 1))
+            f = _pair_density(a, b, centre, flat, who, np.broadcast_to(km[:, :, None], (len(q), 15, 15)), z[:, None, :], radius, mixture)
+            for k, w in enumerate(weights):
+                made[lo : lo + 256, k] = (f * w).sum(axis=(1, 2)) * half[:, 0] * half[:, 1]
+        kept_of, kept = np.r_[kept_of, of], np.r_[kept, box]
+        kept_value, kept_error = np.r_[kept_value, made[:, 0]], np.r_[kept_error, np.abs(made[:, 0] - made[:, 1])]
+        value, error = (np.where(np.isfinite(size), np.bincount(kept_of, weights=v, minlength=n), np.nan) for v in (kept_value, kept_error))
+        share = tolerance * np.abs(value) / np.maximum(np.bincount(kept_of, minlength=n), 1)
+        split = (error > tolerance * np.abs(value))[kept_of] & (kept_error > share[kept_of] / 2)
+        if not last or not split.any():
+            break
+        (r0, r1, z0, z1), who = kept[split].T, kept_of[split]
+        rm, zm = (r0 + r1) / 2, (z0 + z1) / 2
+        box = np.concatenate([np.stack(q, axis=1) for q in ((r0, rm, z0, zm), (rm, r1, z0, zm), (r0, rm, zm, z1), (rm, r1, zm, z1))])
+        of = np.tile(who, 4)
+        kept_of, kept, kept_value, kept_error = kept_of[~split], kept[~split], kept_value[~split], kept_error[~split]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return value, np.where(value > 0, error / value, 0.0)

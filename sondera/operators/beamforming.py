@@ -187,14 +187,17 @@ def array_ends_of(segments: DataFrame) -> DataFrame:
 
 
 def windows_at(segments: DataFrame, spans: DataFrame, length: float) -> DataFrame:
-    """``spans`` (array_id, start, any others) with the pieces of the segments they touch: a bucketed band join on time."""
-    bucket = F.explode(F.sequence(F.floor((F.col("t0") - 1) / length), F.floor((F.col("__last") + 1) / length)))
-    s = segments.withColumn("__last", F.col("t0") + (F.size("samples") - 1) / F.col("fs")).withColumn("__b", bucket)
-    others = [c for c in spans.columns if c not in ("array_id", "start")]
-    w = spans.withColumn("__b", F.explode(F.array(F.floor(F.col("start") / length), F.floor(F.col("start") / length) + 1)))
-    from sondera.operators.records import calibration
+    """``spans`` (array_id, start, any others) with the pieces of the segments they touch.
+
+    Segments are cut at multiples of ``length`` first, so a bucket of the join holds its own samples and no more, and a window takes
+    those of the three or four buckets it can touch.
+    """
+    from sondera.operators.records import calibration, split
 
-    j = s.withColumn("__c", calibration()).join(w, ["array_id", "__b"]).where((F.col("t0") - 1 / F.col("fs") <= F.col("start") + length) & (F.col("__last") + 1 / F.col("fs") >= F.col("start")))
+    s = split(segments, length).withColumns({"__b": F.floor(F.col("t0") / length + 1e-9), "__last": F.col("t0") + (F.size("samples") - 1) / F.col("fs"), "__c": calibration()})
+    others = [c for c in spans.columns if c not in ("array_id", "start")]
+    w = spans.withColumn("__b", F.explode(F.sequence(F.floor((F.col("start") - 1) / length), F.floor((F.col("start") + length + 1) / length))))
+    j = s.join(w, ["array_id", "__b"]).where((F.col("t0") - 1 / F.col("fs") <= F.col("start") + length) & (F.col("__last") + 1 / F.col("fs") >= F.col("start")))
     i0 = F.greatest(F.lit(0), F.floor((F.col("start") - F.col("t0")) * F.col("fs")) - 1).cast("int")
     i1 = F.least(F.size("samples") - 1, F.ceil((F.col("start") + length - F.col("t0")) * F.col("fs")) + 1).cast("int")
     j = j.withColumns({"__i0": i0, "__i1": i1}).where("__i1 >= __i0")

@@ -69,8 +69,8 @@ def grid_power(x: np.ndarray, dt: float, geometry: np.ndarray, run: Classic) ->
     cov = np.einsum("pmf,pnf->fmn", spec, spec.conj()) / parts
     sources = run.sources
     if criterion:
-        values = np.linalg.eigvalsh(cov.mean(axis=0))[::-1]
-        sources = int(np.clip(numeric.model_order(np.maximum(values, 1e-300), criterion)[1] + 1, 1, m - 1))
+        values = np.linalg.eigvalsh(cov.mean(axis=0))
+        sources = int(np.clip(numeric.model_order(np.maximum(values, 1e-300), criterion, parts * len(f))[1], 1, m - 1))
     sx, sy = np.meshgrid(axis, axis)
     delays = np.stack([sx.ravel(), sy.ravel()], axis=1) @ geometry.T
     power = np.zeros(len(delays))

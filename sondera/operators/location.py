@@ -1,18 +1,22 @@
-"""Bayesian location: region, gridded posterior, summaries. Everything is columns and weighted sums.
+"""Bayesian location: region, gridded posterior, summaries.
 
-An event is one row with its detections as an array, so the product over
-detections is a fold inside a row; grid cells and times are exploded from it and
-summed with Simpson weights.
+An event is one row with its detections as an array. Its posterior is either a
+square grid, exploded from the row and summed with Simpson weights, all columns,
+or a polar grid refined where the density is, worked out in batches of events
+(``functions.posterior``), which is what ``run_loc`` takes.
 """
 
 from __future__ import annotations
 
 from math import radians
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondera.functions import geodesy, physics
+from sondera.functions import circular, geodesy, physics
+from sondera.functions import posterior as posterior_cells
 from sondera.operators import integrate, likelihood
 
 
@@ -120,9 +124,40 @@ def summary_text(row: DataFrame, level: float = 0.95) -> DataFrame:
     return row.select("event_id", text.alias("text"))
 
 
-def run_loc(members: DataFrame, width: float = 10.0, nodes: int = 41, times: int = 41) -> DataFrame:
-    """Summary rows of events from their detections (event_id, t, lat, lon, az, f_stat, channels)."""
-    return summary(posterior(event_region(event_rows(members), width), nodes, times))
+_SUMMARY = "mass double, lat_mean double, lon_mean double, t_mean double, sd_x double, sd_y double, cov double, sd_t double, lat_map double, lon_map double, t_map double, t_lo double, t_hi double, cells long"
+
+
+def refined_summary(regions: DataFrame, levels: int = 3, coarse: tuple[int, int, int] = posterior_cells.COARSE, level: float = 0.9) -> DataFrame:
+    """One row per event, as ``summary`` and ``time_bounds`` have it (t_lo, t_hi), from a polar grid that is refined ``levels`` times
+    where the density is; cells is their number. Events are rows of their detections, and a batch of them is a task's work. An event
+    without any arrival time has a place only: its times are null. Events whose arrivals no origin can explain are left out."""
+    key = regions.schema["event_id"].dataType.simpleString()
+    kappa = lambda d: circular.von_mises_kappa(d["f_stat"], d["channels"])
+    flat = F.transform("dets", lambda d: F.struct(*[F.coalesce(d[c].cast("double"), F.lit(float("nan"))).alias(c) for c in ("lat", "lon", "t", "az")], F.coalesce(kappa(d), F.lit(1.0)).alias("kappa")))
+    names = [c.split()[0] for c in _SUMMARY.split(", ")]
+    mixture = (physics.RCEL_WEIGHTS, physics.RCEL_MEANS, physics.RCEL_SDS)
+
+    def batches(found):
+        for pdf in found:
+            out = []
+            for r in pdf.itertuples(index=False):
+                dets = {c: np.array([d[c] for d in r.dets], float) for c in ("lat", "lon", "t", "az", "kappa")}
+                cells = posterior_cells.refined(dets, (r.lat0, r.lon0), r.radius, mixture, geodesy.SPHERE_KM, coarse, levels)
+                if cells and (cells["p"] * cells["w"]).sum() > 0:
+                    row = posterior_cells.summary(cells, level, geodesy.SPHERE_KM)
+                    timed = np.isfinite(dets["t"]).any()
+                    out.append((r.event_id, *(x if timed or n not in ("t_mean", "sd_t", "t_map", "t_lo", "t_hi") else None for n, x in zip(names, row, strict=True))))
+            yield pd.DataFrame(out, columns=["event_id", *names])
+
+    rows = regions.select("event_id", "lat0", "lon0", "radius", flat.alias("dets"))
+    return rows.mapInPandas(batches, f"event_id {key}, {_SUMMARY}")
+
+
+def run_loc(members: DataFrame, width: float = 10.0, nodes: int | None = None, times: int = 41, levels: int = 3) -> DataFrame:
+    """Summary rows of events from their detections (event_id, t, lat, lon, az, f_stat, channels): on the refined polar grid, or on a
+    square grid of ``nodes`` by ``nodes`` by ``times``."""
+    regions = event_region(event_rows(members), width)
+    return refined_summary(regions, levels) if nodes is None else summary(posterior(regions, nodes, times))
 
 
 def az_only(members: DataFrame) -> Column:

@@ -70,17 +70,84 @@ def path_geometry(rays: DataFrame, rng_max: float = 1000.0, step: float = 10.0,
     return folded.withColumn("wt", share).withColumn("rng", F.col("k") * step).drop("k")
 
 
-def evaluate(points: DataFrame, model: DataFrame, step: float = 10.0) -> DataFrame:
-    """Density of a reciprocal celerity at points (az, rng, rcel) under a path geometry model: linear between range bins, ends held."""
-    top = model.agg(F.max("rng").alias("top"))
-    p = points.crossJoin(F.broadcast(top)).withColumns({"az_bin": geodesy.azimuth_bin("az"), "r": F.least(F.greatest("rng", F.lit(step)), F.col("top"))})
-    p = p.withColumns({"r0": F.floor(F.col("r") / step) * step, "pid": F.monotonically_increasing_id()})
-    ends = p.select("pid", "az_bin", "rcel", F.explode(F.array(F.struct(F.col("r0").cast("double").alias("rng"), (1 - (F.col("r") - F.col("r0")) / step).alias("u")), F.struct(F.least(F.col("r0") + step, F.col("top")).cast("double").alias("rng"), ((F.col("r") - F.col("r0")) / step).alias("u")))).alias("e"))
-    m = model.withColumn("rng", F.col("rng").cast("double"))
-    joined = ends.select("pid", "az_bin", "rcel", "e.*").join(m, ["az_bin", "rng"])
-    mixed = joined.groupBy("pid", "comp", "rcel").agg(*[F.sum(F.col("u") * F.col(c)).alias(c) for c in ("wt", "mn", "sd")])
-    pdf = mixed.groupBy("pid").agg(F.sum(F.col("wt") * physics.normal_pdf("rcel", "mn", "sd")).alias("pdf"))
-    return p.join(pdf, "pid").drop("pid", "r", "r0", "top")
+_CURVES = ("wt", "mn", "sd", "az_mn", "az_sd")
+
+
+def model_splines(model: DataFrame, smooth: bool = False) -> DataFrame:
+    """Cubic curves along the ranges of a path geometry model: az_bin, lo, hi, and for each component its five curves' coefficients.
+
+    ``smooth`` takes local polynomials (nine points, third order) of the tables first. A group is one sector's table.
+    """
+    names = [f"{c}{k}" for c in _CURVES for k in range(3)]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rng")
+        x = np.sort(pdf["rng"].unique())
+        parts = [pdf[pdf["comp"] == k] for k in range(3)]
+        y = np.stack([p[c].to_numpy(float) for c in _CURVES for p in parts], axis=1)
+        y = np.stack([numeric.smoothed(v, 9, 3) for v in y.T], axis=1) if smooth else y
+        c = numeric.spline(x, y)
+        out = {"az_bin": pdf["az_bin"].iloc[0], "lo": x[:-1], "hi": x[1:], "last": x[1:] == x[-1]}
+        return pd.DataFrame({**out, **{n: list(c[:, :, i].T) for i, n in enumerate(names)}})
+
+    kind = model.schema["az_bin"].dataType.simpleString()
+    rows = model.select("az_bin", F.col("rng").cast("double").alias("rng"), "comp", *_CURVES)
+    return rows.groupBy("az_bin").applyInPandas(fit, f"az_bin {kind}, lo double, hi double, last boolean, {', '.join(f'{n} array<double>' for n in names)}")
+
+
+def evaluate(points: DataFrame, model: DataFrame, step: float = 10.0, smooth: bool = False) -> DataFrame:
+    """``points`` (az, rng, rcel) with pdf, az_mn and az_sd: the density of a reciprocal celerity, and mean and deviation of azimuth
+    deviations, under a path geometry model. Its tables are cubic splines along the range; the first and last ranges hold beyond them.
+
+    Each point meets the one piece of its sector's curves that holds it, by an interval join on buckets of ``step``, so a point is
+    read once and needs no number.
+    """
+    pieces = model_splines(model, smooth)
+    span = model.agg(F.min("rng").cast("double").alias("a"), F.max("rng").cast("double").alias("b")).first()
+    own = [c for c in points.columns if c not in ("pdf", "az_mn", "az_sd")]
+    p = points.select(own).withColumns({"__az": geodesy.azimuth_bin("az"), "__r": F.least(F.greatest(F.col("rng").cast("double"), F.lit(span["a"])), F.lit(span["b"]))})
+    bucket = lambda c: F.floor(F.col(c) / step).cast("long")
+    pieces = pieces.withColumn("__b", F.explode(F.sequence(bucket("lo"), bucket("hi")))).withColumnRenamed("az_bin", "__az")
+    held = (F.col("__r") >= F.col("lo")) & ((F.col("__r") < F.col("hi")) | F.col("last"))
+    x = p.withColumn("__b", bucket("__r")).join(pieces, ["__az", "__b"]).where(held).withColumn("__d", F.col("__r") - F.col("lo"))
+    d = F.col("__d")
+    at = lambda n: F.col(n)[0] + d * (F.col(n)[1] + d * (F.col(n)[2] + d * F.col(n)[3]))
+    pdf = sum((at(f"wt{k}") * physics.normal_pdf("rcel", at(f"mn{k}"), at(f"sd{k}")) for k in range(3)), F.lit(0.0))
+    return x.select(*own, pdf.alias("pdf"), at("az_mn0").alias("az_mn"), at("az_sd0").alias("az_sd"))
+
+
+def loss_surfaces(losses: DataFrame) -> DataFrame:
+    """Bicubic surfaces of a loss model (az_bin, rng, loss, p on a full grid): az_bin, the piece's lower corner i, j and its sixteen
+    coefficients of powers of range and loss. A group is one sector's table."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = pdf.pivot_table(index="rng", columns="loss", values="p", aggfunc="first").fillna(0.0)
+        along = numeric.spline(grid.index.to_numpy(), grid.to_numpy())  # [power of range, piece of range, loss]
+        both = numeric.spline(grid.columns.to_numpy(), along.transpose(2, 0, 1))  # [power of loss, piece of loss, power of range, piece of range]
+        c = both.transpose(3, 1, 2, 0).reshape(-1, 16)
+        i, j = np.divmod(np.arange(len(c)), len(grid.columns) - 1)
+        return pd.DataFrame({"az_bin": pdf["az_bin"].iloc[0], "i": i, "j": j, "c": list(c)})
+
+    kind = losses.schema["az_bin"].dataType.simpleString()
+    return losses.select("az_bin", F.col("rng").cast("double").alias("rng"), F.col("loss").cast("double").alias("loss"), "p").groupBy("az_bin").applyInPandas(fit, f"az_bin {kind}, i int, j int, c array<double>")
+
+
+def evaluate_loss(points: DataFrame, losses: DataFrame, step: float = 10.0, db: float = 1.0) -> DataFrame:
+    """``points`` (az, rng, loss) with pdf: the loss density by the bicubic surface of the point's sector; ends held. The model's ranges
+    are ``step`` apart, its losses ``db``, so a point's piece is found by arithmetic and joined by number."""
+    span = losses.agg(*[f(c).cast("double").alias(f"{c}{n}") for c in ("rng", "loss") for n, f in (("0", F.min), ("1", F.max))]).first()
+    inside = lambda c: F.least(F.greatest(F.col(c).cast("double"), F.lit(span[f"{c}0"])), F.lit(span[f"{c}1"]))
+    place = lambda c, w: F.least(F.floor((inside(c) - span[f"{c}0"]) / w + 1e-9), F.lit(round((span[f"{c}1"] - span[f"{c}0"]) / w) - 1)).cast("int")
+    own = [c for c in points.columns if c != "pdf"]
+    x = points.select(*own, geodesy.azimuth_bin("az").alias("__az"), place("rng", step).alias("__i"), place("loss", db).alias("__j"))
+    x = x.withColumns({"__u": inside("rng") - span["rng0"] - F.col("__i") * step, "__v": inside("loss") - span["loss0"] - F.col("__j") * db})
+    pieces = loss_surfaces(losses).select(F.col("az_bin").alias("__az"), F.col("i").alias("__i"), F.col("j").alias("__j"), F.col("c").alias("__c"))
+
+    def power(x: str, terms: list[Column]) -> Column:
+        return terms[0] + F.col(x) * (terms[1] + F.col(x) * (terms[2] + F.col(x) * terms[3]))
+
+    pdf = power("__u", [power("__v", [F.col("__c")[4 * a + b] for b in range(4)]) for a in range(4)])
+    return x.join(pieces, ["__az", "__i", "__j"], "left").select(*own, F.coalesce(pdf, F.lit(0.0)).alias("pdf"))
 
 
 def loss_histogram(rays: DataFrame, step: float = 10.0, db: float = 1.0) -> DataFrame:

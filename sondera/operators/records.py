@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from sondera.catalog import durable
 
 _SUM = lambda a, x: a + x
+#: Windows that are cut from a segment at once.
+MANY = 64
 
 
 def calibration(calib: str = "calib") -> Column:
@@ -35,10 +37,14 @@ def channel_lines(segments: DataFrame) -> DataFrame:
     Segments of a channel are not to overlap.
     """
     ends = segments.groupBy("array_id", "channel").agg(F.min("t0").alias("first"), F.max(last_time()).alias("last"))
-    x = F.transform("samples", lambda v: v.cast("double"))
-    total = F.aggregate(x, F.lit(0.0), _SUM)
-    moment = F.aggregate(F.transform("samples", lambda v, i: v.cast("double") * i), F.lit(0.0), _SUM)
-    parts = segments.select("array_id", "channel", "dx", "dy", "fs", "t0", calibration().alias("c"), total.alias("s"), moment.alias("m"))
+
+    def sums(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in found:
+            x = [np.asarray(v, float) for v in pdf["samples"]]
+            yield pdf.drop(columns="samples").assign(s=[v.sum() for v in x], m=[(v * np.arange(len(v))).sum() for v in x])
+
+    rows = segments.select("array_id", "channel", F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy"), F.col("fs").cast("double").alias("fs"), F.col("t0").cast("double").alias("t0"), calibration().cast("double").alias("c"), "samples").where(F.size("samples") > 0)
+    parts = rows.mapInPandas(sums, "array_id string, channel string, dx double, dy double, fs double, t0 double, c double, s double, m double")
     joined = parts.join(ends, ["array_id", "channel"])
     sums = joined.groupBy("array_id", "channel", "first", "last").agg(
         F.max("fs").alias("fs"), F.first("dx").alias("dx"), F.first("dy").alias("dy"), F.sum(F.col("c") * F.col("s")).alias("s"), F.sum(F.col("c") * ((F.col("t0") - F.col("first")) * F.col("s") + F.col("m") / F.col("fs"))).alias("st")
@@ -69,12 +75,21 @@ def windows_of(segments: DataFrame, length: float, step: float, span: tuple[floa
     s = segments.join(ends.select("array_id", "begin", "stop"), "array_id").withColumn("__last", last_time())
     k0 = F.greatest(F.lit(0), F.ceil((F.col("t0") - 1 / F.col("fs") - length - F.col("begin")) / step))
     k1 = F.least(F.floor((F.col("__last") + 1 / F.col("fs") - F.col("begin")) / step), F.floor((F.col("stop") - F.col("begin") - (0.0 if partial else length)) / step + 1e-9))
-    s = s.withColumn("k", F.explode(F.when(k1 >= k0, F.sequence(k0, k1)).otherwise(F.array().cast("array<bigint>"))))
-    start = F.col("begin") + F.col("k") * step
-    i0 = F.greatest(F.lit(0), F.floor((start - F.col("t0")) * F.col("fs")) - 1).cast("int")
-    i1 = F.least(F.size("samples") - 1, F.ceil((start + length - F.col("t0")) * F.col("fs")) + 1).cast("int")
-    piece = F.struct("channel", (F.col("t0") + F.col("i0") / F.col("fs")).alias("t0"), F.transform(F.slice("samples", F.col("i0") + 1, F.col("i1") - F.col("i0") + 1), lambda v: v * F.col("c")).alias("x"))
-    s = s.select("array_id", "channel", "t0", "fs", "samples", "k", calibration().alias("c"), i0.alias("i0"), i1.alias("i1")).where("i1 >= i0").select("array_id", "k", piece.alias("p"))
+    s = s.where(k1 >= k0).select("array_id", "channel", F.col("t0").cast("double").alias("t0"), F.col("fs").cast("double").alias("fs"), calibration().cast("double").alias("c"), F.col("begin"), k0.cast("long").alias("k0"), k1.cast("long").alias("k1"), "samples")
+
+    def cut(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in found:
+            for r in pdf.itertuples(index=False):
+                x = np.asarray(r.samples, float) * r.c
+                for first in range(r.k0, r.k1 + 1, MANY):
+                    k = np.arange(first, min(first + MANY, r.k1 + 1))
+                    start = r.begin + k * step
+                    i0 = np.maximum(0, np.floor((start - r.t0) * r.fs).astype(np.int64) - 1)
+                    i1 = np.minimum(len(x) - 1, np.ceil((start + length - r.t0) * r.fs).astype(np.int64) + 1)
+                    k, i0, i1 = (v[i1 >= i0] for v in (k, i0, i1))
+                    yield pd.DataFrame({"array_id": r.array_id, "k": k, "channel": r.channel, "t0": r.t0 + i0 / r.fs, "x": [x[a : b + 1] for a, b in zip(i0, i1, strict=True)]})
+
+    s = s.mapInPandas(cut, "array_id string, k long, channel string, t0 double, x array<double>").select("array_id", "k", F.struct("channel", "t0", "x").alias("p"))
     w = s.groupBy("array_id", "k").agg(F.sort_array(F.collect_list("p")).alias("pieces"))
     w = w.join(ends, "array_id")
     return w.select("array_id", (F.col("begin") + F.col("k") * step).alias("start"), F.size("channels").alias("m"), "channels", "pieces")
@@ -104,12 +119,21 @@ def aligned(channels: list, pieces: list, start: float, length: float, trend: bo
 
 def split(segments: DataFrame, seconds: float = 7200.0) -> DataFrame:
     """Segments cut at multiples of ``seconds`` since 1970: no row is longer than that, and no sample is lost."""
-    k0, k1 = F.floor(F.col("t0") / seconds), F.floor(last_time() / seconds)
-    s = segments.withColumn("__k", F.explode(F.sequence(k0, k1)))
-    lo = F.greatest(F.lit(0), F.ceil((F.col("__k") * seconds - F.col("t0")) * F.col("fs") - 1e-6)).cast("int")
-    hi = F.least(F.size("samples") - 1, F.ceil(((F.col("__k") + 1) * seconds - F.col("t0")) * F.col("fs") - 1e-6) - 1).cast("int")
-    s = s.withColumns({"__lo": lo, "__hi": hi}).where("__hi >= __lo")
-    return s.withColumns({"samples": F.slice("samples", F.col("__lo") + 1, F.col("__hi") - F.col("__lo") + 1), "t0": F.col("t0") + F.col("__lo") / F.col("fs")}).drop("__k", "__lo", "__hi")
+    names = segments.columns
+
+    def parts(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in found:
+            for i, r in enumerate(pdf.itertuples(index=False)):
+                n = len(r.samples)
+                k = np.arange(np.floor(r.t0 / seconds), np.floor((r.t0 + (n - 1) / r.fs) / seconds) + 2)
+                at = np.clip(np.ceil((k * seconds - r.t0) * r.fs - 1e-6), 0, n).astype(int)
+                at[-1] = n
+                own = np.flatnonzero(np.diff(at) > 0)
+                whole = pdf.iloc[[i] * len(own)].reset_index(drop=True)
+                yield whole.assign(samples=[r.samples[at[q] : at[q + 1]] for q in own], t0=r.t0 + at[own] / r.fs)[names]
+
+    kept = segments.where(F.size("samples") > 0)
+    return kept.withColumn("t0", F.col("t0").cast("double")).mapInPandas(parts, kept.withColumn("t0", F.col("t0").cast("double")).schema)
 
 
 def statistics(segments: DataFrame) -> DataFrame:

@@ -70,23 +70,44 @@ def histogram_detector(spark, d):
     return out.select("sta", "t", "f", F.round("corr", 6).alias("corr"), "hit")
 
 
-@query("spectrogram")
+#: The same records in SQL, sample by sample, and the spectra of their windows (``n`` samples every ``step``) as sums of sines and cosines.
+_RECORDS = """e AS (SELECT user_id % 8 AS a, CAST(floor(user_id / 8) AS BIGINT) % 4 AS ch, CAST(floor(epoch_us(ts) / 1e6 / 3600) AS BIGINT) AS h, value FROM events),
+g AS (SELECT a, ch, h, round(avg(value), 6) AS v FROM e GROUP BY ALL), sp AS (SELECT a, min(h) AS h0, max(h) AS h1 FROM e GROUP BY a),
+rec AS (SELECT s.a, s.ch, h0, u.h - h0 AS i, coalesce(g.v, 0) AS v FROM (SELECT DISTINCT a, ch FROM e) s JOIN (SELECT a, h0, unnest(range(h0, h1 + 1)) AS h FROM sp) u USING (a) LEFT JOIN g ON g.a = s.a AND g.ch = s.ch AND g.h = u.h)"""
+
+
+def _spectra_sql(n: int, step: int, lo: int, hi: int) -> str:
+    return f"""{_RECORDS},
+x AS (SELECT a, ch, h0, i // {step} - o AS win, i - {step} * (i // {step} - o) AS j, v FROM rec, range({n // step}) z(o) WHERE i // {step} - o >= 0),
+t AS (SELECT j, 0.5 * (1 - cos(pi() * least(least(j / {n - 1}.0::DOUBLE, 1 - j / {n - 1}.0::DOUBLE) / 0.125, 1))) AS w FROM range({n}) r(j)),
+c AS (SELECT a, ch, h0, win, j, (v - avg(v) OVER q) * w AS y FROM x JOIN t USING (j) WINDOW q AS (PARTITION BY a, ch, win) QUALIFY count(*) OVER q = {n}),
+s AS (SELECT a, ch, h0, win, k, sum(y * cos(2 * pi() * k * j / {n})) AS re, sum(y * sin(2 * pi() * k * j / {n})) AS im FROM c, range({lo}, {hi}) f(k) GROUP BY ALL),
+p AS (SELECT a || '.c' || ch AS channel, h0, win, k, (re * re + im * im) / (SELECT sum(w * w) FROM t) * CASE WHEN k > 0 AND 2 * k < {n} THEN 2 ELSE 1 END AS p FROM s)"""
+
+
+def _named(spark, d):
+    return segments(spark, d).withColumn("channel", F.concat_ws(".", "array_id", "channel"))
+
+
+@query("spectrogram", f"""
+WITH {_spectra_sql(80, 16, 5, 36)}
+SELECT channel, CAST(h0 % 1000000 + win * 16 + 40 AS DOUBLE) AS t, round(avg(10 * log10(p)), 6) AS mean_db, round(max(10 * log10(p)), 6) AS max_db FROM p WHERE k / 80.0 > 0.05 AND k / 80.0 < 0.45 GROUP BY channel, h0, win""")
 def spectrogram(spark, d):
-    out = spectral.spectrogram_rows(segments(spark, d), 0.05, 0.45)
+    out = spectral.spectrogram_rows(_named(spark, d), 0.05, 0.45)
     return out.groupBy("channel", "t").agg(F.round(F.avg("db"), 6).alias("mean_db"), F.round(F.max("db"), 6).alias("max_db"))
 
 
 @query("sd_detections")
 def sd_detections(spark, d):
-    """Spectral detections of every channel of every array."""
-    s = segments(spark, d).withColumn("channel", F.concat_ws(".", "array_id", "channel"))
-    return spectral.run_sd(s, 0.05, 0.45, 200.0, 100.0, 0.05, 35.0, 12.0, 8, "median")
+    """Spectral detections of every channel of every array, above the density of each frequency's background."""
+    return spectral.run_sd(_named(spark, d), 0.05, 0.45, 200.0, 100.0, 0.05, 35.0, 12.0, 8)
 
 
-@query("welch_psd")
+@query("welch_psd", f"""
+WITH {_spectra_sql(64, 32, 0, 33)}
+SELECT channel, k / 64.0::DOUBLE AS f, round(10 * log10(avg(p)), 6) AS db FROM p GROUP BY channel, k""")
 def welch_psd(spark, d):
-    s = segments(spark, d).withColumn("channel", F.concat_ws(".", "array_id", "channel"))
-    return spectral.welch_psd(s, 64.0).select("channel", "f", F.round("db", 6).alias("db"))
+    return spectral.welch_psd(_named(spark, d), 64.0).select("channel", "f", F.round("db", 6).alias("db"))
 
 
 @query("dbscan", """
@@ -168,7 +189,7 @@ def bisl_grid_posterior(spark, d):
     """Location summaries of all events, and how far (km) the mean is from where the source was put."""
     dets = detections_of(spark, d)
     members = dets.withColumnRenamed("ev", "event_id")
-    row = location.run_loc(members.drop("sla", "slo", "t0", "id"), nodes=11, times=11)
+    row = location.run_loc(members.drop("sla", "slo", "t0", "id"))
     truth = members.select("event_id", "sla", "slo", "t0").distinct()
     km = F.radians(geodesy.haversine("lat_mean", "lon_mean", "sla", "slo")) * geodesy.SPHERE_KM
     return row.join(truth, "event_id").select("event_id", *[F.round(c, 6).alias(c) for c in ("lat_mean", "lon_mean", "sd_x", "sd_y", "sd_t")], F.round(F.col("t_mean") - F.col("t0"), 3).alias("dt"), F.round(km, 3).alias("km"))
@@ -209,19 +230,41 @@ def loss_model(spark, d):
     return propagation.loss_histogram(propagation.sectors(rays)).select("az_bin", "rng", "loss", F.round("p", 9).alias("p"))
 
 
+_LEVELS = [(0.5, 60.0, 24.0), (2.0, 48.0, 14.0)]
+
+
 @query("network_detection", f"""
 WITH {_PLACES}, s AS (SELECT k, radians(a) AS a0, radians(o) AS o0 FROM p),
-n AS (SELECT radians((n_nationkey * 53) % 178 - 88.75) AS a1, radians((n_nationkey * 29) % 358 - 178.75) AS o1 FROM nation),
-h AS (SELECT k, sin((a1 - a0) / 2) ** 2 + cos(a0) * cos(a1) * sin((o1 - o0) / 2) ** 2 AS h FROM s, n),
-q AS (SELECT k, exp(-2 * atan2(sqrt(h), sqrt(1 - h)) * 6370.997 / 2000.0) AS p FROM h)
-SELECT k AS source_id, round(1 - exp(sum(ln(1 - p))) * (1 + sum(p / (1 - p))), 6) AS p FROM q GROUP BY k""")
+n AS (SELECT n_nationkey AS arr, radians((n_nationkey * 53) % 178 - 88.75) AS a1, radians((n_nationkey * 29) % 358 - 178.75) AS o1 FROM nation),
+g AS (SELECT k, arr, greatest(acos(least(greatest(sin(a0) * sin(a1) + cos(a0) * cos(a1) * cos(o1 - o0), -1), 1)) * 6370.997, 10) AS rng,
+  degrees(atan2(sin(o1 - o0) * cos(a1), cos(a0) * sin(a1) - sin(a0) * cos(a1) * cos(o1 - o0))) AS az FROM s, n),
+r AS (SELECT CAST(floor(l_extendedprice / 5 / 500) * 500 AS DOUBLE) AS rng, floor(-20 - l_quantity / 2) AS loss, l_partkey % 360 - 180 AS az FROM lineitem),
+t AS (SELECT CAST(b AS INT) AS az_bin, rng, loss FROM r, range(0, 8) x(b) WHERE abs(CASE WHEN {_TURN} < -180 THEN {_TURN} + 360 WHEN {_TURN} > 180 THEN {_TURN} - 360 ELSE {_TURN} END) <= 30),
+w AS (SELECT az_bin, rng, loss + o AS c, sum(v) AS w FROM t, (VALUES (-1, 0.25::DOUBLE), (0, 0.5::DOUBLE), (1, 0.25::DOUBLE)) k(o, v) GROUP BY ALL),
+m AS (SELECT az_bin, rng, c + 0.5 AS loss, w / sum(w) OVER (PARTITION BY az_bin, rng) AS p FROM w),
+e AS (SELECT min(loss) AS l0, CAST(max(loss) - min(loss) AS INT) + 1 AS nl, min(rng) AS r_lo, max(rng) AS r_hi FROM m),
+f AS (SELECT z.az_bin, z.rng, CAST(i.k AS INT) AS k, l0 + i.k AS loss FROM (SELECT DISTINCT az_bin, rng FROM m) z, e, range(0, 1000) i(k) WHERE i.k < nl),
+q AS (SELECT f.az_bin, f.rng, f.k, coalesce(m.p, 0) AS p FROM f LEFT JOIN m ON f.az_bin = m.az_bin AND f.rng = m.rng AND f.loss = m.loss),
+c1 AS (SELECT *, coalesce((p + lag(p) OVER l) / 2, 0) AS st, coalesce(lead(p) OVER l, 0) - p AS dp FROM q WINDOW l AS (PARTITION BY az_bin, rng ORDER BY k)),
+c2 AS (SELECT *, sum(st) OVER (PARTITION BY az_bin, rng ORDER BY k ROWS UNBOUNDED PRECEDING) AS c FROM c1),
+v AS (SELECT * FROM (VALUES (0.5::DOUBLE, 60.0::DOUBLE, 24.0::DOUBLE), (2.0, 48.0, 14.0)) v(f, src, noise)),
+b AS (SELECT k, arr, f, CAST(CASE WHEN h / 2.0 >= 8 THEN 0 ELSE floor(h / 2.0) END AS INT) AS az_bin, greatest(noise / 2 + 5 * log10(greatest(5, rng * 0.06 / 0.0952)) - src, -20 * log10(rng)) AS lo, -5 * log10(rng) AS hi,
+  least(greatest(rng, r_lo), r_hi) AS r FROM (SELECT *, least(floor((az + 180) * 8 / 180) + 1, 16) AS h FROM g), v, e),
+x AS (SELECT *, floor(r / 500) * 500 AS r0, (r - floor(r / 500) * 500) / 500 AS u FROM b),
+y AS (SELECT k, arr, f, az_bin, lo, hi, CASE side WHEN 0 THEN r0 ELSE least(r0 + 500, r_hi) END AS rng, sign * CASE side WHEN 0 THEN 1 - u ELSE u END AS w,
+  least(greatest(CASE sign WHEN 1 THEN hi ELSE lo END - l0, 0), nl - 1) AS pos, nl FROM x, e, (VALUES (0), (1)) o(side), (VALUES (1), (-1)) z(sign)),
+y2 AS (SELECT *, CAST(least(floor(pos), nl - 2) AS INT) AS kk FROM y),
+a AS (SELECT y2.k, arr, f, CASE WHEN any_value(hi) > any_value(lo) THEN least(greatest(sum(coalesce(w * (c + p * (pos - kk) + dp * (pos - kk) ** 2 / 2), 0)), 0), 1) ELSE 0 END AS p
+  FROM y2 LEFT JOIN c2 ON y2.az_bin = c2.az_bin AND y2.rng = c2.rng AND y2.kk = c2.k GROUP BY y2.k, arr, f)
+SELECT k AS source_id, f, round(greatest(1 - exp(sum(ln(greatest(1 - p, 1e-12)))) * (1 + sum(p / greatest(1 - p, 1e-12))), 0), 4) AS p FROM a GROUP BY k, f""")
 def network_detection(spark, d):
-    """Probability that two or more of the supplier arrays detect an event at each customer's place."""
+    """Probability that two or more of the nations' arrays see an event at each customer's place, under the loss model of order lines."""
     s = places(spark, d).select(F.col("k").alias("source_id"), F.col("a").alias("s_lat"), F.col("o").alias("s_lon"))
-    a = table(spark, d, "nation").select(((F.col("n_nationkey") * 53) % 178 - 88.75).cast("double").alias("a_lat"), ((F.col("n_nationkey") * 29) % 358 - 178.75).cast("double").alias("a_lon"))
-    km = F.radians(geodesy.haversine("s_lat", "s_lon", "a_lat", "a_lon")) * geodesy.SPHERE_KM
-    out = yields.detection_probability(s, a, F.exp(-km / 2000.0), 2)
-    return out.select("source_id", F.round("p", 6).alias("p"))
+    a = table(spark, d, "nation").select(F.col("n_nationkey").alias("array_id"), ((F.col("n_nationkey") * 53) % 178 - 88.75).cast("double").alias("a_lat"), ((F.col("n_nationkey") * 29) % 358 - 178.75).cast("double").alias("a_lon"))
+    rays = table(spark, d, "lineitem").select((F.col("l_extendedprice") / 5).alias("rng"), (-20 - F.col("l_quantity") / 2).alias("loss"), (F.col("l_partkey") % 360 - 180.0).alias("az"))
+    losses = propagation.loss_histogram(propagation.sectors(rays), step=500.0)
+    out = yields.network_performance(s, a, losses, _LEVELS, 2, step=500.0)
+    return out.select("source_id", "f", F.round(F.greatest("p", F.lit(0.0)), 4).alias("p"))
 
 
 @query("overlap_add", """

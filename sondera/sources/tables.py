@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sondera.functions import numeric
 from sondera.operators.relational import band_join
 
 #: Rows of a curve that are handled on the driver; a reference table has some hundred.
@@ -28,18 +29,11 @@ def curve(table: DataFrame, x: str, y: str, kind: str = "linear") -> DataFrame:
     if not 2 <= len(rows) <= MOST:
         raise ValueError(f"a curve takes 2 to {MOST} points")
     a, b = np.array(rows, float).T
-    h, n = np.diff(a), len(a)
-    slope = np.diff(b) / h
-    bend = np.zeros(n)  # second derivatives
-    if kind == "cubic" and n > 3:
-        m, rhs = np.zeros((n, n)), np.zeros(n)
-        for i in range(1, n - 1):
-            m[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-            rhs[i] = 6 * (slope[i] - slope[i - 1])
-        m[0, :3] = h[1], -(h[0] + h[1]), h[0]
-        m[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-        bend = np.linalg.solve(m, rhs)
-    parts = zip(a[:-1], a[1:], b[:-1], slope - h * (2 * bend[:-1] + bend[1:]) / 6, bend[:-1] / 2, np.diff(bend) / (6 * h), strict=True)
+    if kind == "cubic":
+        c = numeric.spline(a, b)
+    else:
+        c = np.stack([b[:-1], np.diff(b) / np.diff(a), np.zeros(len(a) - 1), np.zeros(len(a) - 1)])
+    parts = zip(a[:-1], a[1:], *c, strict=True)
     return table.sparkSession.createDataFrame([tuple(map(float, p)) for p in parts], "lo double, hi double, c0 double, c1 double, c2 double, c3 double")
 
 

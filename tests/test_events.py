@@ -40,8 +40,8 @@ def test_two_events_and_clutter_are_told_apart(spark):
 
 def test_pair_likelihood_converges_and_prefers_true_pairs(spark):
     dets = spark.createDataFrame(seen((38.0, -115.0), 0.0, 1, STATIONS) + [(9, 40.0, -112.0, 4000.0, 20.0, 12.0, 4)], DETS)
-    few, many = (association.pair_likelihoods(dets, rng_max=1500.0, nodes=n).toPandas().set_index(["id_a", "id_b"])["likelihood"] for n in (20, 40))
-    assert len(few) == 10 and many[1, 2] == pytest.approx(few[1, 2], rel=0.05)
+    few, many = (association.pair_likelihoods(dets, rng_max=1500.0, tolerance=e).toPandas().set_index(["id_a", "id_b"])["likelihood"] for e in (1e-3, 1e-7))
+    assert len(few) == 10 and many[1, 2] == pytest.approx(few[1, 2], rel=1e-3)
     assert few[2, 3] > 100 * few[2, 9]
 
 
@@ -110,3 +110,117 @@ def test_network_probability(spark):
     assert p == pytest.approx(0.5)
     level = spark.range(1).select(yields.noise_level([(0.1, -10.0), (1.0, -20.0)], F.lit(0.55))).first()[0]
     assert level == pytest.approx(-15.0)
+
+
+def test_network_performance_is_the_tail_of_the_loss_density(spark):
+    """Against densities interpolated and integrated by Simpson's rule for one pair at a time."""
+    from sondera.functions import geodesy
+
+    rng = np.random.default_rng(4)
+    ranges, loss = np.arange(10.0, 610.0, 10.0), np.arange(-100.0, -9.0)
+    density = {b: np.array([np.exp(-0.5 * ((loss + 15 * np.log10(r) + b) / (4 + b / 4)) ** 2) for r in ranges]) for b in range(8)}
+    density = {b: d / d.sum(axis=1, keepdims=True) for b, d in density.items()}
+    losses = spark.createDataFrame([(b, float(r), float(x), float(d[i, j])) for b, d in density.items() for i, r in enumerate(ranges) for j, x in enumerate(loss)], "az_bin int, rng double, loss double, p double")
+    arrays = [(k, float(a), float(o)) for k, (a, o) in enumerate(rng.uniform(-3, 3, (5, 2)))]
+    sources = [(k, float(a), float(o)) for k, (a, o) in enumerate(rng.uniform(-3, 3, (12, 2)))]
+    levels = [(0.5, 66.0, 50.0), (1.0, 59.0, 44.0)]
+    s, a = spark.createDataFrame(sources, "source_id int, s_lat double, s_lon double"), spark.createDataFrame(arrays, "array_id int, a_lat double, a_lon double")
+    got = {(r["source_id"], r["f"]): r["p"] for r in yields.network_performance(s, a, losses, levels, 2).collect()}
+    arc, az, _ = geodesy.spherical_inv("s_lat", "s_lon", "a_lat", "a_lon")
+    pairs = s.crossJoin(a).select("source_id", "array_id", (F.radians(arc) * geodesy.SPHERE_KM).alias("km"), geodesy.azimuth_bin(az).alias("bin")).collect()
+    for f, src, noise in levels:
+        seen = np.zeros((len(sources), len(arrays)))
+        for r in pairs:
+            km = max(r["km"], 10.0)
+            x = np.linspace(-20 * np.log10(km), -5 * np.log10(km), 8001)
+            at = np.clip(km, ranges[0], ranges[-1])
+            p = np.array([np.interp(at, ranges, density[r["bin"]][:, j]) for j in range(len(loss))])
+            y = np.interp(x, loss, p) * (src + x > noise / 2 + 5 * np.log10(max(5.0, km * (0.34 - 0.28) / (0.34 * 0.28))))
+            seen[r["source_id"], r["array_id"]] = ((y[1:] + y[:-1]) / 2 * np.diff(x)).sum()
+        assert 0.05 < seen.mean() < 0.95
+        none = np.prod(1 - seen, axis=1)
+        one = sum(seen[:, k] * np.prod(np.delete(1 - seen, k, axis=1), axis=1) for k in range(len(arrays)))
+        for k in range(len(sources)):
+            assert got[k, f] == pytest.approx(1 - none[k] - one[k], abs=2e-3)
+
+
+def test_noise_and_source_levels(spark):
+    low, high = (spark.createDataFrame([(0.1, a), (1.0, a - 2)], "f double, log_psd double") for a in (-4.0, -1.0))
+    got = {kind: [r["level"] for r in yields.noise_curve(low, high, kind).orderBy("f").collect()] for kind in ("low", "medium", "high")}
+    ref = 10 * np.log10(20e-6)
+    assert got["low"] == pytest.approx([-40 - 2 * ref, -60 - 2 * ref]) and got["medium"] == pytest.approx([(a + b) / 2 for a, b in zip(got["low"], got["high"])])
+    with pytest.raises(ValueError):
+        yields.noise_curve(low, high, "loud")
+    level = spark.range(1).select(yields.source_level(F.lit(0.5), F.lit(1e5))).first()[0]
+    assert 60 < level < 110
+    many = spark.range(yields.MOST_ARRAYS + 1).selectExpr("0D a_lat", "0D a_lon")
+    with pytest.raises(ValueError, match="at most"):
+        yields.detection_probability(spark.createDataFrame([(1, 0.0, 0.0)], "source_id int, s_lat double, s_lon double"), many, F.lit(0.5), 1)
+
+
+def not_a_knot(x, y, at):
+    """Values of the spline through (x, y), all of whose conditions are solved at once."""
+    n = len(x) - 1
+    m, rhs, row = np.zeros((4 * n, 4 * n)), np.zeros(4 * n), 0
+    powers = lambda d, k: np.array([np.prod(np.arange(p, p - k, -1)) * d ** (p - k) if p >= k else 0.0 for p in range(4)])
+    for i in range(n):
+        for d, v in ((0.0, y[i]), (x[i + 1] - x[i], y[i + 1])):
+            m[row, 4 * i : 4 * i + 4], rhs[row], row = powers(d, 0), v, row + 1
+        for k in (1, 2) if i < n - 1 else ():
+            m[row, 4 * i : 4 * i + 4], m[row, 4 * i + 4 : 4 * i + 8], row = powers(x[i + 1] - x[i], k), -powers(0.0, k), row + 1
+    for i in (0, n - 2):
+        m[row, 4 * i + 3], m[row, 4 * i + 7], row = 1, -1, row + 1
+    c = np.linalg.solve(m, rhs).reshape(n, 4)
+    i = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 1)
+    d = at - x[i]
+    return sum(c[i, p] * d**p for p in range(4))
+
+
+def test_splines_solve_their_conditions():
+    from sondera.functions import numeric
+
+    rng = np.random.default_rng(0)
+    for n in (2, 3, 4, 5, 30):
+        x, y = np.cumsum(rng.uniform(0.5, 2, n)), rng.standard_normal((n, 2))
+        c, at = numeric.spline(x, y), np.linspace(x[0], x[-1], 50)
+        i = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
+        got = sum(c[p, i] * (at - x[i])[:, None] ** p for p in range(4))
+        want = np.stack([not_a_knot(x, v, at) if n > 3 else np.polyval(np.polyfit(x, v, n - 1), at) for v in y.T], axis=1)
+        assert np.allclose(got, want, atol=1e-9)
+
+
+def test_models_are_cubic_along_the_range(spark):
+    rng = np.random.default_rng(1)
+    ranges = np.arange(10.0, 310.0, 10.0)
+    table = {(b, k): rng.uniform(0.2, 1.0, (len(ranges), 5)) for b in range(8) for k in range(3)}
+    model = spark.createDataFrame([(b, float(r), k, *map(float, t[i])) for (b, k), t in table.items() for i, r in enumerate(ranges)], "az_bin int, rng double, comp int, wt double, mn double, sd double, az_mn double, az_sd double").repartition(4)
+    points = [(i, float(a), float(r), float(v)) for i, (a, r, v) in enumerate(zip(rng.uniform(-180, 180, 200), rng.uniform(0, 330, 200), rng.uniform(0, 1.5, 200)))] + [(200, 10.0, 300.0, 0.5), (201, 10.0, 10.0, 0.5)]
+    df = spark.createDataFrame(points, "id int, az double, rng double, rcel double")
+    from sondera.functions import geodesy, numeric
+
+    bins = {r["id"]: r["b"] for r in df.select("id", geodesy.azimuth_bin("az").alias("b")).collect()}
+    for smooth in (False, True):
+        got = {r["id"]: r for r in propagation.evaluate(df, model, smooth=smooth).collect()}
+        assert len(got) == len(points)
+        for i, _, r, v in points:
+            at = np.array([min(max(r, 10.0), 300.0)])
+            y = [[float(not_a_knot(ranges, numeric.smoothed(c, 9, 3) if smooth else c, at)[0]) for c in table[bins[i], k].T] for k in range(3)]
+            want = sum(w / (s * np.sqrt(2 * np.pi)) * np.exp(-0.5 * ((v - m) / s) ** 2) for w, m, s, *_ in y)
+            assert got[i]["pdf"] == pytest.approx(want, rel=1e-9, abs=1e-9) and got[i]["az_mn"] == pytest.approx(y[0][3], abs=1e-9) and got[i]["az_sd"] == pytest.approx(y[0][4], abs=1e-9)
+
+
+def test_losses_are_bicubic_surfaces(spark):
+    rng = np.random.default_rng(2)
+    ranges, loss = np.arange(20.0, 200.0, 20.0), np.arange(-40.0, -20.0)
+    table = rng.random((8, len(ranges), len(loss)))
+    losses = spark.createDataFrame([(b, float(r), float(x), float(table[b, i, j])) for b in range(8) for i, r in enumerate(ranges) for j, x in enumerate(loss)], "az_bin int, rng double, loss double, p double")
+    points = [(i, float(a), float(r), float(v)) for i, (a, r, v) in enumerate(zip(rng.uniform(-180, 180, 60), rng.uniform(10, 200, 60), rng.uniform(-42, -19, 60)))] + [(60, 0.0, 40.0, -30.0)]
+    df = spark.createDataFrame(points, "id int, az double, rng double, loss double")
+    from sondera.functions import geodesy
+
+    bins = {r["id"]: r["b"] for r in df.select("id", geodesy.azimuth_bin("az").alias("b")).collect()}
+    got = {r["id"]: r["pdf"] for r in propagation.evaluate_loss(df, losses, step=20.0).collect()}
+    for i, _, r, v in points:
+        at = np.clip(v, loss[0], loss[-1])
+        line = np.array([not_a_knot(loss, row, np.array([at]))[0] for row in table[bins[i]]])
+        assert got[i] == pytest.approx(not_a_knot(ranges, line, np.array([np.clip(r, 20, 180)]))[0], abs=1e-9)

@@ -379,11 +379,19 @@ def test_smoothing_keeps_cubics_and_wavelets_find_tones():
 
 
 def test_source_counts_grid_peaks_and_rolled_beams():
-    values = np.array([9.0, 7.0, 1.5, 1.0, 1.0, 0.5, 0.2])
-    for how, want in (("aic", lambda r, k: -2 * np.log(r) + 2 * k * (14 - k)), ("mdl", lambda r, k: -(7 - k) * np.log(r) + k * (14 - k) / 2)):
-        got, best = numeric.model_order(values, how)
-        ratios = [np.prod(values[k + 1 :]) ** (1 / (7 - k)) / (values[k + 1 :].sum() / (7 - k)) for k in range(6)]
-        assert np.allclose(got[:6], [want(r, k) for k, r in enumerate(ratios)]) and best == np.argmin(got[:6]) and got[6] == -np.inf
+    rng = np.random.default_rng(0)
+    m, n, k = 7, 400, 2
+    mix = rng.standard_normal((m, k)) * 2
+    x = mix @ rng.standard_normal((k, n)) + rng.standard_normal((m, n))
+    values = np.linalg.eigvalsh(x @ x.T / n)
+    for how in ("aic", "mdl"):
+        got, best = numeric.model_order(values, how, n)
+        assert best == k
+        for q in range(m):
+            tail = np.sort(values)[: m - q]
+            likelihood = n * (np.log(tail).sum() - (m - q) * np.log(tail.mean()))
+            free = q * (2 * m - q)
+            assert got[q] == pytest.approx(-2 * likelihood + 2 * free if how == "aic" else -likelihood + 0.5 * free * np.log(n))
     g = np.zeros((9, 9))
     g[2, 3], g[6, 6], g[6, 7] = 5, 7, 6
     assert numeric.grid_peaks(g, 3, 2) == [(6, 6, 7.0), (2, 3, 5.0)]
