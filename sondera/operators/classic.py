@@ -48,6 +48,10 @@ def direction(sx: Column | str, sy: Column | str) -> tuple[Column, Column]:
     return F.when(z < 0, z + 360).otherwise(z), F.hypot(a, b)
 
 
+#: Samples that a covariance averaged over frequencies counts as when sources are counted.
+FEW = 3
+
+
 def array_response(geometry: np.ndarray, f: np.ndarray, axis: np.ndarray, at: tuple[float, float] = (0.0, 0.0)) -> np.ndarray:
     """Mean power over frequencies of the array for a wave of slowness ``at``, on the grid axis x axis (rows: north)."""
     sx, sy = np.meshgrid(axis - at[0], axis - at[1])
@@ -69,8 +73,8 @@ def grid_power(x: np.ndarray, dt: float, geometry: np.ndarray, run: Classic) ->
     cov = np.einsum("pmf,pnf->fmn", spec, spec.conj()) / parts
     sources = run.sources
     if criterion:
-        values = np.linalg.eigvalsh(cov.mean(axis=0))
-        sources = int(np.clip(numeric.model_order(np.maximum(values, 1e-300), criterion, parts * len(f))[1], 1, m - 1))
+        values = np.linalg.eigvalsh(cov.mean(axis=0))  # a mean over frequencies, whose phases differ, counts as few samples
+        sources = int(np.clip(numeric.model_order(np.maximum(values, 1e-300), criterion, FEW)[1], 1, m - 1))
     sx, sy = np.meshgrid(axis, axis)
     delays = np.stack([sx.ravel(), sy.ravel()], axis=1) @ geometry.T
     power = np.zeros(len(delays))

@@ -123,7 +123,7 @@ def test_network_performance_is_the_tail_of_the_loss_density(spark):
     losses = spark.createDataFrame([(b, float(r), float(x), float(d[i, j])) for b, d in density.items() for i, r in enumerate(ranges) for j, x in enumerate(loss)], "az_bin int, rng double, loss double, p double")
     arrays = [(k, float(a), float(o)) for k, (a, o) in enumerate(rng.uniform(-3, 3, (5, 2)))]
     sources = [(k, float(a), float(o)) for k, (a, o) in enumerate(rng.uniform(-3, 3, (12, 2)))]
-    levels = [(0.5, 66.0, 50.0), (1.0, 59.0, 44.0)]
+    levels = [(0.5, 72.0, 50.0), (1.0, 66.0, 44.0)]
     s, a = spark.createDataFrame(sources, "source_id int, s_lat double, s_lon double"), spark.createDataFrame(arrays, "array_id int, a_lat double, a_lon double")
     got = {(r["source_id"], r["f"]): r["p"] for r in yields.network_performance(s, a, losses, levels, 2).collect()}
     arc, az, _ = geodesy.spherical_inv("s_lat", "s_lon", "a_lat", "a_lon")
