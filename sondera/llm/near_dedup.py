@@ -220,9 +220,19 @@ def links(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return whole.mapInArrow(tidied(_by_key(["g"], ["__row", "body"], _link, ["u", "v"])), "u long, v long")
 
 
+def _files_only(df: DataFrame) -> bool:
+    """Whether ``df`` is read from files and nothing else, so that its rows have the same numbers each time."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return plan.deterministic() and all(line.lstrip(" :+-").startswith(("Relation ", "Project ")) for line in plan.toString().strip().split("\n"))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component stays: that with the smallest id, null ids last, the first row of several."""
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    """One row of each component stays: that with the smallest id, null ids last, the first row of several.
+
+    Rows of files are numbered as they are read; those of any other plan are written first, since they are read several times.
+    """
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = rows if _files_only(docs) else cut(rows, "rows")
     found = components(links(rows))
     found = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     named = cut(rows.select("__row", "doc_id").join(found, F.col("__row") == F.col("node")).select("root", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row").alias("rank")), "members")

@@ -77,3 +77,13 @@ def test_stage_keeps_one_row_of_each_class_with_null_and_repeated_ids(spark):
     got = [(r["doc_id"], r["text"]) for r in near_dedup.stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()]
     assert len(got) == 5 and {(3, a[0]), (5, alone), (None, other)} <= set(got)
     assert sum(i == 7 and t in b for i, t in got) == 1 and sum(i is None and t in c for i, t in got) == 1
+
+
+def test_rows_of_files_are_numbered_without_a_copy(spark, texts, tmp_path):
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)
+    df.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    assert near_dedup._files_only(docs) and near_dedup._files_only(docs.select("doc_id", "text"))
+    assert not near_dedup._files_only(df) and not near_dedup._files_only(docs.repartition(2)) and not near_dedup._files_only(docs.selectExpr("doc_id", "text", "rand() r"))
+    kept = sorted(r["doc_id"] for r in near_dedup.stage(spark, docs, "").collect())
+    assert kept == sorted(r["doc_id"] for r in near_dedup.stage(spark, df, "").collect())
