@@ -42,6 +42,7 @@ from sondera.llm.tokens import word_ids
 NAME = "op2_packing"
 TOKENIZER, END_ID, CAPACITY = "word_bpe_49k.json", 1, 2048
 PIECE, WINDOWS, SLACK = 512, 256, 16
+PIECES = 8192  # of a group at most: each is a row of window sums while a group is divided
 _RESULT = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -133,7 +134,7 @@ def pack(df: DataFrame, encode: Callable[[list[bytes]], Iterator[np.ndarray]], i
                     part = raw[4 * start : 4 * min(start + PIECE, n)]
                     waiting.append((doc, start, len(part) // 4, zlib.crc32(part), n, *[part] * with_ids))
                     total += len(part) // 4
-                    if total >= WINDOWS * (capacity - SLACK) - PIECE:
+                    if total >= WINDOWS * (capacity - SLACK) - PIECE or len(waiting) >= PIECES:
                         rows += group()
                         waiting, total = [], 0
             if rows:

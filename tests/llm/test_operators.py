@@ -325,6 +325,19 @@ def test_odd_texts_count_as_the_library_counts():
         assert [t.count([text.encode()])[0] for t in tables] == [len(byte.encode(text, add_special_tokens=False))] * 2
 
 
+def test_packing_of_very_many_tiny_texts_takes_little_memory(spark):
+    import tracemalloc
+
+    tracemalloc.start()
+    window, offset = packing.pack_group(np.ones(packing.PIECES, np.int64), packing.CAPACITY)
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert used < 100 << 20 and np.bincount(window).max() == packing.CAPACITY and offset.max() < packing.CAPACITY
+    df = spark.range(40_000, numPartitions=2).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN '' ELSE 'a' END AS text")
+    got = packing.packed(df).groupBy("sequence_id").agg({"length": "sum", "*": "count"}).collect()
+    assert sum(r["count(1)"] for r in got) == 40_000 and max(r["sum(length)"] for r in got) <= packing.CAPACITY and len(got) < 40
+
+
 def test_differencing_is_near_equal():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 513, 2000)
