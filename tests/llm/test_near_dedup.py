@@ -3,9 +3,10 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
-from sondera.llm import near_dedup
+from sondera.llm import near_dedup, simhash
 from sondera.llm.common import documents
 
 SCHEMA = "doc_id long, text string"
@@ -87,3 +88,35 @@ def test_rows_of_files_are_numbered_without_a_copy(spark, texts, tmp_path):
     assert not near_dedup._files_only(df) and not near_dedup._files_only(docs.repartition(2)) and not near_dedup._files_only(docs.selectExpr("doc_id", "text", "rand() r"))
     kept = sorted(r["doc_id"] for r in near_dedup.stage(spark, docs, "").collect())
     assert kept == sorted(r["doc_id"] for r in near_dedup.stage(spark, df, "").collect())
+
+
+def test_bit_planes_reach_the_stage_radius():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 40, np.uint64)
+    prints = np.concatenate([base, *(base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (flips, 40), np.uint64)) for flips in (3, 12, 15, 18, 20))])
+    keys = np.tile(np.arange(40) // 5, 6)
+    prints, keys = prints[np.argsort(keys, kind="stable")], np.sort(keys)
+    i, j = simhash.bucket_links(keys, prints, near_dedup.RADIUS)
+    near = (keys[:, None] == keys) & (np.bitwise_count(prints[:, None] ^ prints) <= near_dedup.RADIUS)
+    lab = np.arange(len(prints))
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        assert near[a, b] and lab[a] != lab[b]
+        lab[lab == lab[b]] = lab[a]
+    assert (lab[:, None] == lab)[near].all() and len(i) > 40
+
+
+def test_fingerprints_propose_and_sketches_check_and_find_the_rest(monkeypatch):
+    words = [np.arange(n, dtype=np.uint64) for n in (100, 99, 98)]
+    none, alike = np.frombuffer(b"\xff" * 8, np.uint64), np.zeros(1, np.uint64)
+
+    def groups(prints, sketches):
+        out = [[], []]
+        near_dedup._grouped([[[7, 100, 0, alike.tobytes()]], [[x, len(s), p, b.tobytes()] for x, (s, p, b) in enumerate(zip(words, prints, sketches, strict=True))]], out)
+        return sorted(out[0])
+
+    met = []
+    check = near_dedup.may_be_near
+    monkeypatch.setattr(near_dedup, "may_be_near", lambda sizes, sketches: met.append(sizes) or check(sizes, sketches))
+    assert groups([0, (1 << 15) - 1, -1], [alike, none, alike]) == [0, 2] and met == [(100, 99)]
+    assert groups([0, (1 << 15) - 1, -1], [alike, alike, none]) == [0, 1] and met == [(100, 99)] * 2
+    assert groups([0, (1 << 16) - 1, -1], [alike, none, none << np.uint64(32)]) == [] and len(met) == 2
