@@ -584,3 +584,21 @@ def test_empty_table(nothing, name):
 @pytest.mark.parametrize("name", OPERATORS)
 def test_clashing_columns(clashing, docs, name):
     assert OPERATORS[name](clashing).count() == OPERATORS[name](docs).count()
+
+
+def test_rounds_of_few_links_have_few_tasks(spark):
+    rng = np.random.default_rng(6)
+    order = rng.permutation(400)
+    edges = [(int(a), int(b)) for at in range(0, 400, 8) for a, b in zip(order[at : at + 7], order[at + 1 : at + 8], strict=True)]
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    old = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("48", "false"), strict=True):
+            spark.conf.set(n, v)
+        found = simhash.components(spark.createDataFrame(edges, "u long, v long").repartition(40))
+    finally:
+        for n, v in zip(names, old, strict=True):
+            spark.conf.set(n, v)
+    assert len(found.inputFiles()) <= 8
+    want = {int(x): min(map(int, order[at : at + 8])) for at in range(0, 400, 8) for x in order[at : at + 8]}
+    assert {r["node"]: r["root"] for r in found.collect()} == {x: m for x, m in want.items() if x != m}
