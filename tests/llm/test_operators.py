@@ -602,3 +602,16 @@ def test_rounds_of_few_links_have_few_tasks(spark):
     assert len(found.inputFiles()) <= 8
     want = {int(x): min(map(int, order[at : at + 8])) for at in range(0, 400, 8) for x in order[at : at + 8]}
     assert {r["node"]: r["root"] for r in found.collect()} == {x: m for x, m in want.items() if x != m}
+
+
+def test_distinct_words_of_a_block_are_looked_up_once(monkeypatch):
+    texts = ["the river  the\tLight\n\n", " the river ", "", "straße \x0b the\x0c", "a b the"] * 50
+    raw = [t.encode() for t in texts]
+    name = packing.TOKENIZER
+    list(tokens.word_ids(raw[:1], name))
+    asked, find = [], tokens._Ids.ids
+    monkeypatch.setattr(tokens._Ids, "ids", lambda self, keys: (self is tokens._caches[name].words and asked.extend(keys)) or find(self, keys))
+    got = [x.tolist() for x in tokens.word_ids(raw, name, 1)]
+    whole = tokens.tokenizer(tokens.place(name))
+    assert got == [whole.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert len(asked) == len(set(asked)) < 10
