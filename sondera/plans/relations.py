@@ -193,8 +193,10 @@ def group_mean_location(spark, d):
 @query("argmax_payload", """
 SELECT o_custkey, arg_max(o_orderkey, o_totalprice) AS o_orderkey, max(o_totalprice) AS peak FROM orders GROUP BY 1""")
 def argmax_payload(spark, d):
-    best = F.max_by(F.struct("o_orderkey", "o_totalprice"), F.struct("o_totalprice", -F.col("o_orderkey")))
-    return table(spark, d, "orders").groupBy("o_custkey").agg(best.alias("b")).select("o_custkey", "b.o_orderkey", F.col("b.o_totalprice").alias("peak"))
+    """Rows without a key or a price take no part, as in arg_max; of equal prices the smallest key stays."""
+    known = F.col("o_orderkey").isNotNull() & F.col("o_totalprice").isNotNull()
+    best = F.max_by("o_orderkey", F.when(known, F.struct("o_totalprice", -F.col("o_orderkey"))))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(best.alias("o_orderkey"), F.max("o_totalprice").alias("peak"))
 
 
 @query("cluster_overlap_ratio", """
