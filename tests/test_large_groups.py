@@ -1,5 +1,12 @@
 """Results that do not depend on how many rows a group holds, and on odd rows in it."""
 
+import itertools
+import random
+
+from pyspark.sql import functions as F
+
+from sondera.operators import relational
+
 
 def test_argmax_payload_leaves_out_rows_without_key_or_price(spark, tmp_path):
     import duckdb
@@ -12,3 +19,40 @@ def test_argmax_payload_leaves_out_rows_without_key_or_price(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     assert got == set(con.execute(registry.ORACLE_SQL["argmax_payload"]).fetchall()) == {(7, 1, 9.0), (8, None, None), (9, None, 1.0)}
+
+
+def test_strongest_points_of_crowded_spans_without_pairs(spark):
+    """Spans in one bucket, across buckets and over many, with equal times, values and nulls; no row is copied once per point of a span."""
+    rng = random.Random(4)
+    points = [(k, float(t), rng.choice([None, 1.0, 2.0, 7.0]), i) for i, (k, t) in enumerate(itertools.product((0, 1), [rng.choice([rng.uniform(0, 99), rng.randrange(99)]) for _ in range(200)]))]
+    spans = [(rng.randrange(3), i, lo, lo + rng.choice([0.0, 0.5, 3.0, 20.0, 90.0, -1.0])) for i, lo in enumerate(float(rng.choice([rng.uniform(-9, 99), rng.randrange(99)])) for _ in range(300))]
+    df = spark.createDataFrame(points, "k int, t double, v double, i int")
+    sp = spark.createDataFrame(spans, "k int, s int, lo double, hi double")
+    got = {r["s"]: (r["peak"]["v"], r["peak"]["t"]) for r in relational.interval_argmax(df, sp, ["k"], "t", "lo", "hi", 40.0, "s", "v").collect()}
+    best = {s: min(((v is None, -(v or 0), t, v) for k2, t, v, _ in points if k2 == k and lo <= t <= hi), default=None) for k, s, lo, hi in spans}
+    assert got == {s: (b[3], b[2]) for s, b in best.items() if b}
+
+    n = 3000
+    crowd = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") / 1000.0).alias("t"), F.col("id").cast("double").alias("v"))
+    every = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("s"), (F.col("id") / 1000.0 - 1).alias("lo"), (F.col("id") / 1000.0).alias("hi"))
+    out = relational.interval_argmax(crowd, every, ["k"], "t", "lo", "hi", 800.0, "s", "v")
+    assert out.where("peak.v = s").count() == n
+    assert _most_rows(out) < 100 * n
+
+
+def _most_rows(df) -> int:
+    """The most rows that one join of the executed plan put out."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(plan.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(plan.plan())
+        elif "Join" in name and plan.metrics().contains("numOutputRows"):
+            found.append(plan.metrics().apply("numOutputRows").value())
+        children = plan.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return max(found, default=0)
