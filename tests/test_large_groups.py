@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sondera.operators import relational
@@ -56,3 +57,40 @@ def _most_rows(df) -> int:
         children = plan.children()
         todo += [children.apply(i) for i in range(children.size())]
     return max(found, default=0)
+
+
+def _overlaps(rows, ratio=0.5):
+    sets = {}
+    for c, m in rows:
+        sets.setdefault(c, set()).add(m)
+    out = set()
+    for a, b in itertools.combinations(sorted(c for c in sets if c is not None), 2):
+        shared, smaller = len((sets[a] & sets[b]) - {None}), min(len(sets[a]), len(sets[b]))
+        if shared > ratio * smaller:
+            out.add((a, b, shared, smaller))
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{}, {"hot": 5, "block": 8}, {"hot": 20, "block": 16, "block_members": 100}, {"hot": 1, "block": 1000}])
+def test_overlaps_of_hot_and_cold_members(spark, sizes):
+    rng = random.Random(1)
+    rows = [(c, rng.randrange(12 if c % 3 else 400)) for c in range(60) for _ in range(rng.randrange(1, 15))] + [(c, -c // 2) for c in range(60, 90)] + [(3, None), (None, 3), (4, None)]
+    got = relational.overlap_merge(spark.createDataFrame(rows, "c long, m long"), "c", "m", **sizes).collect()
+    assert len(got) == len({tuple(r) for r in got}) and {tuple(r) for r in got} == _overlaps(rows)
+
+
+def test_clusters_of_hot_members_make_no_row_per_shared_member(spark):
+    clusters, members = 300, 400
+    df = spark.range(clusters * members).select((F.col("id") % clusters).alias("c"), F.floor(F.col("id") / clusters).alias("m"))
+    out = relational.overlap_merge(df, "c", "m")
+    assert out.agg(F.count(F.lit(1)), F.min("shared"), F.max("smaller")).first()[:] == (clusters * (clusters - 1) // 2, members, members)
+    assert _most_rows(out) <= clusters * members
+
+
+def test_shared_counts_of_rare_and_frequent_members():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    sets = [np.unique(np.r_[rng.integers(0, 30, 10), rng.integers(1000, 3000, 40)]) for _ in range(150)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[60:]] for x in sets[:60]]
+    assert relational._shared_counts(sets[:60], sets[60:]).tolist() == want
