@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sondera.catalog import durable
 from sondera.functions import geodesy, numeric, physics
 
 
@@ -22,9 +23,8 @@ def bounces(rays: DataFrame, most: int, rng_max: float, loss_db: float) -> DataF
 def sectors(rays: DataFrame, width: float = 60.0, count: int = 8) -> DataFrame:
     """Rays with every azimuth sector (``count`` of them, ``width`` wide, overlapping) that holds them: adds az_bin."""
     step = 360.0 / count
-    every = F.sequence(F.lit(0), F.lit(count - 1))
-    inside = F.filter(every, lambda b: F.abs(geodesy.azdiff(b * step - 180.0, F.col("az"))) <= width / 2)
-    return rays.withColumn("az_bin", F.explode(inside))
+    inside = [F.when(F.abs(geodesy.azdiff(F.lit(b * step - 180.0), F.col("az"))) <= width / 2, b) for b in range(count)]
+    return rays.withColumn("az_bin", F.explode(F.array(*inside))).where("az_bin is not null")
 
 
 def path_geometry(rays: DataFrame, rng_max: float = 1000.0, step: float = 10.0, width: float = 40.0, least: int = 100, decay: float = 0.9) -> DataFrame:
@@ -33,16 +33,30 @@ def path_geometry(rays: DataFrame, rng_max: float = 1000.0, step: float = 10.0,
     Components are slow, middle and fast reciprocal celerities, split half-way
     between the canonical means. A range bin with fewer than ``least`` rays of a
     component takes the last bin's values, faded towards the canonical ones: a
-    fold along the ranges of a sector, in order.
+    fold along the ranges of a sector, in order. Rays that fall into the same range
+    bins are one cell; bins pool the moments of their cells, so a ray is added up once.
     """
     mid = [(a + b) / 2 for a, b in zip(physics.RCEL_MEANS, physics.RCEL_MEANS[1:], strict=False)]
     comp = F.when(F.col("rcel") < mid[0], 0).when(F.col("rcel") < mid[1], 1).otherwise(2)
     lo, hi = F.floor((F.col("rng") - width / 2) / step), F.ceil((F.col("rng") + width / 2) / step)
-    bins = F.filter(F.sequence(lo, hi), lambda k: (F.abs(k * step - F.col("rng")) <= width / 2) & (k >= 1) & (k * step <= rng_max))
-    x = rays.withColumn("comp", comp).withColumn("k", F.explode(bins))
-    stats = x.groupBy("az_bin", "k", "comp").agg(F.count(F.lit(1)).alias("n"), F.avg("rcel").alias("mn"), F.stddev_pop("rcel").alias("sd"))
-    az = x.groupBy("az_bin", "k").agg(F.count(F.lit(1)).alias("total"), F.avg("az_dev").alias("az_mn"), F.stddev_pop("az_dev").alias("az_sd"))
-    grid = rays.select("az_bin").distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(int(rng_max / step))))).withColumn("comp", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    last = next(k for k in range(int(rng_max / step) + 1, -1, -1) if k * step <= rng_max)
+    first_of = lambda *ks: F.coalesce(*[F.when(F.abs(k * step - F.col("rng")) <= width / 2, k) for k in ks])
+    x = rays.select("az_bin", "rcel", "az_dev", comp.alias("comp"), F.greatest(first_of(lo, lo + 1, lo + 2), F.lit(1)).alias("k0"), F.least(first_of(hi, hi - 1, hi - 2), F.lit(last)).alias("k1"))
+    moments = [f(c).alias(f"{n}_{c}") for c in ("rcel", "az_dev") for n, f in (("c", F.count), ("m", F.avg), ("v", F.var_pop))]
+    cells = durable(x.groupBy("az_bin", "comp", "k0", "k1").agg(F.count(F.lit(1)).alias("n"), *moments))
+
+    def pooled(c: str, mean: str, sd: str) -> list[Column]:
+        """Mean and deviation of all rays of some cells."""
+        own = F.filter(F.collect_list(F.struct(F.col(f"c_{c}").alias("n"), F.col(f"m_{c}").alias("m"), F.col(f"v_{c}").alias("v"))), lambda y: y["n"] > 0)
+        total = lambda f: F.aggregate(own, F.lit(0.0), lambda s, y: s + y["n"] * f(y))
+        rows = F.nullif(total(lambda y: F.lit(1.0)), F.lit(0.0))
+        middle = total(lambda y: y["m"]) / rows
+        return [middle.alias(mean), F.sqrt(total(lambda y: y["v"] + (y["m"] - middle) * (y["m"] - middle)) / rows).alias(sd)]
+
+    spread = cells.where("k0 <= k1").withColumn("k", F.explode(F.sequence("k0", "k1")))
+    stats = spread.groupBy("az_bin", "k", "comp").agg(F.sum("n").alias("n"), *pooled("rcel", "mn", "sd"))
+    az = spread.groupBy("az_bin", "k").agg(F.sum("n").alias("total"), *pooled("az_dev", "az_mn", "az_sd"))
+    grid = cells.select("az_bin").distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(int(rng_max / step))))).withColumn("comp", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     grid = grid.join(stats, ["az_bin", "k", "comp"], "left").join(az, ["az_bin", "k"], "left")
     seq = grid.groupBy("az_bin", "comp").agg(F.sort_array(F.collect_list(F.struct("k", "n", "total", "mn", "sd", "az_mn", "az_sd"))).alias("a"))
     canon = [F.element_at(F.array(*[F.lit(v) for v in vs]), F.col("comp") + 1) for vs in (physics.RCEL_WEIGHTS, physics.RCEL_MEANS, physics.RCEL_SDS)]

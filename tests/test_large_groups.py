@@ -94,3 +94,34 @@ def test_shared_counts_of_rare_and_frequent_members():
     sets = [np.unique(np.r_[rng.integers(0, 30, 10), rng.integers(1000, 3000, 40)]) for _ in range(150)]
     want = [[len(np.intersect1d(x, y)) for y in sets[60:]] for x in sets[:60]]
     assert relational._shared_counts(sets[:60], sets[60:]).tolist() == want
+
+
+def test_path_geometry_reads_rays_once_and_pools_their_moments(spark):
+    import numpy as np
+
+    from sondera.operators import propagation
+
+    rng = np.random.default_rng(3)
+    n = 4000
+    rows = {"rng": np.round(rng.uniform(-20, 330, n) / 5) * 5.0, "rcel": rng.normal(3.6, 0.3, n), "az_dev": rng.normal(1, 2, n), "az_bin": rng.integers(0, 2, n)}
+    rows = [(*[float(rows[c][i]) for c in ("rng", "rcel", "az_dev")], int(rows["az_bin"][i])) for i in range(n)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(found):
+        for pdf in found:
+            seen.add(len(pdf))
+            yield pdf
+
+    schema = "rng double, rcel double, az_dev double, az_bin int"
+    model = propagation.path_geometry(spark.createDataFrame(rows, schema).mapInPandas(counted, schema), rng_max=300.0, least=5)
+    out = {(r["az_bin"], r["rng"], r["comp"]): r for r in model.collect()}
+    assert len(out) == 2 * 30 * 3 and seen.value == n
+    x = np.array(rows)
+    comp = np.digitize(x[:, 1], [(a + b) / 2 for a, b in itertools.pairwise(propagation.physics.RCEL_MEANS)])
+    for (az, at, k), r in out.items():
+        near = (x[:, 3] == az) & (np.abs(x[:, 0] - at) <= 20)
+        own = x[near & (comp == k)]
+        assert r["n"] == len(own)
+        if len(own) >= 5:
+            assert (r["mn"], r["sd"]) == pytest.approx((own[:, 1].mean(), max(own[:, 1].std(), 1e-3)), abs=1e-9)
+            assert (r["az_mn"], r["az_sd"]) == pytest.approx((x[near][:, 2].mean(), max(x[near][:, 2].std(), 1e-3)), abs=1e-9)
