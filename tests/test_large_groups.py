@@ -125,3 +125,34 @@ def test_path_geometry_reads_rays_once_and_pools_their_moments(spark):
         if len(own) >= 5:
             assert (r["mn"], r["sd"]) == pytest.approx((own[:, 1].mean(), max(own[:, 1].std(), 1e-3)), abs=1e-9)
             assert (r["az_mn"], r["az_sd"]) == pytest.approx((x[near][:, 2].mean(), max(x[near][:, 2].std(), 1e-3)), abs=1e-9)
+
+
+def test_filter_reads_segments_three_times_and_takes_no_table_per_group(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import GroupedData
+
+    from sondera.functions import filters
+    from sondera.operators import records
+
+    def refused(*_):
+        raise AssertionError("a table per group")
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", refused)
+    rng = np.random.default_rng(0)
+    whole = {c: rng.standard_normal(90) + 3 for c in "abc"}
+    rows = [("x", c, 100.0 + i / 10, 10.0, 1.0, 0.0, 0.0, x[i : i + 9].tolist()) for c, x in whole.items() for i in range(0, 90, 9)]
+    schema = "array_id string, channel string, t0 double, fs double, calib double, dx double, dy double, samples array<double>"
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(found):
+        for pdf in found:
+            seen.add(len(pdf))
+            yield pdf
+
+    out = records.filtered(spark.createDataFrame(rows, schema).mapInPandas(counted, schema), None, 1.5, order=2, block=3.0).collect()
+    assert seen.value <= 3 * len(rows)
+    system, k = filters.butterworth(10.0, None, 1.5, 2), np.arange(90)
+    for c, x in whole.items():
+        y = system.run(system.run(x - np.polyval(np.polyfit(k, x, 1), k))[0][::-1])[0][::-1]
+        got = np.concatenate([r["samples"] for r in sorted((r for r in out if r["channel"] == c), key=lambda r: r["t0"])])
+        assert got == pytest.approx(y, abs=1e-9)
