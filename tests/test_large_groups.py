@@ -156,3 +156,29 @@ def test_filter_reads_segments_three_times_and_takes_no_table_per_group(spark, m
         y = system.run(system.run(x - np.polyval(np.polyfit(k, x, 1), k))[0][::-1])[0][::-1]
         got = np.concatenate([r["samples"] for r in sorted((r for r in out if r["channel"] == c), key=lambda r: r["t0"])])
         assert got == pytest.approx(y, abs=1e-9)
+
+
+def test_events_are_located_by_more_than_one_task(spark):
+    from sondera.operators import location
+
+    places = [(40.0, -112.0, 231.0), (36.0, -120.0, 62.0)]
+    rows = [(e, la, lo, 1000.0 + 40_000.0 * e + 700 * k, az, 12.0, 4) for e in range(40) for k, (la, lo, az) in enumerate(places)]
+    members = spark.createDataFrame(rows, "event_id long, lat double, lon double, t double, az double, f_stat double, channels int")
+    out = location.refined_summary(location.event_region(location.event_rows(members)), levels=0).select("event_id", F.spark_partition_id().alias("p")).collect()
+    assert len({r["p"] for r in out}) > 1
+
+
+def test_celerities_of_a_location_are_those_of_the_mixture():
+    import numpy as np
+
+    from sondera.functions import geodesy, physics, posterior
+
+    mixture = (physics.RCEL_WEIGHTS, physics.RCEL_MEANS, physics.RCEL_SDS)
+    dets = {c: np.array(v) for c, v in {"lat": [40.0, 36.0], "lon": [-112.0, -120.0], "t": [1500.0, np.nan], "az": [np.nan, 60.0], "kappa": [30.0, 30.0]}.items()}
+    t, at = np.linspace(-3000, 3000, 20_000), np.zeros(20_000, int)
+    lat, lon = np.array([38.0]), np.array([-115.0])
+    got = posterior.density(dets, lat, lon, at, t, mixture, geodesy.SPHERE_KM)
+    km = posterior._azimuth_and_km(40.0, -112.0, lat, lon, geodesy.SPHERE_KM)[1]
+    u = (1500.0 - t) / km
+    want = sum(w / (s * np.sqrt(2 * np.pi)) * np.exp(-0.5 * ((u - m) / s) ** 2) for w, m, s in zip(*mixture, strict=True))
+    assert got / got.max() == pytest.approx(want / want.max(), abs=1e-9) and got.min() >= 0
