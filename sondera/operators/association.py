@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sondera.catalog import durable, stored
+from sondera.catalog import durable, spread, stored
 from sondera.functions import circular, geodesy, numeric, physics
 from sondera.operators import windows
 
@@ -131,7 +131,7 @@ def pair_likelihoods(dets: DataFrame, width: float = 10.0, rng_max: float = 2000
                 yield pd.DataFrame({"id_a": part["id_a"], "id_b": part["id_b"], "likelihood": np.maximum(value, SMALLEST), "error": np.nan_to_num(error)})
 
     kind = dets.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(batches, f"id_a {kind}, id_b {kind}, likelihood double, error double")
+    return spread(rows).mapInPandas(batches, f"id_a {kind}, id_b {kind}, likelihood double, error double")
 
 
 def distances(pairs: DataFrame, most: float = 8.0) -> DataFrame:
@@ -234,7 +234,7 @@ def cluster_windows(members: DataFrame, dist: DataFrame, cut: float = 5.0, linka
                 out += [(pdf["win"].iloc[0], str(ids[own].min()), ids[x], q) for x in own]
         return pd.DataFrame(out, columns=["win", "cluster", "id", "quality"])
 
-    return inside.select("win", "label", "id_a", "id_b", "dist").groupBy("win", "label").applyInPandas(of_window, f"win long, cluster string, id {members.schema['id'].dataType.simpleString()}, quality double")
+    return spread(inside.select("win", "label", "id_a", "id_b", "dist"), "win", "label").groupBy("win", "label").applyInPandas(of_window, f"win long, cluster string, id {members.schema['id'].dataType.simpleString()}, quality double")
 
 
 def events(dets: DataFrame, clusters: DataFrame, min_stations: int = 2, overlap: float = 0.5) -> DataFrame:

@@ -182,3 +182,16 @@ def test_celerities_of_a_location_are_those_of_the_mixture():
     u = (1500.0 - t) / km
     want = sum(w / (s * np.sqrt(2 * np.pi)) * np.exp(-0.5 * ((u - m) / s) ** 2) for w, m, s in zip(*mixture, strict=True))
     assert got / got.max() == pytest.approx(want / want.max(), abs=1e-9) and got.min() >= 0
+
+
+def test_pairs_and_clusters_are_dealt_to_more_than_one_task(spark):
+    from sondera.operators import association
+
+    places = [(40.0, -112.0, 215.0), (36.0, -120.0, 60.0), (35.0, -110.0, 310.0)]
+    rows = [(3 * e + k, la, lo, 1000.0 + 40_000.0 * e + 300 * k, az, 12.0, 4) for e in range(30) for k, (la, lo, az) in enumerate(places)]
+    dets = spark.createDataFrame(rows, "id long, lat double, lon double, t double, az double, f_stat double, channels int")
+    pairs = association.pair_likelihoods(dets, rng_max=1200.0)
+    assert len({r["p"] for r in pairs.select(F.spark_partition_id().alias("p")).collect()}) > 1
+    near = spark.createDataFrame([(3 * e + i, 3 * e + j, 1.0) for e in range(30) for i, j in ((0, 1), (0, 2), (1, 2))], "id_a long, id_b long, dist double")
+    found = association.cluster_windows(association.assign_windows(dets, 1200.0).select("win", "id"), near)
+    assert len({r["p"] for r in found.select(F.spark_partition_id().alias("p")).collect()}) > 1
